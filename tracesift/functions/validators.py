@@ -7,6 +7,7 @@ findings.  A null value is never valid.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracesift.functions.folds import let
 
 def ascii_digits(value: Column) -> Column:
     """The ASCII digits of a value, everything else dropped."""
@@ -22,11 +23,14 @@ def luhn_valid(value: Column) -> Column:
 def mod97(value: Column) -> Column:
     """Remainder mod 97 of a string of ``0-9A-Z``, reading A to Z as 10 to 35."""
 
-    def step(rem, pos):
-        code = F.ascii(F.substring(value, pos, F.lit(1)))
-        return F.when(code < 58, (rem * 10 + code - 48) % 97).otherwise((rem * 100 + code - 55) % 97)
+    def fold(v):
+        def step(rem, pos):
+            code = F.ascii(F.substring(v, pos, F.lit(1)))
+            return F.when(code < 58, (rem * 10 + code - 48) % 97).otherwise((rem * 100 + code - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(1), F.length(v)), F.lit(0), step)
+
+    return let(value, fold)
 
 
 def iban_valid(value: Column) -> Column:
@@ -85,8 +89,11 @@ def iban_check_digits(country: Column, account: Column) -> Column:
 
 def luhn_complete(body: Column) -> Column:
     """``body`` plus the one digit that makes the Luhn checksum hold."""
-    tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string")))
-    return F.element_at(F.filter(tries, lambda card: F.call_function("luhn_check", card)), 1)
+    def complete(b):
+        tries = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(b, d.cast("string")))
+        return F.element_at(F.filter(tries, lambda card: F.call_function("luhn_check", card)), 1)
+
+    return let(body, complete)
 
 
 def spaced4(value: Column) -> Column:

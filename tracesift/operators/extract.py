@@ -10,8 +10,6 @@ from tracesift.functions.validators import validate
 from tracesift.operators import gates
 from tracesift.operators.rules import Rule
 
-CANDIDATE = "struct<start:bigint,neg_end:bigint,ord:int,kind:string,value:string>"
-
 
 def _matches(rule: Rule) -> str:
     found = f"regexp_extract_all({gates.TEXT}, {gates.sql_text(_full_regex(rule))}, 0)"
@@ -48,31 +46,25 @@ def hits(rules: list[Rule]) -> Column:
 
 
 def locate(text: Column, hit: Column) -> Column:
-    """Candidates of one rule.  The context is zero-width, so the text between
-    two neighbouring matches is exactly one piece of ``split``."""
-    gaps = F.transform(F.split(text, hit["rule"]["regex"], -1), F.octet_length)
-    pairs = F.zip_with(
-        hit["matches"],
-        F.slice(gaps, 1, F.size(hit["matches"])),
-        lambda value, gap: F.struct(value.alias("value"), gap.cast("bigint").alias("gap")),
+    """Checked candidates of one rule.  The context is zero-width, so the text
+    between two neighbouring matches is exactly one piece of ``split``."""
+    rule, values = hit["rule"], hit["matches"]
+    gaps = F.transform(F.split(text, rule["regex"], -1), F.octet_length)
+    steps = F.zip_with(
+        F.transform(values, F.octet_length), F.slice(gaps, 1, F.size(values)), lambda length, gap: length + gap
     )
 
-    def end(pos, x):
-        return pos + x["gap"] + F.octet_length(x["value"])
-
-    def candidate(pos, x):
-        return F.array(
-            F.struct(
-                (pos + x["gap"]).alias("start"),
-                (-end(pos, x)).alias("neg_end"),
-                hit["rule"]["ord"].alias("ord"),
-                hit["rule"]["kind"].alias("kind"),
-                x["value"].alias("value"),
-            )
+    def candidate(value, end):
+        return F.struct(
+            (end - F.octet_length(value)).alias("start"),
+            (-end).alias("neg_end"),
+            rule["ord"].alias("ord"),
+            rule["kind"].alias("kind"),
+            value.alias("value"),
         )
 
-    located = running(pairs, CANDIDATE, end, candidate)
-    return F.filter(located, lambda c: validate(hit["rule"]["validator"], c["value"]))
+    ends = running(steps, lambda pos, step: pos + step)
+    return F.filter(F.zip_with(values, ends, candidate), lambda c: validate(rule["validator"], c["value"]))
 
 
 def candidates(text: Column, row_hits: Column) -> Column:

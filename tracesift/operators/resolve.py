@@ -3,8 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracesift.functions.folds import running
-from tracesift.operators.extract import CANDIDATE
+from tracesift.functions.folds import let, running
 
 
 def resolve(candidates: Column) -> Column:
@@ -13,15 +12,20 @@ def resolve(candidates: Column) -> Column:
 
     The candidate struct is laid out so that its natural order is this order.
     """
-    nothing = F.array().cast(f"array<{CANDIDATE}>")
-    kept = running(
-        F.array_sort(candidates),
-        CANDIDATE,
-        lambda end, c: F.when(c["start"] >= end, -c["neg_end"]).otherwise(end),
-        lambda end, c: F.when(c["start"] >= end, F.array(c)).otherwise(nothing),
-    )
+    return let(F.sort_array(candidates), lambda ordered: let(_kept_ends(ordered), lambda ends: _keep(ordered, ends)))
+
+
+def _kept_ends(ordered: Column) -> Column:
+    """After each candidate, the end of the last one kept so far."""
+    return running(ordered, lambda end, c: F.when(c["start"] >= end, -c["neg_end"]).otherwise(end))
+
+
+def _keep(ordered: Column, ends: Column) -> Column:
+    def moved(_, i):
+        return F.get(ends, i) != F.coalesce(F.get(ends, i - 1), F.lit(0))
+
     return F.transform(
-        kept,
+        F.filter(ordered, moved),
         lambda c: F.struct(
             c["kind"].alias("kind"),
             c["value"].alias("value"),

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracesift.functions.folds import compute_once
 from tracesift.operators import gates
 from tracesift.operators.extract import candidates, hits
 from tracesift.operators.resolve import resolve
@@ -55,7 +56,7 @@ def with_findings(df: DataFrame, text: str, rules: list[Rule] | None = None, nam
     keep = [c for c in df.columns if c != name]
     prepared = _prepared(df.withColumn("_source_text", F.col(text)), "_source_text", keep, rules)
     empty = F.array().cast(FINDINGS)
-    return prepared.select(*keep, F.coalesce(_findings(), empty).alias(name))
+    return compute_once(prepared, keep, {name: F.coalesce(_findings(), empty)})
 
 
 def scan_column(
