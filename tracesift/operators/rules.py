@@ -11,7 +11,7 @@ from tracesift.operators import rule_data as data
 RULE_SCHEMA = "ord INT, id STRING, pattern STRING, anchors ARRAY<STRING>, validator STRING"
 
 # A rule table is configuration.  Up to this many rules are unrolled into the
-# plan; a longer table goes through scan_with_rule_table, which has no limit.
+# plan; a longer table goes through scan_with_rule_table.
 MAX_UNROLLED_RULES = 500
 
 # Local parts longer than this that belong to no address are skipped in one

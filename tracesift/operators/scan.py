@@ -9,10 +9,15 @@ from tracesift.functions.folds import compute_once
 from tracesift.operators import gates
 from tracesift.operators.extract import candidates, hits
 from tracesift.operators.resolve import resolve
-from tracesift.operators.rules import Rule, builtin_rules
+from tracesift.operators.rules import Rule, builtin_rules, token_regex
 
 FINDINGS = "array<struct<kind:string,value:string,start:bigint,end:bigint>>"
 
+RULE_ARRAY = "array<struct<ord:int,kind:string,validator:string,regex:string,anchors:array<string>>>"
+
+# Bound on a rule table that is sent to every task.
+MAX_TABLE_RULES = 100_000
+
 # An input up to this size is spread over the cores; a larger one already has
 # enough splits and is never shuffled.
 SPREAD_LIMIT = 1 << 30
@@ -76,6 +81,39 @@ def scan_column(
     return prepared.select(*keys, explode(_findings()))
 
 
+def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataFrame) -> DataFrame:
+    """Scan with token rules that are only known when the query runs.
+
+    ``table`` has ``ord, id, pattern, anchors, validator``.  It reaches every
+    task as one array value, so each text is still handled where it is: no join
+    and no regrouping.  A rule's expression is compiled when a text holds one of
+    its anchors; for a table known beforehand ``rules_from_df`` is faster.
+    """
+    left, right = token_regex("\0").split("\0")
+    rule = F.struct(
+        F.col("ord").cast("int").alias("ord"),
+        F.col("id").alias("kind"),
+        F.coalesce("validator", F.lit("none")).alias("validator"),
+        F.concat(F.lit(left), F.col("pattern"), F.lit(right)).alias("regex"),
+        F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
+    )
+    listed = F.when(F.count("*") <= MAX_TABLE_RULES, F.sort_array(F.collect_list(rule)))
+    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(RULE_ARRAY)
+    rules = table.agg(F.coalesce(listed, too_many)).scalar()
+
+    def usable(r):
+        body = F.col(gates.TEXT)
+        return (F.size(r["anchors"]) == 0) | F.exists(r["anchors"], body.contains)
+
+    def hit(r):
+        return F.struct(r.alias("rule"), F.regexp_extract_all(gates.TEXT, r["regex"], F.lit(0)).alias("matches"))
+
+    found = F.filter(F.transform(F.filter("_rules", usable), hit), lambda h: F.size(h["matches"]) > 0)
+    ruled = df.select(*keys, F.col(text).alias(gates.TEXT), rules.alias("_rules"))
+    prepared = ruled.select(*keys, gates.TEXT, found.alias("_hits"))
+    return prepared.select(*keys, F.inline(_findings()))
+
+
 def scan_sources(sources: list[tuple[str, DataFrame, list[str], str]], rules: list[Rule] | None = None) -> DataFrame:
     """Scan several tables: ``(source, df, keys, text)`` each.
 

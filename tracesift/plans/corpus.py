@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.functions.draws import Draws
-from tracesift.functions.folds import compute_once
+from tracesift.functions.folds import compute_once, let
 from tracesift.functions.validators import iban_check_digits, luhn_complete, spaced4
 from tracesift.operators import rule_data, shape_data
 from tracesift.plans import corpus_data as data
@@ -47,32 +47,44 @@ def token_value(draws: Draws, rule: Column, tag: str = "token") -> Column:
 def iban_value(draws: Draws) -> Column:
     """A valid account number, half of them in groups of four."""
     country = draws.below("iban.cc", len(data.IBAN_COUNTRIES))
-    value = None
-    for i, (code, capitals, numbers) in enumerate(data.IBAN_COUNTRIES):
-        account = draws.chars("iban.d", digits, numbers)
-        if capitals:
-            account = F.concat(draws.chars("iban.u", ascii_uppercase, capitals), account)
-        whole = F.concat(F.lit(code), iban_check_digits(F.lit(code), account), account)
-        value = (F if value is None else value).when(country == i, whole)
-    return _maybe_spaced(draws, "iban.spaced", value)
+    numbers, capitals = draws.chars("iban.d", digits, 23), draws.chars("iban.u", ascii_uppercase, 4)
+    code, account = None, None
+    for i, (cc, n_capitals, n_digits) in enumerate(data.IBAN_COUNTRIES):
+        bban = F.concat(F.substring(capitals, 1, n_capitals), F.substring(numbers, 1, n_digits))
+        if i == 0:
+            code, account = F.when(country == i, cc), F.when(country == i, bban)
+        else:
+            code, account = code.when(country == i, cc), account.when(country == i, bban)
+    whole = let(
+        F.struct(code.alias("cc"), account.alias("bban")),
+        lambda x: F.concat(x["cc"], iban_check_digits(x["cc"], x["bban"]), x["bban"]),
+    )
+    return _maybe_spaced(draws, "iban.spaced", whole)
 
 
 def phone_value(draws: Draws) -> Column:
     """One of two French and two North American layouts."""
-
-    def pairs(start):
-        return F.concat_ws(" ", start, *[draws.chars(f"phone.{i}", digits, 2) for i in range(4)])
-
     area = (F.lit(200) + draws.below("phone.area", 700)).cast("string")
-    middle, end = draws.chars("phone.mid", digits, 3), draws.chars("phone.end", digits, 4)
     mobile = F.concat(F.lit("0"), (F.lit(6) + draws.below("phone.mobile", 2)).cast("string"))
     form = draws.below("phone.form", 4)
-    return (
-        F.when(form == 0, pairs(F.lit("+33 6")))
-        .when(form == 1, pairs(mobile))
-        .when(form == 2, F.concat(F.lit("("), area, F.lit(") "), middle, F.lit("-"), end))
-        .otherwise(F.concat_ws("-", F.lit("+1"), area, middle, end))
-    )
+
+    def layout(number):
+        a, b, c, d = cut(number, 2, 2, 2, 2)
+        middle, end = cut(number, 3, 4)
+        return (
+            F.when(form == 0, F.concat_ws(" ", F.lit("+33 6"), a, b, c, d))
+            .when(form == 1, F.concat_ws(" ", mobile, a, b, c, d))
+            .when(form == 2, F.concat(F.lit("("), area, F.lit(") "), middle, F.lit("-"), end))
+            .otherwise(F.concat_ws("-", F.lit("+1"), area, middle, end))
+        )
+
+    return let(draws.chars("phone.d", digits, 8), layout)
+
+
+def cut(value: Column, *lengths: int) -> list[Column]:
+    """Consecutive pieces of a string."""
+    starts = [1 + sum(lengths[:i]) for i in range(len(lengths))]
+    return [F.substring(value, start, length) for start, length in zip(starts, lengths)]
 
 
 def email_value(draws: Draws) -> Column:
@@ -104,34 +116,28 @@ def in_context(draws: Draws, value: Column) -> Column:
 
 def negative_text(draws: Draws) -> Column:
     """A line with nothing to find, of one of twelve families."""
+    number, hexes = draws.chars("neg.d", digits, 12), draws.chars("neg.h", HEX, 64)
+    base64 = ascii_uppercase + ascii_lowercase + digits + "+/"
 
-    def number(tag, k):
-        return draws.chars(f"neg.{tag}", digits, k)
-
-    def hexes(tag, k):
-        return draws.chars(f"neg.{tag}", HEX, k)
-
-    def line(template, *values):
-        return F.format_string(template, *values)
+    def line(template, source, *lengths):
+        return let(source, lambda s: F.format_string(template, *cut(s, *lengths)))
 
-    base64 = ascii_uppercase + ascii_lowercase + digits + "+/"
-    day, minute = (F.lit(1) + draws.below("neg.day", 28)), draws.below("neg.minute", 60)
+    day = F.lpad((F.lit(1) + draws.below("neg.day", 28)).cast("string"), 2, "0")
+    minute = F.lpad(draws.below("neg.minute", 60).cast("string"), 2, "0")
+    word = draws.chars("neg.w", ascii_lowercase, 4)
     families = [
-        line("Order #%s shipped on 2026-09-%02d, total %s.%s EUR", number("a", 6), day, number("b", 3), number("c", 2)),
-        line(
-            "commit %s%s by user%s at 14:%02d",
-            draws.chars("neg.w", ascii_lowercase, 4), number("a", 3), number("b", 3), minute,
-        ),
-        line("sha256:%s", hexes("h", 64)),
-        hexes("h", 40),
-        line("id=%s-%s-4%s-a%s-%s", hexes("h", 8), hexes("i", 4), hexes("j", 3), hexes("k", 3), hexes("l", 12)),
+        line("Order #%s shipped on 2026-09-%s, total %s.%s EUR", F.concat(F.substring(number, 1, 6), day, number), 6, 2, 3, 2),
+        line("commit %s%s by user%s at 14:%s", F.concat(word, F.substring(number, 1, 6), minute), 4, 3, 3, 2),
+        line("sha256:%s", hexes, 64),
+        line("%s", hexes, 40),
+        line("id=%s-%s-4%s-a%s-%s", hexes, 8, 4, 3, 3, 12),
         draws.pick("neg.lookalike", data.LOOKALIKES),
         draws.pick("neg.plain", data.PLAIN_LINES),
-        line("base64: %s", draws.chars("neg.b64", base64, 44)),
-        line('Cargo.lock: checksum = "%s"', hexes("h", 64)),
-        line("%s bytes written in %s.%ss", number("a", 7), number("b", 2), number("c", 3)),
-        line("PR #%s merged, %s files changed, +%s -%s", number("a", 4), number("b", 2), number("c", 3), number("d", 2)),
-        line("temperature %s.%s°C, humidity %s%%", number("a", 2), number("b", 1), number("c", 2)),
+        line("base64: %s", draws.chars("neg.b64", base64, 44), 44),
+        line('Cargo.lock: checksum = "%s"', hexes, 64),
+        line("%s bytes written in %s.%ss", number, 7, 2, 3),
+        line("PR #%s merged, %s files changed, +%s -%s", number, 4, 2, 3, 2),
+        line("temperature %s.%s°C, humidity %s%%", number, 2, 1, 2),
     ]
     family = draws.below("neg.family", len(families))
     text = F.when(family == 0, families[0])
