@@ -17,9 +17,15 @@ RUN_LENGTH = 20
 # Above this many bytes a text is not cut into words for the run feature.
 _SPLIT_LIMIT = 4 << 20
 
-TEXT, RUNS, DIGITS, CARD, IBAN, ASCII = "_text", "_runs", "_digits", "_card", "_iban", "_ascii"
+TEXT, RUNS, OTHER, DIGITS, CARD, IBAN = "_text", "_runs", "_other", "_digits", "_card", "_iban"
+_NUMBERS = "_numbers"
 _FEATURE = {"digits": DIGITS, "card": CARD, "iban": IBAN}
 
+# What must follow the first digit, or the first capital, of a finding.
+_EIGHT = r"(?:[ .()-]{0,2}[0-9]){7}"
+_THIRTEEN = r"(?:[ -]?[0-9]){12}"
+_ACCOUNT = r"[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2}"
+
 
 def long_runs(text: Column) -> Column:
     """The words that hold a long token-like run, joined by spaces.
@@ -35,28 +41,34 @@ def long_runs(text: Column) -> Column:
     return F.when(F.octet_length(text) <= _SPLIT_LIMIT, F.array_join(words, " ")).otherwise(text)
 
 
-def _digit_feature(text: Column, ascii_only: Column, pattern: str) -> Column:
-    """Rows matching ``pattern``; digits of other scripts always pass."""
-    other = ~ascii_only & text.rlike(r"[\p{Nd}&&[^0-9]]")
-    return text.rlike(pattern) | other
+def other_digits(text: Column) -> Column:
+    """Whether a text holds digits outside ASCII; the first ones are at U+0660.
+
+    Without them an expression may use ASCII digits and find the same.
+    """
+    return (F.length(text) != F.octet_length(text)) & text.rlike(r"[\x{660}-\x{10FFFF}&&\p{Nd}]")
 
 
 def with_features(df: DataFrame, text: str) -> DataFrame:
-    """Add the row features of column ``text``."""
-    t = F.col(text)
-    plain = df.withColumns({TEXT: t, ASCII: F.length(t) == F.octet_length(t)})
-    body, ascii_only = F.col(TEXT), F.col(ASCII)
-    return plain.withColumns(
-        {
-            RUNS: long_runs(body),
-            # eight digits with at most two separators between neighbours
-            DIGITS: _digit_feature(body, ascii_only, r"[0-9](?:[ .()-]{0,2}[0-9]){7}"),
-            IBAN: body.rlike(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}"),
-        }
-    ).withColumn(
-        # thirteen digits with at most one separator between neighbours
-        CARD,
-        F.col(DIGITS) & _digit_feature(body, ascii_only, r"[0-9](?:[ -]?[0-9]){12}"),
+    """Add the row features of column ``text``.
+
+    One pass looks for the start of any number or account; the narrower checks
+    only run on the rows that pass it.
+    """
+    body, other, numbers = F.col(TEXT), F.col(OTHER), F.col(_NUMBERS)
+    number_start = rf"[0-9A-Z](?:(?<=[0-9]){_EIGHT}|(?<=[A-Z]){_ACCOUNT})"
+    return (
+        df.withColumn(TEXT, F.col(text))
+        .withColumns({RUNS: long_runs(body), OTHER: other_digits(body), _NUMBERS: body.rlike(number_start)})
+        .withColumns(
+            {
+                # eight digits with at most two separators between neighbours
+                DIGITS: other | (numbers & body.rlike("[0-9]" + _EIGHT)),
+                # thirteen digits with at most one separator between neighbours
+                CARD: other | (numbers & body.rlike("[0-9]" + _THIRTEEN)),
+                IBAN: numbers & body.rlike("[A-Z]" + _ACCOUNT),
+            }
+        )
     )
 
 

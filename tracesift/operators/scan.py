@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from tracesift.functions.folds import compute_once
 from tracesift.operators import gates
-from tracesift.operators.extract import candidates, hits
+from tracesift.operators.extract import RULE_ARRAY, candidates, hits
 from tracesift.operators.resolve import resolve
 from tracesift.operators.rules import Rule, builtin_rules, token_regex
 
 FINDINGS = "array<struct<kind:string,value:string,start:bigint,end:bigint>>"
 
-RULE_ARRAY = "array<struct<ord:int,kind:string,validator:string,regex:string,anchors:array<string>>>"
-
 # Bound on a rule table that is sent to every task.
 MAX_TABLE_RULES = 100_000
 
@@ -48,11 +46,11 @@ def spread(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
 
 def _prepared(df: DataFrame, text: str, keep: list[str], rules: list[Rule]) -> DataFrame:
     features = gates.with_features(df.select(*keep, text), text)
-    return features.select(*keep, gates.TEXT, hits(rules).alias("_hits"))
+    return features.select(*keep, gates.TEXT, gates.OTHER, hits(rules).alias("_hits"))
 
 
 def _findings() -> Column:
-    return resolve(candidates(F.col(gates.TEXT), F.col("_hits")))
+    return resolve(candidates(F.col(gates.TEXT), F.col(gates.OTHER), F.col("_hits")))
 
 
 def with_findings(df: DataFrame, text: str, rules: list[Rule] | None = None, name: str = "findings") -> DataFrame:
@@ -90,15 +88,17 @@ def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataF
     its anchors; for a table known beforehand ``rules_from_df`` is faster.
     """
     left, right = token_regex("\0").split("\0")
+    regex = F.concat(F.lit(left), F.col("pattern"), F.lit(right))
     rule = F.struct(
         F.col("ord").cast("int").alias("ord"),
         F.col("id").alias("kind"),
         F.coalesce("validator", F.lit("none")).alias("validator"),
-        F.concat(F.lit(left), F.col("pattern"), F.lit(right)).alias("regex"),
+        regex.alias("regex"),
+        regex.alias("plain_regex"),
         F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
     )
     listed = F.when(F.count("*") <= MAX_TABLE_RULES, F.sort_array(F.collect_list(rule)))
-    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(RULE_ARRAY)
+    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(RULE_ARRAY.replace("plain_regex:string", "plain_regex:string,anchors:array<string>"))
     rules = table.agg(F.coalesce(listed, too_many)).scalar()
 
     def usable(r):
@@ -109,8 +109,9 @@ def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataF
         return F.struct(r.alias("rule"), F.regexp_extract_all(gates.TEXT, r["regex"], F.lit(0)).alias("matches"))
 
     found = F.filter(F.transform(F.filter("_rules", usable), hit), lambda h: F.size(h["matches"]) > 0)
-    ruled = df.select(*keys, F.col(text).alias(gates.TEXT), rules.alias("_rules"))
-    prepared = ruled.select(*keys, gates.TEXT, found.alias("_hits"))
+    body = F.col(text)
+    ruled = df.select(*keys, body.alias(gates.TEXT), F.lit(False).alias(gates.OTHER), rules.alias("_rules"))
+    prepared = ruled.select(*keys, gates.TEXT, gates.OTHER, found.alias("_hits"))
     return prepared.select(*keys, F.inline(_findings()))
 
 

@@ -82,46 +82,58 @@ def _rules() -> list[tuple]:
     return rows
 
 
-def scan_sql(source: str, key: str = "doc_id", kinds: list[str] | None = None, keep: str = "") -> str:
+def _search_sql(name: str, start: str, key: str, regex: str, found: str, overlap: int) -> str:
+    """All matches, one per step; ``overlap`` characters of a match are seen again."""
+    return f"""
+search_{name}(key, ord, kind, re, rest, base, whole, token) AS (
+  SELECT {key}, ord, kind, re, rest, 0::BIGINT, regexp_extract(rest, {regex}, 0), {found} FROM ({start})
+  UNION ALL
+  SELECT key, ord, kind, re, rest, base, regexp_extract(rest, {regex}, 0), {found}
+  FROM (SELECT key, ord, kind, re,
+               substr(rest, instr(rest, whole) + 1 + length(token) - {overlap}) AS rest,
+               base + strlen(substr(rest, 1, instr(rest, whole) + length(token) - {overlap})) AS base
+        FROM search_{name} WHERE whole <> '')
+)"""
+
+
+def scan_sql(source: str, key: str = "doc_id", kinds: list[str] | None = None) -> str:
     """Common table expressions ending in ``findings(key, kind, value, start, end)``.
 
     ``source`` is a query giving ``key`` and ``text``.
     """
     rows = [r for r in _rules() if kinds is None or r[1] in kinds]
-    values = ",\n".join(
-        f"({o}, {quote(k)}, {quote(v)}, [{', '.join(map(quote, a))}]::VARCHAR[], {quote(p)}, {n})"
-        for o, k, v, a, p, n in rows
+    tokens, checked = [r for r in rows if r[0] < N_RULES], [r for r in rows if r[0] >= N_RULES]
+    tables, names = [], []
+    if tokens:
+        values = ",\n".join(
+            f"({o}, {quote(k)}, [{', '.join(map(quote, a))}]::VARCHAR[], {quote(p)})" for o, k, _, a, p, _ in tokens
+        )
+        start = """SELECT s.{key}, r.ord, r.kind, r.re, chr(10) || s.text || chr(10) AS rest FROM src s JOIN rules r
+        ON len(list_filter(r.anchors, lambda a: contains(s.text, a))) > 0""".format(key=key)
+        tables.append(f"rules(ord, kind, anchors, re) AS (VALUES\n{values})")
+        tables.append(_search_sql("tokens", start, key, "re", "regexp_extract(rest, re, 1)", 0))
+        names.append(("tokens", "true"))
+    for o, kind, validator, _, pattern, overlap in checked:
+        # one search per kind, so that its expression is a constant
+        start = f"SELECT {key}, {o} AS ord, {quote(kind)} AS kind, '' AS re, chr(10) || text || chr(10) AS rest FROM src"
+        found = f"regexp_extract(rest, {quote(pattern)}, 1)"
+        if kind == "email":
+            found = f"CASE WHEN {found} <> '' THEN {found} ELSE regexp_extract(rest, {quote(pattern)}, 2) END"
+        tables.append(_search_sql(kind, start, key, quote(pattern), found, overlap))
+        names.append((kind, {"none": "true", "iban": iban_sql("value"), "luhn": luhn_sql("value"), "phone": phone_sql("value")}[validator]))
+    located = "\n  UNION ALL ".join(
+        f"""SELECT * FROM (SELECT key, ord, kind, token AS value, base + strlen(substr(rest, 1, instr(rest, whole))) - 1 AS "start"
+  FROM search_{name} WHERE whole <> '') WHERE {check}"""
+        for name, check in names
     )
-    second = "regexp_extract(rest, re, 2)" if any(k == "email" for _, k, *_ in rows) else "''"
-    found = "CASE WHEN kind = 'email' AND {g1} = '' THEN {g2} ELSE {g1} END".format(
-        g1="regexp_extract(rest, re, 1)", g2=f"(CASE WHEN kind = 'email' THEN {second} ELSE '' END)"
-    ) if second != "''" else "regexp_extract(rest, re, 1)"
     return f"""
 src AS ({source}),
-rules(ord, kind, validator, anchors, re, overlap) AS (VALUES
-{values}),
-search(key, ord, kind, validator, re, overlap, rest, base, whole, token) AS (
-  SELECT {key}, ord, kind, validator, re, overlap, rest, 0::BIGINT, regexp_extract(rest, re, 0), {found}
-  FROM (SELECT s.{key}, r.*, chr(10) || s.text || chr(10) AS rest FROM src s JOIN rules r
-        ON len(r.anchors) = 0 OR len(list_filter(r.anchors, lambda a: contains(s.text, a))) > 0)
-  UNION ALL
-  SELECT key, ord, kind, validator, re, overlap, rest, base, regexp_extract(rest, re, 0), {found}
-  FROM (SELECT key, ord, kind, validator, re, overlap,
-               substr(rest, instr(rest, whole) + 1 + length(token) - overlap) AS rest,
-               base + strlen(substr(rest, 1, instr(rest, whole) + length(token) - overlap)) AS base
-        FROM search WHERE whole <> '')
-),
-located AS (
-  SELECT key, ord, kind, validator, token AS value,
-         base + strlen(substr(rest, 1, instr(rest, whole))) - 1 AS "start"
-  FROM search WHERE whole <> ''
-),
+{",".join(tables)},
+located AS ({located}),
 checked AS (
   SELECT key, kind, value, "start", "start" + strlen(value) AS "end",
          row_number() OVER (PARTITION BY key ORDER BY "start", strlen(value) DESC, ord) AS rn
   FROM located
-  WHERE CASE validator WHEN 'none' THEN true WHEN 'iban' THEN {iban_sql('value')}
-        WHEN 'luhn' THEN {luhn_sql('value')} ELSE {phone_sql('value')} END
 ),
 sweep(key, rn, kept, reach) AS (
   SELECT key, rn, true, "end" FROM checked WHERE rn = 1

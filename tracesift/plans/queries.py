@@ -173,7 +173,7 @@ def kind_counts(spark, sf_dir):
 
 def clean_documents(spark, sf_dir):
     """Every document, also those without findings, with its number of findings."""
-    found = with_findings(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = with_findings(documents(spark, sf_dir), "text")
     return found.select("doc_id", F.size("findings").cast("bigint").alias("findings"))
 
 
@@ -197,7 +197,7 @@ def scan_user_rules(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return labelled_examples(table(spark, sf_dir, "documents"), "doc_id", CORPUS_SEED)
+    return labelled_examples(spread(table(spark, sf_dir, "documents").select("doc_id")), "doc_id", CORPUS_SEED)
 
 
 def labelled_corpus(spark, sf_dir):
