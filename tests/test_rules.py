@@ -11,7 +11,17 @@ from tracesift.functions.draws import Draws
 from tracesift.operators import rule_data as data
 from tracesift.operators import shape_data
 from tracesift.operators.gates import RUN_LENGTH, sql_text
-from tracesift.operators.rules import Rule, builtin_rules, check_rules, rule_listing, rules_df, rules_from_df, token_regex
+from tracesift.operators.rules import (
+    Rule,
+    builtin_rules,
+    check_rules,
+    first_characters,
+    fixed_start,
+    rule_listing,
+    rules_df,
+    rules_from_df,
+    token_regex,
+)
 from tracesift.operators.scan import scan_column, scan_with_rule_table, select_rules
 from tracesift.plans.corpus import token_value
 from pyspark.sql import functions as F
@@ -95,6 +105,18 @@ def _extremes(tree):
     return {go(tree, most, pick) for most in (False, True) for pick in range(70)}
 
 
+def test_fixed_start_is_the_start_of_every_layout():
+    for kind, pattern, _ in data.TOKEN_RULES:
+        prefix = fixed_start(pattern)
+        literal = prefix.replace("\\", "")
+        for layout in shape_data.layouts(kind):
+            for word in layout[0]["words"] or layout[0]["alphabet"]:
+                whole = word + "".join((p["words"] or [""])[0] for p in layout[1:])
+                assert whole.startswith(literal), kind
+        assert re.compile(pattern[len(prefix):])
+        assert set(first_characters(kind)) >= set(literal[:1])
+
+
 def test_run_gate_is_sound():
     """Rules gated on long runs: at least RUN_LENGTH characters, all run characters."""
     for rule in builtin_rules():

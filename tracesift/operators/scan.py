@@ -123,6 +123,5 @@ def scan_sources(sources: list[tuple[str, DataFrame, list[str], str]], rules: li
     parts = []
     for source, df, keys, text in sources:
         row_key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-        keyed = df.select(F.lit(source).alias("source"), row_key.alias("row_key"), F.col(text).alias("text"))
-        parts.append(scan_column(keyed, ["source", "row_key"], "text", rules))
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(df.select(F.lit(source).alias("source"), row_key.alias("row_key"), F.col(text).alias("text")))
+    return scan_column(reduce(DataFrame.unionByName, parts), ["source", "row_key"], "text", rules)
