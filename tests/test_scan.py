@@ -92,6 +92,22 @@ def test_random_mixtures_equal_definition(spark):
         assert rows == brute.scan(text), text
 
 
+@pytest.mark.parametrize(
+    "alphabet",
+    ["0123456789 -", "01 +().-", "AB12 ", "ab.@-_%+é1", "05-٣ _.(", "4 1-é\n", "SKghp_-.~0a="],
+    ids=["cards", "phones", "ibans", "emails", "scripts", "mixed", "tokens"],
+)
+def test_character_soup_equals_definition(spark, alphabet):
+    rng = random.Random(alphabet)
+    heads = ["", "FR76", "a@b.c", "ghp_", "+1", "(415)", "-----BEGIN PRIVATE KEY-----", "abc1Q~", "SK", "000-00-0000"]
+    texts = [
+        rng.choice(heads) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) + rng.choice(heads)
+        for _ in range(3000)
+    ]
+    for text, rows in zip(texts, engine(spark, texts)):
+        assert rows == brute.scan(text), text
+
+
 @pytest.mark.parametrize(
     "text",
     ["a." * 300_000 + "b@x", "a-" * 200_000 + "@" + "a." * 200_000, "x@" + "a." * 300_000 + "1", "1 " * 200_000,

@@ -1,7 +1,8 @@
 """Scan a text column: text in, flat findings out, no shuffle."""
 
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +50,10 @@ def _prepared(df: DataFrame, text: str, keep: list[str], rules: list[Rule]) -> D
     return features.select(*keep, gates.TEXT, gates.OTHER, hits(rules).alias("_hits"))
 
 
-def _findings() -> Column:
+@lru_cache(maxsize=2)
+def _findings(context: SparkContext) -> Column:
+    """The findings of a prepared row; the same expression for every scan, so it
+    is put together once per Spark context."""
     return resolve(candidates(F.col(gates.TEXT), F.col(gates.OTHER), F.col("_hits")))
 
 
@@ -59,7 +63,7 @@ def with_findings(df: DataFrame, text: str, rules: list[Rule] | None = None, nam
     keep = [c for c in df.columns if c != name]
     prepared = _prepared(df.withColumn("_source_text", F.col(text)), "_source_text", keep, rules)
     empty = F.array().cast(FINDINGS)
-    return compute_once(prepared, keep, {name: F.coalesce(_findings(), empty)})
+    return compute_once(prepared, keep, {name: F.coalesce(_findings(df.sparkSession.sparkContext), empty)})
 
 
 def scan_column(
@@ -76,7 +80,7 @@ def scan_column(
     """
     prepared = _prepared(df, text, keys, rules or builtin_rules())
     explode = F.inline_outer if keep_clean else F.inline
-    return prepared.select(*keys, explode(_findings()))
+    return prepared.select(*keys, explode(_findings(df.sparkSession.sparkContext)))
 
 
 def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataFrame) -> DataFrame:
@@ -112,7 +116,7 @@ def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataF
     body = F.col(text)
     ruled = df.select(*keys, body.alias(gates.TEXT), F.lit(False).alias(gates.OTHER), rules.alias("_rules"))
     prepared = ruled.select(*keys, gates.TEXT, gates.OTHER, found.alias("_hits"))
-    return prepared.select(*keys, F.inline(_findings()))
+    return prepared.select(*keys, F.inline(_findings(df.sparkSession.sparkContext)))
 
 
 def scan_sources(sources: list[tuple[str, DataFrame, list[str], str]], rules: list[Rule] | None = None) -> DataFrame:

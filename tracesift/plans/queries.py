@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesift.functions.folds import compute_once
 from tracesift.functions.validators import (
     ascii_digits,
     iban_check_digits,
@@ -38,6 +39,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
+
+
 # --- value checks on table columns ------------------------------------------
 
 
@@ -51,17 +56,17 @@ def card_number(prefix: str) -> Column:
 
 def luhn_lineitem(spark, sf_dir):
     value = card_number("4")
-    numbered = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+    numbered = compute_once(lineitem(spark, sf_dir), ["l_orderkey", "l_linenumber"], {"value": value})
     return numbered.filter(luhn_valid(F.col("value")))
 
 
 def card_completion(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", card_number("5").alias("body"))
+    lines = lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", card_number("5").alias("body"))
     return lines.select("l_orderkey", "l_linenumber", spaced4(luhn_complete(F.col("body"))).alias("card"))
 
 
 def iban_customers(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
     country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (F.pmod("c_nationkey", F.lit(5)) + 1).cast("int"))
     account = F.concat(F.lit("BANK"), F.lpad(F.col("c_custkey").cast("string"), 14, "0"))
     made = customers.select("c_custkey", country.alias("cc"), account.alias("account"))
@@ -74,7 +79,7 @@ def iban_customers(spark, sf_dir):
 
 
 def phone_shape_orders(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     n = F.lpad(F.col("o_orderkey").cast("string"), 10, "7")
     a, b, c = F.substring(n, 1, 3), F.substring(n, 4, 3), F.substring(n, 7, 4)
     forms = [
