@@ -49,26 +49,25 @@ def other_digits(text: Column) -> Column:
     return (F.length(text) != F.octet_length(text)) & text.rlike(r"[\x{660}-\x{10FFFF}&&\p{Nd}]")
 
 
-def with_features(df: DataFrame, text: str) -> DataFrame:
-    """Add the row features of column ``text``.
+def with_features(df: DataFrame) -> DataFrame:
+    """Add the row features of a DataFrame whose text is in column ``TEXT``.
 
     One pass looks for the start of any number or account; the narrower checks
     only run on the rows that pass it.
     """
     body, other, numbers = F.col(TEXT), F.col(OTHER), F.col(_NUMBERS)
     number_start = rf"[0-9A-Z](?:(?<=[0-9]){_EIGHT}|(?<=[A-Z]){_ACCOUNT})"
-    return (
-        df.withColumn(TEXT, F.col(text))
-        .withColumns({RUNS: long_runs(body), OTHER: other_digits(body), _NUMBERS: body.rlike(number_start)})
-        .withColumns(
-            {
-                # eight digits with at most two separators between neighbours
-                DIGITS: other | (numbers & body.rlike("[0-9]" + _EIGHT)),
-                # thirteen digits with at most one separator between neighbours
-                CARD: other | (numbers & body.rlike("[0-9]" + _THIRTEEN)),
-                IBAN: numbers & body.rlike("[A-Z]" + _ACCOUNT),
-            }
-        )
+    passes = df.withColumns(
+        {RUNS: long_runs(body), OTHER: other_digits(body), _NUMBERS: body.rlike(number_start)}
+    )
+    return passes.withColumns(
+        {
+            # eight digits with at most two separators between neighbours
+            DIGITS: other | (numbers & body.rlike("[0-9]" + _EIGHT)),
+            # thirteen digits with at most one separator between neighbours
+            CARD: other | (numbers & body.rlike("[0-9]" + _THIRTEEN)),
+            IBAN: numbers & body.rlike("[A-Z]" + _ACCOUNT),
+        }
     )
 
 

@@ -17,7 +17,8 @@ def resolve(candidates: Column) -> Column:
 
 def _kept_ends(ordered: Column) -> Column:
     """After each candidate, the end of the last one kept so far."""
-    return running(ordered, lambda end, c: F.when(c["start"] >= end, -c["neg_end"]).otherwise(end))
+    spans = F.transform(ordered, lambda c: F.struct(c["start"].alias("start"), (-c["neg_end"]).alias("end")))
+    return running(spans, lambda end, s: F.when(s["start"] >= end, s["end"]).otherwise(end))
 
 
 def _keep(ordered: Column, ends: Column) -> Column:

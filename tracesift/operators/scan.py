@@ -14,6 +14,8 @@ from tracesift.operators.rules import Rule, builtin_rules, token_regex
 
 FINDINGS = "array<struct<kind:string,value:string,start:bigint,end:bigint>>"
 
+_TABLE_RULES = RULE_ARRAY.replace("plain_regex:string", "plain_regex:string,anchors:array<string>")
+
 # Bound on a rule table that is sent to every task.
 MAX_TABLE_RULES = 100_000
 
@@ -46,7 +48,7 @@ def spread(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
 
 
 def _prepared(df: DataFrame, text: str, keep: list[str], rules: list[Rule]) -> DataFrame:
-    features = gates.with_features(df.select(*keep, text), text)
+    features = gates.with_features(df.select(*keep, F.col(text).alias(gates.TEXT)))
     return features.select(*keep, gates.TEXT, gates.OTHER, hits(rules).alias("_hits"))
 
 
@@ -61,7 +63,7 @@ def with_findings(df: DataFrame, text: str, rules: list[Rule] | None = None, nam
     """The input plus one array column; a clean or null text gets an empty array."""
     rules = rules or builtin_rules()
     keep = [c for c in df.columns if c != name]
-    prepared = _prepared(df.withColumn("_source_text", F.col(text)), "_source_text", keep, rules)
+    prepared = _prepared(df, text, keep, rules)
     empty = F.array().cast(FINDINGS)
     return compute_once(prepared, keep, {name: F.coalesce(_findings(df.sparkSession.sparkContext), empty)})
 
@@ -102,8 +104,8 @@ def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataF
         F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
     )
     listed = F.when(F.count("*") <= MAX_TABLE_RULES, F.sort_array(F.collect_list(rule)))
-    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(RULE_ARRAY.replace("plain_regex:string", "plain_regex:string,anchors:array<string>"))
-    rules = table.agg(F.coalesce(listed, too_many)).scalar()
+    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(_TABLE_RULES)
+    rules = table.limit(MAX_TABLE_RULES + 1).agg(F.coalesce(listed, too_many)).scalar()
 
     def usable(r):
         body = F.col(gates.TEXT)
