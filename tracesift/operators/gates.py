@@ -5,13 +5,19 @@ text; a rule's own expression only runs on the rows that pass its gate.  Every
 gate is sound: a row it rejects has no valid finding of that rule.
 """
 
+from string import ascii_letters, ascii_uppercase, digits
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.operators.rules import Rule
 
+# Sets are spelled out: the regex engine looks a listed character up in a table,
+# but tests ranges one after the other.
+_DIGIT, _CAPITAL, _EITHER = f"[{digits}]", f"[{ascii_uppercase}]", f"[{digits}{ascii_uppercase}]"
+
 # Every built-in token rule but two matches a single run of at least 20 of these.
-_RUN = r"[A-Za-z0-9_~.+/=:-]"
+_RUN = f"[{ascii_letters}{digits}_~.+/=:-]"
 RUN_LENGTH = 20
 
 # Above this many bytes a text is not cut into words for the run feature.
@@ -22,9 +28,9 @@ _NUMBERS = "_numbers"
 _FEATURE = {"digits": DIGITS, "card": CARD, "iban": IBAN}
 
 # What must follow the first digit, or the first capital, of a finding.
-_EIGHT = r"(?:[ .()-]{0,2}[0-9]){7}"
-_THIRTEEN = r"(?:[ -]?[0-9]){12}"
-_ACCOUNT = r"[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2}"
+_EIGHT = f"(?:[ .()-]{{0,2}}{_DIGIT}){{7}}"
+_THIRTEEN = f"(?:[ -]?{_DIGIT}){{12}}"
+_ACCOUNT = f"{_CAPITAL}{_DIGIT}{{2}}(?: ?{_EITHER}{{4}}){{2}}"
 
 
 def long_runs(text: Column) -> Column:
@@ -56,17 +62,17 @@ def with_features(df: DataFrame) -> DataFrame:
     only run on the rows that pass it.
     """
     body, other, numbers = F.col(TEXT), F.col(OTHER), F.col(_NUMBERS)
-    number_start = rf"[0-9A-Z](?:(?<=[0-9]){_EIGHT}|(?<=[A-Z]){_ACCOUNT})"
+    number_start = f"{_EITHER}(?:(?<={_DIGIT}){_EIGHT}|(?<={_CAPITAL}){_ACCOUNT})"
     passes = df.withColumns(
         {RUNS: long_runs(body), OTHER: other_digits(body), _NUMBERS: body.rlike(number_start)}
     )
     return passes.withColumns(
         {
             # eight digits with at most two separators between neighbours
-            DIGITS: other | (numbers & body.rlike("[0-9]" + _EIGHT)),
+            DIGITS: other | (numbers & body.rlike(_DIGIT + _EIGHT)),
             # thirteen digits with at most one separator between neighbours
-            CARD: other | (numbers & body.rlike("[0-9]" + _THIRTEEN)),
-            IBAN: numbers & body.rlike("[A-Z]" + _ACCOUNT),
+            CARD: other | (numbers & body.rlike(_DIGIT + _THIRTEEN)),
+            IBAN: numbers & body.rlike(_CAPITAL + _ACCOUNT),
         }
     )
 
