@@ -81,8 +81,12 @@ def gate(rule: Rule) -> str:
     """SQL condition: may a row hold a finding of ``rule``?"""
     if rule.gate in _FEATURE:
         return _FEATURE[rule.gate]
-    column = RUNS if rule.gate == "runs" else TEXT
-    return " OR ".join(f"contains({column}, {sql_text(a)})" for a in rule.anchors) or "true"
+    return anchor_condition(RUNS if rule.gate == "runs" else TEXT, rule.anchors)
+
+
+def anchor_condition(column: str, anchors: tuple[str, ...]) -> str:
+    """SQL condition: does the column hold one of the anchors (or are there none)?"""
+    return " OR ".join(f"contains({column}, {sql_text(a)})" for a in anchors) or "true"
 
 
 def row_gate(rules: list[Rule]) -> str:

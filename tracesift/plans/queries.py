@@ -15,7 +15,8 @@ from tracesift.functions.validators import (
     phone_valid,
     spaced4,
 )
-from tracesift.operators.rules import rule_listing, rules_df, rules_from_df
+from tracesift.operators.gates import anchor_condition
+from tracesift.operators.rules import builtin_rules, rule_listing, rules_df, rules_from_df
 from tracesift.operators.scan import scan_column, scan_sources, scan_with_rule_table, select_rules, spread, with_findings
 from tracesift.plans import oracle, planted
 from tracesift.plans.corpus import labelled_examples
@@ -106,15 +107,14 @@ def phone_shape_orders(spark, sf_dir):
 def rule_listing_hits(spark, sf_dir):
     """The rule listing with the number of documents each rule's anchors occur in.
 
-    The rules stay an array beside each text, so a document is read once and only
-    the rules it holds an anchor of are counted.
+    A document is read once and gives one row per rule it holds an anchor of;
+    those are counted before they are shuffled, at most 70 groups per task.
     """
-    rules = rules_df(spark)
-    listed = rules.agg(F.sort_array(F.collect_list(F.struct("ord", "anchors")))).scalar()
-    texts = planted.plant_tokens(documents(spark, sf_dir), "doc_id", "text").withColumn("rules", listed)
-    present = F.filter("rules", lambda r: F.exists(r["anchors"], F.col("text").contains))
-    hits = texts.select(F.explode(F.transform(present, lambda r: r["ord"])).alias("ord")).groupBy("ord").count()
-    joined = rule_listing(rules).join(hits, "ord", "left")
+    rules = [r for r in builtin_rules() if r.ord < planted.N_RULES]
+    present = [f"IF({anchor_condition('text', r.anchors)}, {r.ord}, NULL)" for r in rules]
+    texts = planted.plant_tokens(documents(spark, sf_dir), "doc_id", "text")
+    hits = texts.select(F.explode(F.expr(f"array({', '.join(present)})")).alias("ord")).filter("ord IS NOT NULL")
+    joined = rule_listing(rules_df(spark)).join(hits.groupBy("ord").count(), "ord", "left")
     return joined.select("ord", "line", F.coalesce("count", F.lit(0)).alias("documents"))
 
 
