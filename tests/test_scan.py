@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests import brute
 from tracesift.operators import rule_data as data
