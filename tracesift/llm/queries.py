@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe
+from tracesift.llm import byte_bpe, phrase_index, simhash
 from tracesift.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,53 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", radius=4, shingle=4, seed=42)
+
+
+def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = phrase_index.contamination(docs, "doc_id", "text", tests, "item_id", "text", width=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        phrase_index.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+PHRASE_SQL = r"""
+WITH tests AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, list_slice(words, i, i + 12) AS w
+  FROM tests, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS r(i) WHERE len(words) > 0
+), docs AS (
+  SELECT doc_id, row_number() OVER () AS row_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents
+), sizes AS (SELECT DISTINCT len(w) AS n FROM windows
+), places AS (
+  SELECT row_id, i, n, list_slice(words, i, i + n - 1) AS w
+  FROM docs, sizes, unnest(range(1, len(words) - n + 2)) AS r(i) WHERE len(words) >= n
+), hits AS (
+  SELECT row_id, i, n, item_id FROM places JOIN windows USING (w)
+), covered AS (
+  SELECT row_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) AS r(k) GROUP BY row_id
+), items AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN items USING (row_id)
+"""
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
@@ -28,7 +75,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash": op3_simhash,
+    "op6_phrase_index": op6_phrase_index,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_phrase_index": PHRASE_SQL,
+}
