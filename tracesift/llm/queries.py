@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, phrase_index, simhash
-from tracesift.llm.common import read_table
+from tracesift.llm import byte_bpe, decision_list, line_crf, phrase_index, simhash
+from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,34 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", radius=4, shingle=4, seed=42)
 
 
+#: A score from this on counts as label 1.
+QUALITY_THRESHOLD = 0.3
+
+
+def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    weights, ties = line_crf.train(docs, labels, "doc_id", "text", "quality")
+    scored = line_crf.score(docs, ["doc_id"], "text", weights, ties)
+    return scored.select(
+        "doc_id",
+        line_crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    stats = written(decision_list.statistics(docs, "doc_id", "text"), "statistics")
+    rules = decision_list.train(stats, labels, "doc_id", "quality")
+    return stats.select(
+        "doc_id",
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        decision_list.base_failed().alias("base_failed"),
+        (~decision_list.base_failed() & decision_list.verdict(rules)).alias("kept"),
+    )
+
+
 def op6_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, tests = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     found = phrase_index.contamination(docs, "doc_id", "text", tests, "item_id", "text", width=13)
@@ -76,7 +104,9 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
+    "op5_line_crf": op5_line_crf,
     "op6_phrase_index": op6_phrase_index,
+    "op7_decision_list": op7_decision_list,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
