@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, decision_list, line_crf, phrase_index, simhash
+from tracesift.llm import byte_bpe, chat_format, decision_list, line_crf, phrase_index, simhash, url_rules
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,75 @@ Query = Callable[[SparkSession, str], DataFrame]
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+#: The rules of the contract: action, host, path.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, ["page_id"], "url", url_rules.rule_table(spark, RULES))
+
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules(verdict, rule_host, rule_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), chosen AS (
+  SELECT cut.*, (SELECT {'rule': rule_host || rule_path, 'verdict': verdict} FROM rules
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    ORDER BY length(rule_host || rule_path) DESC LIMIT 1) AS best FROM cut
+)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM chosen
+"""
+
+#: The conversation that the query adds: a user's and an assistant's row, both of control strings.
+HARD_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [F.struct(F.lit(-1).cast("long"), F.lit(i).cast("long"), F.lit(role), F.lit(HARD_TEXT)) for i, role in enumerate(("user", "assistant"))]
+    added = spark.range(1).select(F.inline(F.array(*hard))).toDF(*rows.columns)
+    made = chat_format.format_chats(rows.union(added), "conv_id", "turn", "role", "text")
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = chat_format.masked_text(F.col("formatted"), F.col("mask"))
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), marked AS (
+  SELECT *, role = 'assistant' AS own, contains(role, chr(10)) AS broken,
+    contains(role || chr(10) || text, CASE WHEN role = 'assistant' THEN '</s>' ELSE ' [/INST]' END) AS clash,
+    len(regexp_extract_all(role || chr(10) || text, '[\[<]\\*/?(?:INST\]|s>)')) AS controls,
+    length(role) - length(replace(replace(role, chr(10), ''), chr(92), '')) AS breaks
+  FROM turns
+), steps AS (
+  SELECT conv_id, CASE WHEN bool_or(broken) THEN 2 WHEN bool_or(clash) THEN 1 ELSE 0 END AS step FROM marked GROUP BY conv_id
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN own THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN own THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(length(role) + 1 + length(text) + CASE WHEN own THEN 7 ELSE 15 END + CASE WHEN step > 0 THEN controls ELSE 0 END
+    + CASE WHEN step > 1 THEN breaks ELSE 0 END) + any_value(CASE WHEN step > 0 THEN step + 2 ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM marked JOIN steps USING (conv_id) GROUP BY conv_id
+"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", radius=4, shingle=4, seed=42)
 
@@ -103,6 +172,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_rules": op1_url_rules,
+    "op2_chat_format": op2_chat_format,
     "op3_simhash": op3_simhash,
     "op5_line_crf": op5_line_crf,
     "op6_phrase_index": op6_phrase_index,
@@ -111,5 +182,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_rules": URL_SQL,
+    "op2_chat_format": CHAT_SQL,
     "op6_phrase_index": PHRASE_SQL,
 }
