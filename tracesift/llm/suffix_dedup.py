@@ -99,7 +99,7 @@ def find_anchors(texts: DataFrame, width: int) -> DataFrame:
             salt = np.where(first[which] == np.arange(len(h)), 0, 1 + np.arange(len(h)) % (1 << 20)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in (h, slot, n, place, salt, sure)], ["h", "slot", "n", "place", "salt", "sure"])
 
-    return texts.select("slot", "n", "text").mapInArrow(run, _ANCHORS)
+    return texts.select("row", "slot", "n", "text").mapInArrow(run, _ANCHORS)
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def surroundings(texts: DataFrame, found: DataFrame, width: int) -> DataFrame:
                 ["h", "slot", "n", "at", "high", "around"],
             )
 
-    return texts.select("slot", "n", "text").join(gathered, "slot").mapInArrow(run, schema)
+    return texts.select("row", "slot", "n", "text").join(gathered, "slot").mapInArrow(run, schema)
 
 
 def blind_trie(strings: list[bytes], items: list[int], depth: int) -> list[int]:
@@ -355,12 +355,13 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 100) -> Da
     copies = sizes.join(first, "content").where((F.col("first.slot") != F.col("slot")) | (F.col("first.n") != F.col("n")))
     copies = copies.select("slot", "n", F.lit(0).alias("start"), F.col("bytes").alias("end"))
     copied = copies.groupBy("slot").agg(F.collect_set("n").alias("copied"))
-    texts = rows.select("slot", "n", "text")
+    # all three readings of the texts take the same columns, so that Spark deals the texts out by slot once
+    texts = rows.select("row", "slot", "n", "text")
     own = texts.join(copied, "slot", "left").where(F.col("copied").isNull() | ~F.array_contains("copied", F.col("n")))
     occurrences = surroundings(texts, repeated(find_anchors(own, width)), width)
     spans = repeated_spans(occurrences, width).union(copies.where(F.col("end") >= width))
     removed = spans.groupBy("slot").agg(F.collect_list(F.struct("n", "start", "end")).alias("removed"))
-    joined = rows.select("row", "slot", "n", "text").join(removed, "slot", "left")
+    joined = texts.join(removed, "slot", "left")
     row = joined.schema["row"]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType(
