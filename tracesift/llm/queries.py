@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, chat_format, decision_list, line_crf, phrase_index, simhash, suffix_dedup, url_rules
+from tracesift.llm import byte_bpe, chat_format, decision_list, line_crf, phrase_index, simhash, suffix_dedup, url_rules, warc
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), "doc_id", "text", radius=4, shingle=4, seed=42)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages, "page_id", "url", "html"))
+    keys = pages.select(warc.url_key(F.col("url")).alias("key"))
+    records = warc.read_records(warc.look_up(index, keys))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), hashed AS (SELECT *, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM payloads
+)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31) + 1, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM hashed
+"""
+
 #: A score from this on counts as label 1.
 QUALITY_THRESHOLD = 0.3
 
@@ -187,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_chat_format": op2_chat_format,
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_line_crf": op5_line_crf,
     "op6_phrase_index": op6_phrase_index,
     "op7_decision_list": op7_decision_list,
@@ -197,5 +219,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_url_rules": URL_SQL,
     "op2_chat_format": CHAT_SQL,
+    "op4_warc": WARC_SQL,
     "op6_phrase_index": PHRASE_SQL,
 }
