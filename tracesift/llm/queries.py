@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, chat_format, decision_list, line_crf, phrase_index, simhash, suffix_dedup, url_rules, warc
+from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_crf, phrase_index, simhash, suffix_dedup, url_rules, warc
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,19 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
+    exact = F.size(F.filter("found", lambda f: f["missing"] + f["extra"] == 0))
+    return found.select(
+        "doc_id",
+        F.col("n_candidates").cast("long").alias("n_candidates"),
+        F.size("found").cast("long").alias("n_found"),
+        exact.cast("long").alias("n_exact"),
+        F.array_join(names, ",").alias("licenses"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_chat_format": op2_chat_format,
@@ -214,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "op7_decision_list": op7_decision_list,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
