@@ -34,7 +34,7 @@ _WORD_BYTES = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
 )
 
-_INDEX = "segment string, keys array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
+_INDEX = "segment string, keys array<{}>, n_words array<int>, terms array<binary>, counts array<int>, postings binary"
 _HITS = "segment string, place int, spans array<struct<start:int,end:int>>, items array<string>"
 
 
@@ -76,16 +76,17 @@ def segment(keys: pa.Array, texts: list[str | None]) -> dict:
 
 def build(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The index as a written table: a row per segment, its documents in the order of ``keys``."""
-    held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    kinds = {"keys": pa.int64(), "n_words": pa.int32(), "terms": pa.binary(), "counts": pa.int32()}
+    held = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kinds = {"n_words": pa.int32(), "terms": pa.binary(), "counts": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SEGMENT_BYTES):
             made = segment(batch.column("key"), batch.column("text").to_pylist())
-            columns = [pa.array([made[c]], pa.list_(kinds[c]) if c in kinds else None) for c in made]
+            lists = kinds | {"keys": batch.column("key").type}
+            columns = [pa.array([made[c]], pa.list_(lists[c]) if c in lists else None) for c in made]
             yield pa.RecordBatch.from_arrays(columns, list(made))
 
-    return written(held.mapInArrow(run, _INDEX), "phrase-index")
+    return written(held.mapInArrow(run, _INDEX.format(held.schema["key"].dataType.simpleString())), "phrase-index")
 
 
 class Windows:

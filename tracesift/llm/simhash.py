@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracesift.llm.common import chunks, written
 
@@ -57,18 +58,22 @@ def fingerprint(text: str | None, shingle: int, seed: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``key`` and ``fp`` (the fingerprint as a signed long) of every row."""
-    held = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, seed: int = 42, rows: bool = False) -> DataFrame:
+    """``id`` (the key) and ``fp`` (the fingerprint as a signed long) of every row; with ``rows`` the whole row, too."""
+    held = docs.select(
+        F.col(f"`{text}`").cast("string").alias("text"),
+        F.col(f"`{key}`").cast("long").alias("id"),
+        *([F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns))).alias("row")] if rows else []),
+    )
+    schema = T.StructType([*held.schema.fields[1:], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"]
-            )
+            made = pa.array(np.array(found, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], schema.names)
 
-    return held.mapInArrow(run, "id long, fp long")
+    return held.mapInArrow(run, schema)
 
 
 def part_masks(parts: int = PARTS) -> list[int]:
@@ -227,14 +232,27 @@ def components(links: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest key that links reach) of every row."""
-    prints = written(fingerprints(docs, key, text, shingle, seed), "fingerprints")
+def grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``root`` (equal for the fingerprints of a component) and ``component_id`` of every distinct fingerprint."""
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, key: str, text: str, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest key that links reach) of every row."""
+    prints = written(fingerprints(docs, key, text, shingle, seed), "fingerprints")
+    return prints.join(grouped(prints, radius), "fp").select(
         F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, key: str, text: str, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """Of every component the row with the smallest key (null last), then the smallest hash of its text."""
+    prints = written(fingerprints(docs, key, text, shingle, seed, rows=True), "fingerprints")
+    at = docs.columns.index(text)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(f"row._{at}"), F.xxhash64("row"))
+    kept = prints.join(grouped(prints, radius).select("fp", "root"), "fp").groupBy("root").agg(F.min_by("row", order).alias("row"))
+    return kept.select(*(F.col(f"row._{i}").alias(c) for i, c in enumerate(docs.columns)))
