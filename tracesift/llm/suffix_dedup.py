@@ -340,7 +340,7 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.col(f"`{key}`").isNull().alias("keyless"),
         F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
     ).withColumn("row", F.col("row").dropFields(f"_{docs.columns.index(text)}") if len(docs.columns) > 1 else F.lit(None).cast("int"))
-    made = made.withColumn("content", F.unhex(F.md5("text")))
+    made = made.withColumns({"content": F.unhex(F.md5("text")), "bytes": F.octet_length("text")})
     number = F.row_number().over(Window.partitionBy("slot").orderBy("keyless", "content"))
     return made.withColumn("n", (number + F.when(F.col("keyless"), KEYLESS).otherwise(0)).cast("int")).drop("keyless")
 
@@ -350,7 +350,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 100) -> Da
     bytes) and ``n_bytes``.  The text loses whole characters only; one that is removed in part stays."""
     rows = numbered(docs, key, text)
     order = F.struct((F.col("n") >= KEYLESS).alias("keyless"), "slot", "n")
-    sizes = rows.select("slot", "n", "content", F.octet_length("text").alias("bytes"))
+    sizes = rows.select("slot", "n", "content", "bytes")
     first = sizes.groupBy("content").agg(F.min(order).alias("first"))
     copies = sizes.join(first, "content").where((F.col("first.slot") != F.col("slot")) | (F.col("first.n") != F.col("n")))
     copies = copies.select("slot", "n", F.lit(0).alias("start"), F.col("bytes").alias("end"))
