@@ -46,6 +46,10 @@ def test_scoring(spark):
     assert len(wrong) == 21 and all(r.want == [] and r.got for r in wrong)
     with pytest.raises(Exception, match="69 of 90 examples match"):
         require_exact(examples).collect()
+    with pytest.raises(Exception, match="examples match"):
+        require_exact(examples).count()
+    with pytest.raises(Exception, match="examples match"):
+        require_exact(examples).select("accuracy_pct").collect()
     assert require_exact(generate(spark, 40)).first().ok == 40
     assert accuracy(examples.filter("id < 0")).first().accuracy_pct == 0.0
     twice = generate(spark, 1).withColumn("expected", F.concat("expected", "expected"))
@@ -66,6 +70,10 @@ def test_examples_as_files(spark, tmp_path):
     lines.write_text('{"text":"a"}\n')
     with pytest.raises(Exception, match="example without expected"):
         read_examples(spark, str(lines)).collect()
+    for label in ('{"kind":"k"}', '{"value":"v"}', "{}"):
+        lines.write_text('{"text":"a","expected":[]}\n{"text":"a","expected":[' + label + "]}\n")
+        with pytest.raises(Exception, match="label without kind or value in .*lines.jsonl"):
+            read_examples(spark, str(lines)).collect()
 
 
 def test_text_files(spark, tmp_path):

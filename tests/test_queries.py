@@ -22,7 +22,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", list(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(set(entry_point.queries()) & set(ORACLES)))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     got = entry_point.queries()[name](spark, sf_dir)
     want = duck.execute(ORACLES[name])

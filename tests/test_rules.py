@@ -23,7 +23,7 @@ from tracesift.operators.rules import (
     rules_from_df,
     token_regex,
 )
-from tracesift.operators.scan import scan_column, scan_with_rule_table, select_rules
+from tracesift.operators.scan import scan_column, scan_with_rule_table, select_rules, with_findings
 from tracesift.plans.corpus import token_value
 
 
@@ -166,6 +166,45 @@ def test_user_rules(spark):
     want = {(1, "it's", "it's-1234", 3, 12), (1, "card", "4111111111111111", 13, 29), (2, "late", "it's-12345", 0, 10)}
     assert {tuple(r) for r in scan_column(df, ["k"], "t", rules_from_df(table)).collect()} == want
     assert {tuple(r) for r in scan_with_rule_table(df, ["k"], "t", table).collect()} == want
+    assert {tuple(r) for r in scan_column(df, ["k"], "t", table).collect()} == want
+
+
+TABLE = "ord INT, id STRING, pattern STRING, anchors ARRAY<STRING>, validator STRING"
+
+
+def test_no_rules_find_nothing(spark):
+    df = spark.createDataFrame([(1, "4111111111111111"), (2, None), (3, "")], "k INT, t STRING")
+    none = spark.createDataFrame([], TABLE)
+    for rules in ([], rules_from_df(none), none):
+        assert scan_column(df, ["k"], "t", rules).count() == 0
+        assert sorted(r.k for r in scan_column(df, ["k"], "t", rules, keep_clean=True).collect()) == [1, 2, 3]
+    assert [len(r.findings) for r in with_findings(df, "t", []).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("row", [(0, "odd", "a", None, "nope"), (0, "odd", "(", None, None), (None, "odd", "a", None, None)])
+def test_bad_rows_of_a_table_name_the_rule(spark, row):
+    df = spark.createDataFrame([(1, "a")], "k INT, t STRING")
+    table = spark.createDataFrame([(5, "fine", "b", ["b"], None), row], TABLE)
+    with pytest.raises(ValueError, match="rule odd"):
+        scan_column(df, ["k"], "t", table)
+    if row[0] is not None:
+        with pytest.raises(ValueError, match="rule odd"):
+            rules_from_df(table)
+
+
+def test_a_long_table_equals_its_unrolled_part(spark, monkeypatch):
+    """Thousands of rules, in one block of anchors or in several; equal keys and rows stay apart."""
+    from tracesift.operators import rule_table
+
+    rows = [(i, f"k{i}", f"p{i}_[0-9]{{3}}", [f"p{i}_", "zz_"][: 1 + i % 2], None) for i in range(3000)]
+    table = spark.createDataFrame(rows, TABLE)
+    texts = [(i % 5, f"x p{i}_123 p{i + 1}_45 zz_ p{3 * i}_777é p7_000") for i in range(200)] * 2
+    df = spark.createDataFrame(texts, "k INT, t STRING")
+    want = sorted((k, f"k{m[1]}", m[0], len(t[: m.start()].encode())) for k, t in texts for m in re.finditer(r"(?<!\w)p(\d+)_\d{3}(?![A-Za-z0-9_])", t) if int(m[1]) < 3000)
+    for size in (rule_table.BLOCK_BYTES, 20_000):
+        monkeypatch.setattr(rule_table, "BLOCK_BYTES", size)
+        got = scan_with_rule_table(df, ["k"], "t", table).collect()
+        assert sorted((r.k, r.kind, r.value, r.start) for r in got) == want
 
 
 def test_sql_text_needs_no_escapes(spark):

@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
 from tracesift.operators import rule_data as data
@@ -100,21 +102,40 @@ def test_character_soup_equals_definition(spark, alphabet):
     rng = random.Random(alphabet)
     heads = ["", "FR76", "a@b.c", "ghp_", "+1", "(415)", "-----BEGIN PRIVATE KEY-----", "abc1Q~", "SK", "000-00-0000"]
     texts = [
-        rng.choice(heads) + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) + rng.choice(heads)
-        for _ in range(3000)
+        rng.choice(heads) + "".join(rng.choice(alphabet) for _ in range(rng.choice([rng.randint(0, 60), rng.randint(60, 200)]))) + rng.choice(heads)
+        for _ in range(2000)
     ]
     for text, rows in zip(texts, engine(spark, texts)):
         assert rows == brute.scan(text), text
 
 
 @pytest.mark.parametrize(
-    "text",
+    "run",
     ["a." * 300_000 + "b@x", "a-" * 200_000 + "@" + "a." * 200_000, "x@" + "a." * 300_000 + "1", "1 " * 200_000,
      "é" * 300_000 + "@", "AB12 " * 100_000, "1-" * 200_000, "." * 500_000 + "@x.com", "0" * 500_000],
     ids=["dotted local", "dashed local", "dotted domain", "digits", "accents", "caps", "dashes", "leader", "zeros"],
 )
-def test_long_runs_finish(spark, text):
-    assert len(engine(spark, [text])[0]) >= 0
+def test_long_runs_finish(spark, run):
+    """A run without findings hides none before or after it, and costs seconds at most."""
+    before, after = f"pay {CARD} now\n", f"\nmail é@x q.r@mail.io {GH}"
+    started = time.perf_counter()
+    got = engine(spark, [before + run + after])[0]
+    assert time.perf_counter() - started < 60
+    at = len((before + run + after).encode()) - len(f"q.r@mail.io {GH}")
+    assert got == [
+        ("credit_card", CARD, 4, 20), ("email", "q.r@mail.io", at, at + 11), ("github-pat", GH, at + 12, at + 12 + len(GH))
+    ]
+
+
+@pytest.mark.parametrize("size", [(4 << 20) - 100, (4 << 20) + 100], ids=["below", "above"])
+def test_texts_around_four_mebibytes(spark, size):
+    filler = "the quick brown fox "
+    text = f"{GH} " + filler * (size // len(filler)) + f" {CARD} {GL} a@b.io"
+    raw = text.encode()
+    got = engine(spark, [text, "x" * size + " " + GH])
+    assert [(k, v) for k, v, _, _ in got[0]] == [("github-pat", GH), ("credit_card", CARD), ("gitlab-pat", GL), ("email", "a@b.io")]
+    assert all(raw[s:e].decode() == v for _, v, s, e in got[0])
+    assert got[1] == [("github-pat", GH, size + 1, size + 1 + len(GH))]
 
 
 def test_many_findings_in_one_row(spark):
@@ -149,10 +170,24 @@ def test_plan_has_no_shuffle_and_reads_two_columns(spark, sf_dir):
     assert "Filter (" not in plan
 
 
-def test_spread_only_small_inputs(spark, sf_dir):
+def test_spread_only_when_asked(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert "Exchange" in spread(docs)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in spread(docs, limit=1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in spread(docs, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in spread(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_name_of_the_input_clashes(spark):
+    names = ["_text", "_runs", "_other", "_digits", "_card", "_iban", "_numbers", "_hits", "_k0", "findings", "a.b", "te.xt", "_row"]
+    values = [*map(str, range(len(names)))]
+    values[names.index("te.xt")] = f"see {GH}"
+    df = spark.createDataFrame([tuple(values)], ", ".join(f"`{n}` string" for n in names))
+    wide = with_findings(df, "te.xt")
+    assert sorted(wide.columns) == sorted(names) and len(wide.first()["findings"]) == 1
+    keys = [n for n in names if n != "te.xt"]
+    rows = scan_column(df, keys, "te.xt").collect()
+    assert [tuple(r) for r in rows] == [(*[v for n, v in zip(names, values) if n != "te.xt"], "github-pat", GH, 4, 4 + len(GH))]
+    with pytest.raises(ValueError, match="kind"):
+        scan_column(df.withColumn("kind", F.lit(1)), ["kind"], "te.xt")
 
 
 def test_rule_count():

@@ -73,12 +73,12 @@ VALIDATORS = {
 
 
 def validate(name: Column, value: Column) -> Column:
-    """Apply the check whose name is in ``name``."""
+    """Apply the check whose name is in ``name``; an unknown name fails the job."""
     checks = F.when(name == "none", any_valid(value))
     for known, check in VALIDATORS.items():
         if known != "none":
             checks = checks.when(name == known, check(value))
-    return checks.otherwise(F.lit(False))
+    return checks.otherwise(F.raise_error(F.concat(F.lit("unknown validator "), F.coalesce(name, F.lit("null")))).cast("boolean"))
 
 
 def iban_check_digits(country: Column, account: Column) -> Column:

@@ -11,7 +11,9 @@ from tracesift.operators import gates
 from tracesift.operators.rules import Rule
 
 
-RULE_ARRAY = "array<struct<ord:int,kind:string,validator:string,regex:string,plain_regex:string>>"
+RULE = "struct<ord:int,kind:string,validator:string,regex:string,plain_regex:string>"
+RULE_ARRAY = f"array<{RULE}>"
+HITS = f"array<struct<rule:{RULE},matches:array<string>>>"
 
 
 def _matches(rule: Rule) -> str:
@@ -42,6 +44,8 @@ def hits(rules: list[Rule]) -> Column:
     All matches are taken first and checked later: a match that fails its check
     has still used up its part of the text.
     """
+    if not rules:
+        return F.lit(None).cast(HITS)
     paired = F.arrays_zip(
         _rule_array(rules).alias("rule"), F.expr(f"array({', '.join(map(_matches, rules))})").alias("matches")
     )

@@ -96,7 +96,7 @@ def row_gate(rules: list[Rule]) -> str:
     parts += [column for name, column in _FEATURE.items() if name in needed]
     if "runs" in needed:
         parts.append(f"{RUNS} != ''")
-    return " OR ".join(parts)
+    return " OR ".join(parts) or "false"
 
 
 def sql_text(value: str) -> str:

@@ -3,6 +3,7 @@
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +13,6 @@ from tracesift.operators.shape_data import layouts
 
 RULE_SCHEMA = "ord INT, id STRING, pattern STRING, anchors ARRAY<STRING>, validator STRING"
 
-# A rule table is configuration.  Up to this many rules are unrolled into the
-# plan; a longer table goes through scan_with_rule_table.
-MAX_UNROLLED_RULES = 500
-
 # Local parts longer than this that belong to no address are skipped in one
 # step, so that the search stays linear on very long dotted runs.
 LONG_RUN = 64
@@ -128,16 +125,23 @@ def builtin_rules() -> list[Rule]:
     return rules
 
 
+def _compiles(spark: SparkSession, rules: list[Rule]) -> bool:
+    """Whether the regex engine takes all the patterns; one row is read, no table."""
+    try:
+        spark.range(1).select(F.array(*[F.regexp_count(F.lit(""), F.lit(r.regex)) for r in rules])).collect()
+    except PySparkException:
+        return False
+    return True
+
+
 def check_rules(spark: SparkSession, rules: list[Rule]) -> list[Rule]:
-    """Fail on the driver, naming the rule, before a job starts."""
-    compile_ = spark._jvm.java.util.regex.Pattern.compile
+    """Fail before a job over the texts starts, naming the rule."""
     for rule in rules:
         if rule.validator not in VALIDATORS:
             raise ValueError(f"rule {rule.kind}: unknown validator {rule.validator!r}")
-        try:
-            compile_(rule.regex)
-        except Exception as err:
-            raise ValueError(f"rule {rule.kind}: bad pattern {rule.pattern!r}") from err
+    if rules and not _compiles(spark, rules):
+        bad = next((r for r in rules if not _compiles(spark, [r])), rules[0])
+        raise ValueError(f"rule {bad.kind}: bad pattern {bad.pattern!r}")
     return rules
 
 
@@ -150,13 +154,12 @@ def rules_df(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def rules_from_df(table: DataFrame) -> list[Rule]:
-    """Token rules from a user's table (``ord, id, pattern, anchors, validator``).
+    """Token rules from a user's table (``ord, id, pattern, anchors, validator``), to be unrolled into the plan.
 
-    ``anchors`` may be empty or null: the rule is then tried on every text.
+    ``anchors`` may be empty or null: the rule is then tried on every text.  The plan grows by an
+    expression for each rule; a long table is better given to ``scan_column`` as it is.
     """
-    rows = table.select("ord", "id", "pattern", "anchors", "validator").limit(MAX_UNROLLED_RULES + 1).collect()
-    if len(rows) > MAX_UNROLLED_RULES:
-        raise ValueError(f"more than {MAX_UNROLLED_RULES} rules: use scan_with_rule_table")
+    rows = table.select("ord", "id", "pattern", "anchors", "validator").collect()
     rules = [
         Rule(r.ord, r.id, r.pattern, token_regex(r.pattern), tuple(r.anchors or ()), r.validator or "none")
         for r in sorted(rows, key=lambda r: r.ord)

@@ -2,26 +2,18 @@
 
 from functools import lru_cache, reduce
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.functions.folds import compute_once
 from tracesift.operators import gates
-from tracesift.operators.extract import RULE_ARRAY, candidates, hits
+from tracesift.operators.extract import RULE, candidates, hits
 from tracesift.operators.resolve import resolve
-from tracesift.operators.rules import Rule, builtin_rules, token_regex
+from tracesift.operators.rule_table import candidate_pairs, checked
+from tracesift.operators.rules import Rule, builtin_rules
 
 FINDINGS = "array<struct<kind:string,value:string,start:bigint,end:bigint>>"
-
-_TABLE_RULES = RULE_ARRAY.replace("plain_regex:string", "plain_regex:string,anchors:array<string>")
-
-# Bound on a rule table that is sent to every task.
-MAX_TABLE_RULES = 100_000
-
-# An input up to this size is spread over the cores; a larger one already has
-# enough splits and is never shuffled.
-SPREAD_LIMIT = 1 << 30
+FIELDS = ("kind", "value", "start", "end")
 
 
 def select_rules(kinds: list[str] | None = None) -> list[Rule]:
@@ -35,99 +27,111 @@ def select_rules(kinds: list[str] | None = None) -> list[Rule]:
     return [r for r in rules if r.kind in kinds]
 
 
-def spread(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
-    """Give every core a share of an input too small to have enough splits.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out to as many partitions, for a caller who knows that the table has too few splits.
 
-    Matching is bound by CPU, and a small Parquet file is a single task.  The
-    size is the optimizer's estimate, so nothing is read to decide.
+    Matching is bound by CPU, and a small Parquet file is a single task.  Without a number nothing is
+    shuffled, whatever the size of the table.
     """
-    if df.isStreaming:
-        return df
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= limit else df
+    return df.repartition(partitions) if partitions and not df.isStreaming else df
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its name, also one with dots in it; a name that is none of them may be a path."""
+    return F.col("`" + name.replace("`", "``") + "`") if name in df.columns else F.col(name)
+
+
+def _keyed(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, list[str]]:
+    """The kept columns under names of ours, which meet no name of the features, and the text."""
+    names = [f"_k{i}" for i in range(len(keep))]
+    kept = [column(df, c).alias(n) for c, n in zip(keep, names, strict=True)]
+    return df.select(*kept, column(df, text).alias(gates.TEXT)), names
+
 
+def _named(names: list[str], keep: list[str]) -> list[Column]:
+    return [F.col(n).alias(c) for n, c in zip(names, keep, strict=True)]
 
-def _prepared(df: DataFrame, text: str, keep: list[str], rules: list[Rule]) -> DataFrame:
-    features = gates.with_features(df.select(*keep, F.col(text).alias(gates.TEXT)))
-    return features.select(*keep, gates.TEXT, gates.OTHER, hits(rules).alias("_hits"))
+
+def _prepared(df: DataFrame, text: str, keep: list[str], rules: list[Rule]) -> tuple[DataFrame, list[str]]:
+    keyed, names = _keyed(df, keep, text)
+    features = gates.with_features(keyed)
+    return features.select(*names, gates.TEXT, gates.OTHER, hits(rules).alias("_hits")), names
 
 
 @lru_cache(maxsize=2)
-def _findings(context: SparkContext) -> Column:
+def _findings(session: SparkSession) -> Column:
     """The findings of a prepared row; the same expression for every scan, so it
-    is put together once per Spark context."""
+    is put together once per session."""
     return resolve(candidates(F.col(gates.TEXT), F.col(gates.OTHER), F.col("_hits")))
 
 
 def with_findings(df: DataFrame, text: str, rules: list[Rule] | None = None, name: str = "findings") -> DataFrame:
-    """The input plus one array column; a clean or null text gets an empty array."""
-    rules = rules or builtin_rules()
+    """The input plus one array column; a clean or null text gets an empty array.
+
+    A column of that name in the input is replaced.
+    """
     keep = [c for c in df.columns if c != name]
-    prepared = _prepared(df, text, keep, rules)
-    empty = F.array().cast(FINDINGS)
-    return compute_once(prepared, keep, {name: F.coalesce(_findings(df.sparkSession.sparkContext), empty)})
+    prepared, names = _prepared(df, text, keep, builtin_rules() if rules is None else rules)
+    found = compute_once(prepared, names, {"_findings": F.coalesce(_findings(df.sparkSession), F.array().cast(FINDINGS))})
+    return found.select(*_named(names, keep), F.col("_findings").alias(name))
 
 
 def scan_column(
     df: DataFrame,
     keys: list[str],
     text: str,
-    rules: list[Rule] | None = None,
+    rules: list[Rule] | DataFrame | None = None,
     keep_clean: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per finding: ``keys``, ``kind``, ``value``, ``start``, ``end``.
 
     Offsets are UTF-8 byte offsets, end-exclusive.  With ``keep_clean`` a text
-    without findings gives one row with null finding columns.
+    without findings gives one row with null finding columns.  ``rules`` is a
+    list, which is unrolled into the plan (empty: nothing is found), or a rule
+    table of any length, as for ``scan_with_rule_table``.
     """
-    prepared = _prepared(df, text, keys, rules or builtin_rules())
+    if taken := set(keys) & set(FIELDS):
+        raise ValueError(f"keys named like the columns of a finding: {sorted(taken)}")
+    if isinstance(rules, DataFrame):
+        return scan_with_rule_table(spread(df, partitions), keys, text, rules, keep_clean)
+    prepared, names = _prepared(spread(df, partitions), text, keys, builtin_rules() if rules is None else rules)
     explode = F.inline_outer if keep_clean else F.inline
-    return prepared.select(*keys, explode(_findings(df.sparkSession.sparkContext)))
+    return prepared.select(*names, explode(_findings(df.sparkSession))).select(*_named(names, keys), *FIELDS)
 
 
-def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataFrame) -> DataFrame:
-    """Scan with token rules that are only known when the query runs.
+def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataFrame, keep_clean: bool = False) -> DataFrame:
+    """Scan with token rules that are only known when the query runs, however many they are.
 
-    ``table`` has ``ord, id, pattern, anchors, validator``.  It reaches every
-    task as one array value, so each text is still handled where it is: no join
-    and no regrouping.  A rule's expression is compiled when a text holds one of
-    its anchors; for a table known beforehand ``rules_from_df`` is faster.
+    ``table`` has ``ord, id, pattern, anchors, validator``.  Each text is searched once for the anchors of all
+    rules; only the pairs of a text and a rule whose anchor it holds are joined with the table, and only texts
+    with a match are put together again.  A rule without anchors is tried on every text.
     """
-    left, right = token_regex("\0").split("\0")
-    regex = F.concat(F.lit(left), F.col("pattern"), F.lit(right))
-    rule = F.struct(
-        F.col("ord").cast("int").alias("ord"),
-        F.col("id").alias("kind"),
-        F.coalesce("validator", F.lit("none")).alias("validator"),
-        regex.alias("regex"),
-        regex.alias("plain_regex"),
-        F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
+    rules = checked(table)
+    keyed, names = _keyed(df, keys, text)
+    rows = keyed.withColumn("_row", F.monotonically_increasing_id())
+    pairs = candidate_pairs(rows, gates.TEXT, rules).join(rules.select("ord", "rule"), "ord")
+    matched = pairs.withColumn("matches", F.regexp_extract_all(gates.TEXT, F.col("rule.regex"), F.lit(0)))
+    hit = F.struct(F.col("rule").cast(RULE).alias("rule"), "matches")
+    again = matched.where(F.size("matches") > 0).groupBy("_row").agg(
+        *[F.first(c).alias(c) for c in (*names, gates.TEXT)], F.collect_list(hit).alias("_hits")
     )
-    listed = F.when(F.count("*") <= MAX_TABLE_RULES, F.sort_array(F.collect_list(rule)))
-    too_many = F.raise_error(F.lit(f"more than {MAX_TABLE_RULES} rules")).cast(_TABLE_RULES)
-    rules = table.limit(MAX_TABLE_RULES + 1).agg(F.coalesce(listed, too_many)).scalar()
-
-    def usable(r):
-        body = F.col(gates.TEXT)
-        return (F.size(r["anchors"]) == 0) | F.exists(r["anchors"], body.contains)
+    found = again.withColumn(gates.OTHER, F.lit(False)).select("_row", *names, _findings(df.sparkSession).alias("_found"))
+    if not keep_clean:
+        return found.select(*names, F.inline("_found")).select(*_named(names, keys), *FIELDS)
+    all_rows = rows.select("_row", *names).join(found.select("_row", "_found"), "_row", "left")
+    return all_rows.select(*names, F.inline_outer("_found")).select(*_named(names, keys), *FIELDS)
 
-    def hit(r):
-        return F.struct(r.alias("rule"), F.regexp_extract_all(gates.TEXT, r["regex"], F.lit(0)).alias("matches"))
 
-    found = F.filter(F.transform(F.filter("_rules", usable), hit), lambda h: F.size(h["matches"]) > 0)
-    body = F.col(text)
-    ruled = df.select(*keys, body.alias(gates.TEXT), F.lit(False).alias(gates.OTHER), rules.alias("_rules"))
-    prepared = ruled.select(*keys, gates.TEXT, gates.OTHER, found.alias("_hits"))
-    return prepared.select(*keys, F.inline(_findings(df.sparkSession.sparkContext)))
-
-
-def scan_sources(sources: list[tuple[str, DataFrame, list[str], str]], rules: list[Rule] | None = None) -> DataFrame:
+def scan_sources(
+    sources: list[tuple[str, DataFrame, list[str], str]], rules: list[Rule] | None = None, partitions: int | None = None
+) -> DataFrame:
     """Scan several tables: ``(source, df, keys, text)`` each.
 
     The keys of a table become one ``row_key`` string, parts joined by ``/``.
     """
     parts = []
     for source, df, keys, text in sources:
-        row_key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-        parts.append(df.select(F.lit(source).alias("source"), row_key.alias("row_key"), F.col(text).alias("text")))
-    return scan_column(reduce(DataFrame.unionByName, parts), ["source", "row_key"], "text", rules)
+        row_key = F.concat_ws("/", *[column(df, k).cast("string") for k in keys])
+        parts.append(df.select(F.lit(source).alias("source"), row_key.alias("row_key"), column(df, text).alias("text")))
+    return scan_column(reduce(DataFrame.unionByName, parts), ["source", "row_key"], "text", rules, partitions=partitions)

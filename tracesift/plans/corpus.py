@@ -119,25 +119,25 @@ def negative_text(draws: Draws) -> Column:
     number, hexes = draws.chars("neg.d", digits, 12), draws.chars("neg.h", HEX, 64)
     base64 = ascii_uppercase + ascii_lowercase + digits + "+/"
 
-    def line(template, source, *lengths):
-        return let(source, lambda s: F.format_string(template, *cut(s, *lengths)))
+    def line(name, source, *lengths):
+        return let(source, lambda s: F.format_string(data.NEGATIVE_LINES[name], *cut(s, *lengths)))
 
     day = F.lpad((F.lit(1) + draws.below("neg.day", 28)).cast("string"), 2, "0")
     minute = F.lpad(draws.below("neg.minute", 60).cast("string"), 2, "0")
     word = draws.chars("neg.w", ascii_lowercase, 4)
     families = [
-        line("Order #%s shipped on 2026-09-%s, total %s.%s EUR", F.concat(F.substring(number, 1, 6), day, number), 6, 2, 3, 2),
-        line("commit %s%s by user%s at 14:%s", F.concat(word, F.substring(number, 1, 6), minute), 4, 3, 3, 2),
-        line("sha256:%s", hexes, 64),
-        line("%s", hexes, 40),
-        line("id=%s-%s-4%s-a%s-%s", hexes, 8, 4, 3, 3, 12),
+        line("order", F.concat(F.substring(number, 1, 6), day, number), 6, 2, 3, 2),
+        line("commit", F.concat(word, F.substring(number, 1, 6), minute), 4, 3, 3, 2),
+        line("digest", hexes, 64),
+        line("hex", hexes, 40),
+        line("uuid", hexes, 8, 4, 3, 3, 12),
         draws.pick("neg.lookalike", data.LOOKALIKES),
         draws.pick("neg.plain", data.PLAIN_LINES),
-        line("base64: %s", draws.chars("neg.b64", base64, 44), 44),
-        line('Cargo.lock: checksum = "%s"', hexes, 64),
-        line("%s bytes written in %s.%ss", number, 7, 2, 3),
-        line("PR #%s merged, %s files changed, +%s -%s", number, 4, 2, 3, 2),
-        line("temperature %s.%s°C, humidity %s%%", number, 2, 1, 2),
+        line("base64", draws.chars("neg.b64", base64, 44), 44),
+        line("lock", hexes, 64),
+        line("written", number, 7, 2, 3),
+        line("merged", number, 4, 2, 3, 2),
+        line("weather", number, 2, 1, 2),
     ]
     family = draws.below("neg.family", len(families))
     text = F.when(family == 0, families[0])

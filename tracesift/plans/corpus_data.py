@@ -53,3 +53,17 @@ PLAIN_LINES = [
     "SELECT * FROM users WHERE id = 42;",
     "Error: ENOENT: no such file or directory, open '/tmp/x.log'",
 ]
+
+# Lines that hold numbers and codes but nothing to find; %s stands for each of them.
+NEGATIVE_LINES = {
+    "order": "Order #%s shipped on 2026-09-%s, total %s.%s EUR",
+    "commit": "commit %s%s by user%s at 14:%s",
+    "digest": "sha256:%s",
+    "hex": "%s",
+    "uuid": "id=%s-%s-4%s-a%s-%s",
+    "base64": "base64: %s",
+    "lock": 'Cargo.lock: checksum = "%s"',
+    "written": "%s bytes written in %s.%ss",
+    "merged": "PR #%s merged, %s files changed, +%s -%s",
+    "weather": "temperature %s.%s°C, humidity %s%%",
+}

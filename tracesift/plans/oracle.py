@@ -11,8 +11,10 @@ from tracesift.plans import corpus_data
 from tracesift.plans.planted import N_RULES
 from tracesift.plans.planted import SEED as PLANT_SEED
 
-# word characters, as this SQL dialect's expressions must spell them
-_W = r"\p{L}\p{M}\p{N}\p{Pc}\x{200C}\x{200D}"
+# word characters, as this SQL dialect's expressions must spell them: letters and what counts as alphabetic
+# (letter numbers, circled and squared letters), marks, decimal digits, connectors and joiners
+_CIRCLED = r"\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}"
+_W = rf"\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}{_CIRCLED}\x{{200C}}\x{{200D}}"
 _IN, _OUT = f"[{_W}]", f"[^{_W}]"
 
 
@@ -262,19 +264,22 @@ def negative_sql(draws: SqlDraws) -> str:
     day = f"lpad((1 + {draws.below('neg.day', 28)})::VARCHAR, 2, '0')"
     minute = f"lpad({draws.below('neg.minute', 60)}::VARCHAR, 2, '0')"
     word = draws.chars("neg.w", ascii_lowercase, 4)
+    def line(name, *parts):
+        return f"printf({quote(corpus_data.NEGATIVE_LINES[name])}, {', '.join(parts)})"
+
     families = [
-        f"concat('Order #', {s(n, 1, 6)}, ' shipped on 2026-09-', {day}, ', total ', {s(n, 1, 3)}, '.', {s(n, 4, 2)}, ' EUR')",
-        f"concat('commit ', {word}, {s(n, 1, 3)}, ' by user', {s(n, 4, 3)}, ' at 14:', {minute})",
-        f"concat('sha256:', {h})",
-        s(h, 1, 40),
-        f"concat('id=', {s(h, 1, 8)}, '-', {s(h, 9, 4)}, '-4', {s(h, 13, 3)}, '-a', {s(h, 16, 3)}, '-', {s(h, 19, 12)})",
+        line("order", s(n, 1, 6), day, s(n, 1, 3), s(n, 4, 2)),
+        line("commit", word, s(n, 1, 3), s(n, 4, 3), minute),
+        line("digest", h),
+        line("hex", s(h, 1, 40)),
+        line("uuid", s(h, 1, 8), s(h, 9, 4), s(h, 13, 3), s(h, 16, 3), s(h, 19, 12)),
         draws.pick("neg.lookalike", corpus_data.LOOKALIKES),
         draws.pick("neg.plain", corpus_data.PLAIN_LINES),
-        f"concat('base64: ', {draws.chars('neg.b64', base64, 44)})",
-        f"concat('Cargo.lock: checksum = \"', {h}, '\"')",
-        f"concat({s(n, 1, 7)}, ' bytes written in ', {s(n, 8, 2)}, '.', {s(n, 10, 3)}, 's')",
-        f"concat('PR #', {s(n, 1, 4)}, ' merged, ', {s(n, 5, 2)}, ' files changed, +', {s(n, 7, 3)}, ' -', {s(n, 10, 2)})",
-        f"concat('temperature ', {s(n, 1, 2)}, '.', {s(n, 3, 1)}, '°C, humidity ', {s(n, 4, 2)}, '%')",
+        line("base64", draws.chars("neg.b64", base64, 44)),
+        line("lock", h),
+        line("written", s(n, 1, 7), s(n, 8, 2), s(n, 10, 3)),
+        line("merged", s(n, 1, 4), s(n, 5, 2), s(n, 7, 3), s(n, 10, 2)),
+        line("weather", s(n, 1, 2), s(n, 3, 1), s(n, 4, 2)),
     ]
     branches = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(families))
     return f"(CASE {draws.below('neg.family', len(families))} {branches} END)"
@@ -300,10 +305,11 @@ FROM (SELECT {key} AS id,
 # --- planted texts ----------------------------------------------------------
 
 
-def planted_tokens_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+def planted_tokens_sql(table: str = "documents", key: str = "doc_id", text: str = "text", also: str | None = None) -> str:
+    """``also`` is what identifies a row if that is not the number ``key``."""
     token = token_sql(SqlDraws(PLANT_SEED, key), f"({key} % {N_RULES})")
-    return f"""SELECT {key}, concat({text}, ' export API_TOKEN=', tok, chr(10), 'rejected=x', tok, 'x') AS text
-FROM (SELECT {key}, {text}, {token} AS tok FROM {table}) WHERE {text} IS NOT NULL"""
+    return f"""SELECT {also or key}, concat({text}, ' export API_TOKEN=', tok, chr(10), 'rejected=x', tok, 'x') AS text
+FROM (SELECT {also or key}, {text}, {token} AS tok FROM {table}) WHERE {text} IS NOT NULL"""
 
 
 def planted_ibans_sql(table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
@@ -327,6 +333,8 @@ def planted_edges_sql(table: str = "documents", key: str = "doc_id", text: str =
         "concat('mail a@b.com-x@c.de and .x@y.org, é.q@r.io ', phone)",
         "concat('id=', phone, '_', ' -', phone)",
         "concat('hvs.', a, b, '0123456789, ', a)",
+        "concat('²a@b.com ½', phone, ' Ⅷc@d.org')",
+        "concat('ⓐa@b.com ', 'ⓐ4111111111111111 4111111111111111²')",
     ]
     branches = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(cases))
     return f"""SELECT {key}, concat({text}, chr(10), CASE {key} % {len(cases)} {branches} END) AS text

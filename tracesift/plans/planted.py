@@ -11,21 +11,23 @@ SEED = 7
 N_RULES = 70
 
 
-def _with_text(df: DataFrame, key: str, text: str, planted: dict[str, Column], build) -> DataFrame:
+def _with_text(df: DataFrame, keys: list[str], text: str, planted: dict[str, Column], build) -> DataFrame:
     """Compute the planted values once, then put the new text together."""
-    return compute_once(df.select(key, text), [key, text], planted).select(key, build().alias("text"))
+    return compute_once(df.select(*keys, text), [*keys, text], planted).select(*keys, build().alias("text"))
 
 
-def plant_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A token of rule ``key mod 70`` after each text, then the same token glued
-    to an identifier, which is no finding."""
-    token = token_value(Draws(SEED, F.col(key)), F.pmod(F.col(key), F.lit(N_RULES)))
+def plant_tokens(df: DataFrame, key: str | list[str], text: str, number: Column | None = None) -> DataFrame:
+    """A token of rule ``number mod 70`` after each text, then the same token glued
+    to an identifier, which is no finding.  The number is the key unless given."""
+    keys = [key] if isinstance(key, str) else key
+    number = F.col(keys[0]) if number is None else number
+    token = token_value(Draws(SEED, number), F.pmod(number, F.lit(N_RULES)))
 
     def build():
         value = F.col("_token")
         return F.concat(F.col(text), F.lit(" export API_TOKEN="), value, F.lit("\nrejected=x"), value, F.lit("x"))
 
-    return _with_text(df, key, text, {"_token": token}, build)
+    return _with_text(df, keys, text, {"_token": token}, build)
 
 
 def plant_ibans(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,11 +38,11 @@ def plant_ibans(df: DataFrame, key: str, text: str) -> DataFrame:
         value = F.col("_iban")
         return F.concat(F.col(text), F.lit("\nIBAN "), value, F.lit(", not "), F.overlay(value, F.lit("00"), 3))
 
-    return _with_text(df, key, text, {"_iban": iban}, build)
+    return _with_text(df, [key], text, {"_iban": iban}, build)
 
 
 def plant_edges(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One of twelve boundary and overlap cases after each text, by ``key mod 12``."""
+    """One of fourteen boundary and overlap cases after each text, by ``key mod 14``."""
     draws = Draws(SEED, F.col(key))
     columns = {
         "_a": F.concat(F.lit("ghp_"), draws.chars("edge.a", "0123456789abcdef", 36)),
@@ -67,6 +69,8 @@ def plant_edges(df: DataFrame, key: str, text: str) -> DataFrame:
             F.concat(F.lit("mail a@b.com-x@c.de and .x@y.org, é.q@r.io "), phone),  # resumed addresses
             F.concat(F.lit("id="), phone, F.lit("_"), F.lit(" -"), phone),  # phone context
             F.concat(F.lit("hvs."), a, b, F.lit("0123456789, "), a),  # a token within a token
+            F.concat(F.lit("²a@b.com ½"), phone, F.lit(" Ⅷc@d.org")),  # superscripts and fractions touch no word
+            F.lit("ⓐa@b.com ⓐ4111111111111111 4111111111111111²"),  # circled letters do
         ]
         number = F.pmod(F.col(key), F.lit(len(cases)))
         chosen = F.when(number == 0, cases[0])
@@ -74,4 +78,4 @@ def plant_edges(df: DataFrame, key: str, text: str) -> DataFrame:
             chosen = chosen.when(number == i, case)
         return F.concat(F.col(text), F.lit("\n"), chosen)
 
-    return _with_text(df, key, text, columns, build)
+    return _with_text(df, [key], text, columns, build)

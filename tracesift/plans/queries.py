@@ -20,8 +20,8 @@ from tracesift.operators.rules import builtin_rules, rule_listing, rules_df, rul
 from tracesift.operators.scan import scan_column, scan_sources, scan_with_rule_table, select_rules, spread, with_findings
 from tracesift.plans import oracle, planted
 from tracesift.plans.corpus import labelled_examples
-from tracesift.plans.evaluate import accuracy, compare, mismatches
-from tracesift.sources.readers import read_examples, read_text_lines
+from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact
+from tracesift.sources.readers import read_examples, read_text_lines, read_whole_texts
 from tracesift.sources.scratch import shared_path
 from tracesift.sources.writers import findings_lines, write_examples
 from tracesift.streaming.scan_stream import start_scan
@@ -32,16 +32,19 @@ CORPUS_SEED = 42
 COUNTRIES = ["FR", "DE", "GB", "ES", "NL"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table.  Who knows the tables to have too few splits for the cores sets
+    ``tracesift.partitions`` in the session; without it nothing is dealt out anew."""
+    partitions = spark.conf.get("tracesift.partitions", None)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), partitions and int(partitions))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"))
+    return table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
 
 
 # --- value checks on table columns ------------------------------------------
@@ -67,7 +70,7 @@ def card_completion(spark, sf_dir):
 
 
 def iban_customers(spark, sf_dir):
-    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+    customers = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     country = F.element_at(F.array(*map(F.lit, COUNTRIES)), (F.pmod("c_nationkey", F.lit(5)) + 1).cast("int"))
     account = F.concat(F.lit("BANK"), F.lpad(F.col("c_custkey").cast("string"), 14, "0"))
     made = customers.select("c_custkey", country.alias("cc"), account.alias("account"))
@@ -80,7 +83,7 @@ def iban_customers(spark, sf_dir):
 
 
 def phone_shape_orders(spark, sf_dir):
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     n = F.lpad(F.col("o_orderkey").cast("string"), 10, "7")
     a, b, c = F.substring(n, 1, 3), F.substring(n, 4, 3), F.substring(n, 7, 4)
     forms = [
@@ -107,15 +110,14 @@ def phone_shape_orders(spark, sf_dir):
 def rule_listing_hits(spark, sf_dir):
     """The rule listing with the number of documents each rule's anchors occur in.
 
-    A document is read once and gives one row per rule it holds an anchor of;
-    those are counted before they are shuffled, at most 70 groups per task.
+    One count for each rule in one aggregate over the documents, so a task shuffles one row; the
+    row of counts is turned into rows at the end.
     """
     rules = [r for r in builtin_rules() if r.ord < planted.N_RULES]
-    present = [f"IF({anchor_condition('text', r.anchors)}, {r.ord}, NULL)" for r in rules]
-    texts = planted.plant_tokens(documents(spark, sf_dir), "doc_id", "text")
-    hits = texts.select(F.explode(F.expr(f"array({', '.join(present)})")).alias("ord")).filter("ord IS NOT NULL")
-    joined = rule_listing(rules_df(spark)).join(hits.groupBy("ord").count(), "ord", "left")
-    return joined.select("ord", "line", F.coalesce("count", F.lit(0)).alias("documents"))
+    counts = [F.expr(f"count_if({anchor_condition('text', r.anchors)})") for r in rules]
+    counted = planted.plant_tokens(documents(spark, sf_dir), "doc_id", "text").agg(F.array(*counts).alias("counts"))
+    hits = counted.select(F.posexplode("counts").alias("ord", "documents"))
+    return rule_listing(rules_df(spark)).join(hits, "ord")
 
 
 # --- findings in documents --------------------------------------------------
@@ -143,27 +145,26 @@ def scan_documents(spark, sf_dir):
 
 
 def scan_pages(spark, sf_dir):
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    pages = table(spark, sf_dir, "pages", "page_id", "html")
     return scan_column(pages, ["page_id"], "html")
 
 
 def scan_conversations(spark, sf_dir):
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
-    keyed = turns.withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-    return scan_column(planted.plant_tokens(keyed, "turn_id", "text"), ["turn_id"], "text")
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    return scan_column(planted.plant_tokens(turns, ["conv_id", "turn"], "text", number), ["conv_id", "turn"], "text")
 
 
 def _all_sources(spark, sf_dir) -> DataFrame:
     """Findings of every text table in one scan of each."""
-    return scan_sources(
-        [
-            ("documents", documents(spark, sf_dir), ["doc_id"], "text"),
-            ("pages", spread(table(spark, sf_dir, "pages").select("page_id", "html")), ["page_id"], "html"),
-            ("conversations", table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text"),
-            ("benchmark", table(spark, sf_dir, "benchmark"), ["item_id"], "text"),
-            ("events", table(spark, sf_dir, "events"), ["event_id"], "props"),
-        ]
-    )
+    sources = [
+        ("documents", ["doc_id"], "text"),
+        ("pages", ["page_id"], "html"),
+        ("conversations", ["conv_id", "turn"], "text"),
+        ("benchmark", ["item_id"], "text"),
+        ("events", ["event_id"], "props"),
+    ]
+    return scan_sources([(name, table(spark, sf_dir, name, *keys, text), keys, text) for name, keys, text in sources])
 
 
 def kind_counts(spark, sf_dir):
@@ -202,7 +203,7 @@ def scan_user_rules(spark, sf_dir):
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    return labelled_examples(spread(table(spark, sf_dir, "documents").select("doc_id")), "doc_id", CORPUS_SEED)
+    return labelled_examples(table(spark, sf_dir, "documents", "doc_id"), "doc_id", CORPUS_SEED)
 
 
 def labelled_corpus(spark, sf_dir):
@@ -216,6 +217,11 @@ def eval_accuracy(spark, sf_dir):
     return accuracy(_corpus(spark, sf_dir))
 
 
+def eval_exact(spark, sf_dir):
+    """The accuracy row of the intact corpus; the job fails if any example differs."""
+    return require_exact(_corpus(spark, sf_dir))
+
+
 def _mislabelled(spark, sf_dir) -> DataFrame:
     """The corpus with the labels of every seventh row lost."""
     none = F.array().cast("array<struct<kind:string,value:string>>")
@@ -253,19 +259,36 @@ def eval_json(spark, sf_dir):
 
 
 def scan_text_lines(spark, sf_dir):
-    """Documents written as text files and scanned line by line."""
+    """Documents written as text files and scanned line by line: each line that holds something, with the offsets
+    in it, and how many lines are like that."""
     path = shared_path(spark, "lines")
     documents(spark, sf_dir).select("text").write.text(path)
-    found = scan_column(read_text_lines(spark, path), ["file"], "text")
-    return found.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    found = scan_column(read_text_lines(spark, path).withColumnRenamed("text", "line"), ["line"], "line")
+    return found.groupBy("line", "kind", "value", "start", "end").agg(F.count("*").alias("n"))
+
+
+#: Documents that ``scan_text_files`` writes into one file.
+FILE_DOCUMENTS = 50
+
+
+def scan_text_files(spark, sf_dir):
+    """Documents written as text files of fifty and scanned file by file, with offsets within the file."""
+    path = shared_path(spark, "files")
+    numbered = documents(spark, sf_dir).where("text IS NOT NULL").withColumn("block", F.expr(f"doc_id div {FILE_DOCUMENTS}"))
+    numbered.repartition("block").sortWithinPartitions("block", "doc_id").select("text", "block").write.partitionBy("block").text(path)
+    files = read_whole_texts(spark, path)
+    block = F.regexp_extract("file", "/block=([0-9]+)/", 1).cast("bigint")
+    return scan_column(files.select(block.alias("block"), "text"), ["block"], "text")
 
 
 def scan_stream(spark, sf_dir):
     """Documents read as a stream; the same findings as the batch scan."""
-    schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    # the pattern takes a single file as well as a folder of part files
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*")
     output = shared_path(spark, "stream-findings")
-    query = start_scan(stream.select("doc_id", "text"), ["doc_id"], "text", output, availableNow=True)
+    state = shared_path(spark, "stream-state")
+    query = start_scan(stream.select("doc_id", "text"), ["doc_id"], "text", output, state, availableNow=True)
     query.awaitTermination()
     return spark.read.schema("doc_id BIGINT, kind STRING, value STRING, start BIGINT, end BIGINT").parquet(output)
 
@@ -292,10 +315,12 @@ QUERIES: dict[str, Query] = {
     "scan_user_rules": scan_user_rules,
     "labelled_corpus": labelled_corpus,
     "eval_accuracy": eval_accuracy,
+    "eval_exact": eval_exact,
     "eval_mismatches": eval_mismatches,
     "eval_sets": eval_sets,
     "eval_json": eval_json,
     "scan_text_lines": scan_text_lines,
+    "scan_text_files": scan_text_files,
     "scan_stream": scan_stream,
 }
 
@@ -374,7 +399,7 @@ def oracles() -> dict[str, str]:
     planted_tokens = oracle.planted_tokens_sql()
     edges = oracle.scan_sql(oracle.planted_edges_sql())
     token_kinds = [k for k, _, _ in oracle.rule_data.TOKEN_RULES]
-    turns = oracle.planted_tokens_sql("(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)", "turn_id")
+    turns = oracle.planted_tokens_sql("(SELECT conv_id || '/' || turn AS id, conv_id * 1000 + turn AS number, text FROM conversations)", "number", also="id")
     documents_found = oracle.findings_sql(DOCS)
     return {
         "luhn_lineitem": f"""SELECT l_orderkey, l_linenumber, value FROM
@@ -392,7 +417,8 @@ FROM (SELECT l_orderkey, l_linenumber, {_card_sql('5')} AS body FROM lineitem)""
         "edge_findings": oracle.findings_sql(oracle.planted_edges_sql()),
         "scan_documents": documents_found,
         "scan_pages": oracle.findings_sql("SELECT page_id, html AS text FROM pages WHERE html IS NOT NULL", "page_id"),
-        "scan_conversations": oracle.findings_sql(turns, "turn_id"),
+        "scan_conversations": f"""WITH RECURSIVE {oracle.scan_sql(turns, "id")}
+SELECT split_part(key, '/', 1)::BIGINT AS conv_id, split_part(key, '/', 2)::BIGINT AS turn, kind, value, "start", "end" FROM findings""",
         "kind_counts": _sources_sql(),
         "clean_documents": f"""WITH RECURSIVE {oracle.scan_sql(DOCS)}
 SELECT d.doc_id, count(f.key) AS findings FROM documents d LEFT JOIN findings f ON f.key = d.doc_id GROUP BY d.doc_id""",
@@ -403,12 +429,21 @@ FROM findings""",
         "scan_user_rules": oracle.findings_sql(planted_tokens, kinds=token_kinds[::5]),
         "labelled_corpus": oracle.labelled_sql("documents", "doc_id", CORPUS_SEED),
         "eval_accuracy": _eval_sql(_ACCURACY, lost=False),
+        "eval_exact": _eval_sql(_ACCURACY, lost=False),
         "eval_mismatches": _eval_sql("SELECT id, text, want, got FROM sets WHERE want <> got"),
         "eval_sets": _eval_sql(
             """SELECT g.id, g.kind, g.value, w.id IS NOT NULL AS expected FROM got g
 LEFT JOIN want w ON w.id = g.id AND w.kind = g.kind AND w.value = g.value"""
         ),
         "eval_json": _eval_sql(_ACCURACY),
-        "scan_text_lines": f"WITH RECURSIVE {oracle.scan_sql(DOCS)}\nSELECT kind, value, count(*) AS n FROM findings GROUP BY ALL",
+        "scan_text_lines": f"""WITH RECURSIVE lines AS (SELECT doc_id || '/' || n AS id, parts[n] AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS r(n)),
+{oracle.scan_sql("SELECT id, text FROM lines", "id")}
+SELECT l.text AS line, kind, value, "start", "end", count(*) AS n FROM findings f JOIN lines l ON l.id = f.key GROUP BY ALL""",
+        "scan_text_files": oracle.findings_sql(
+            f"""SELECT doc_id // {FILE_DOCUMENTS} AS block, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
+  FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
+            "block",
+        ),
         "scan_stream": documents_found,
     }

@@ -10,7 +10,9 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files by line (``file``, ``text``): a huge file becomes many tasks.
 
     No finding spans a line break, so scanning lines finds the same kinds and
-    values as scanning whole files; offsets are relative to the line.
+    values as scanning whole files; offsets are relative to the line.  Lines have
+    no numbers, as a file is read in many places at once: keep ``text`` among the
+    keys of a scan to know the line.  Equal lines of a file look the same then.
     """
     return _checked(spark.read.text(path))
 
@@ -27,11 +29,19 @@ def _checked(df: DataFrame) -> DataFrame:
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Labelled examples as JSON lines.  Blank lines are skipped; a malformed
-    line, or one without ``text`` or ``expected``, fails the job."""
+    line, or one without ``text`` or ``expected``, or with a label without
+    ``kind`` or ``value``, fails the job and names the file."""
     examples = spark.read.schema(EXAMPLE).option("mode", "FAILFAST").json(path)
 
     def required(name):
         message = F.concat(F.lit(f"example without {name} in "), F.col("_metadata.file_path"))
-        return F.coalesce(F.col(name), F.raise_error(message).cast(examples.schema[name].dataType)).alias(name)
+        return F.coalesce(usable(name), F.raise_error(message).cast(examples.schema[name].dataType)).alias(name)
+
+    def usable(name):
+        if name == "text":
+            return F.col(name)
+        whole = F.forall(name, lambda x: x["kind"].isNotNull() & x["value"].isNotNull())
+        message = F.concat(F.lit("label without kind or value in "), F.col("_metadata.file_path"))
+        return F.when(F.col(name).isNull() | whole, F.col(name)).otherwise(F.raise_error(message).cast(examples.schema[name].dataType))
 
     return examples.select(required("text"), required("expected"))

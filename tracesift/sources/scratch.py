@@ -1,7 +1,9 @@
-"""Where intermediate tables and stream checkpoints go."""
+"""Where intermediate tables go."""
 
+import atexit
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -9,12 +11,32 @@ from pyspark.sql import SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; a cluster needs a folder
-    every executor sees.
+    What is written there is removed when the program ends.  Only a local session may go without that
+    setting, and is told so; a cluster needs a folder every executor sees.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="tracesift-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, path)
+    return path
+
+
+def _own_folder() -> str:
+    warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to a temporary folder", stacklevel=3)
+    folder = tempfile.mkdtemp(prefix="tracesift-")
+    atexit.register(remove, folder)
+    return folder
+
+
+def remove(path: str) -> None:
+    """Delete a folder on any file system that can be reached from here; what can't be reached stays."""
+    from pyarrow import fs
+
+    try:
+        system, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        system.delete_dir(place)
+    except (OSError, ValueError):
+        pass

@@ -5,7 +5,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracesift.operators.rules import Rule
 from tracesift.operators.scan import scan_column
-from tracesift.sources.scratch import shared_path
 
 
 def start_scan(
@@ -20,14 +19,16 @@ def start_scan(
     """Write the findings of a streaming DataFrame to Parquet.
 
     The file sink and the checkpoint together give each input row's findings
-    exactly once, also after a restart.  ``trigger`` is passed on, for example
-    ``availableNow=True``.
+    exactly once, also after a restart: the checkpoint belongs to the output and
+    is beside it (``output`` with ``-checkpoint`` added) unless another place is
+    named, which must then be the same at every start.  ``trigger`` is passed on,
+    for example ``availableNow=True``.
     """
     writer = (
         scan_column(stream, keys, text, rules)
         .writeStream.outputMode("append")
         .format("parquet")
         .option("path", output)
-        .option("checkpointLocation", checkpoint or shared_path(stream.sparkSession, "stream-state"))
+        .option("checkpointLocation", checkpoint or output.rstrip("/") + "-checkpoint")
     )
     return (writer.trigger(**trigger) if trigger else writer).start()
