@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks
+from tracesift.llm.common import chunks, frugal
 
-#: Matches whose tokens a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Matches whose tokens a task remembers; beyond it the memory starts anew.
+REMEMBERED = 200_000
 
 
 def byte_characters() -> list[str]:
@@ -71,10 +71,13 @@ class Encoder:
         self.find = matcher(pattern)
         self.known, self.packed = Numbers(), []
 
+    def forget(self) -> None:
+        self.known, self.packed = Numbers(), []
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed as little-endian unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known, self.packed = Numbers(), []
+            self.forget()
         known, packed = self.known, self.packed
         numbers = [list(map(known.__getitem__, self.find(text))) for text in texts]
         new = list(islice(known, len(packed), None))
@@ -163,6 +166,7 @@ def encode(
     if with_offsets:
         fields += [T.StructField(name, T.ArrayType(T.LongType())) for name in ("starts", "ends")]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in chunks(batches, "_text"):
@@ -174,6 +178,7 @@ def encode(
                 found = [offsets(t, p, token_bytes(path)) for t, p in zip(texts, packed, strict=True)]
                 columns += [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+        own.forget()
 
     return held.mapInArrow(run, T.StructType(fields))
 
@@ -186,6 +191,7 @@ def decode(tokens: DataFrame, keys: list[str], packed: str, path: str) -> DataFr
     held = tokens.select(*keys, F.col(packed).alias("packed"))
     schema = T.StructType([*held.schema.fields, T.StructField("data", T.BinaryType())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in chunks(batches, "packed"):

@@ -1,11 +1,14 @@
 """Small helpers shared by the training-data operators."""
 
-from collections.abc import Iterator
+import ctypes
+import ctypes.util
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tracesift.sources.scratch import shared_path
 
@@ -41,5 +44,23 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(start)
 
 
-def hex_lower(value: Column) -> Column:
-    return F.lower(F.hex(value))
+Batches = Iterator[pa.RecordBatch]
+
+
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """Give freed memory back at the end of a task: Python workers stay for the tasks that follow, beside others."""
+
+    @wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+    if trim:  # with the GNU library
+        trim(0)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.llm.byte_bpe import Numbers
-from tracesift.llm.common import chunks, written
+from tracesift.llm.common import chunks, frugal, written
 
 #: Bytes of text in a segment, about; a longer text has a segment of its own.
 SEGMENT_BYTES = 8 << 20
@@ -79,6 +79,7 @@ def build(docs: DataFrame, key: str, text: str) -> DataFrame:
     held = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kinds = {"n_words": pa.int32(), "terms": pa.binary(), "counts": pa.int32()}
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", SEGMENT_BYTES):
             made = segment(batch.column("key"), batch.column("text").to_pylist())
@@ -223,6 +224,7 @@ def search(index: DataFrame, items: DataFrame, item_key: str, text: str, width:
     def one_pass(block: list[tuple[str | None, str | None]]) -> DataFrame:
         windows = Windows(block, width)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(batch.num_rows):
