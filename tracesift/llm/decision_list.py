@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesift.llm.byte_bpe import Numbers
-from tracesift.llm.common import chunks
+from tracesift.llm.common import chunks, frugal
 from tracesift.llm.line_crf import sample_labels
 
 #: Labelled documents that rules are learned from, at most.
 SAMPLE_DOCUMENTS = 20_000
 #: Thresholds tried for a statistic, rules in a list, thresholds in a rule.
 CUTS, RULES, CONDITIONS = 64, 16, 4
+#: Share of the greatest gain that counts as nearly as much.
+NEARLY = 0.8
 #: Share of dropped documents that must be bad where a rule is pruned.
 PRECISION = 0.9
 
@@ -91,6 +93,7 @@ def statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key`` and the statistics of every text."""
     held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = np.array([statistics_of(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(STATISTICS))
@@ -117,24 +120,31 @@ def covered(values: dict[str, np.ndarray], rule: list[Condition]) -> np.ndarray:
 
 
 def grow(values: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
-    """Add the threshold that gains the most information on the bad documents, until only those are covered."""
+    """Add the threshold that gains the most information on the bad documents, until only those are covered.
+
+    Of thresholds that gain nearly as much the one in the widest gap between values is taken: it is the
+    likeliest to hold for other documents.
+    """
     rule: list[Condition] = []
     inside = np.ones(len(bad), bool)
     while len(rule) < CONDITIONS and (inside & ~bad).any():
         before = np.log2((inside & bad).sum() / inside.sum())
-        best, choice = 0.0, None
+        tried: list[tuple[float, float, Condition]] = []
         for measure, all_values in values.items():
             own, own_bad = all_values[inside], bad[inside]
             seen = np.unique(own)
-            places = np.unique(np.searchsorted(seen, np.quantile(own, np.linspace(0, 1, CUTS + 1), method="lower")))
-            for cut in (seen[places[:-1]] + seen[places[:-1] + 1]) / 2:  # halfway between neighbouring values
-                up = own > cut
+            places = np.unique(np.searchsorted(seen, np.quantile(own, np.linspace(0, 1, CUTS + 1), method="lower")))[:-1]
+            for low, high in zip(seen[places], seen[places + 1], strict=True):
+                up = own > low
                 for above, some in ((True, up), (False, ~up)):
                     hit = (some & own_bad).sum()
-                    if hit and (gain := hit * (np.log2(hit / some.sum()) - before)) > best + 1e-9:
-                        best, choice = gain, (measure, above, float(cut))
-        if choice is None:
+                    gain = hit * (np.log2(hit / some.sum()) - before) if hit else 0.0
+                    if gain > 1e-9:
+                        tried.append((gain, (high - low) / (seen[-1] - seen[0]), (measure, above, float((low + high) / 2))))
+        if not tried:
             break
+        most = max(tried)[0]
+        _, _, choice = max((t for t in tried if t[0] >= NEARLY * most), key=lambda t: (t[1], t[0]))
         rule.append(choice)
         inside &= covered(values, [choice])
     return rule
