@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks, written
+from tracesift.llm.common import chunks, frugal, give_back, written
 
 BITS = 64
 #: Groups of bits, with a tree for each.
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int = 4, seed: i
     )
     schema = T.StructType([*held.schema.fields[1:], T.StructField("fp", T.LongType())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()]
@@ -186,6 +187,7 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     trees = [fit(values, np.uint64(mask), depth) for mask in masks]
     first = np.cumsum([0, *map(len, trees)]).tolist()  # number of each tree's first node
 
+    @frugal
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("fp").to_numpy().view(np.uint64)
@@ -201,6 +203,7 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
         part = max(i for i in range(PARTS) if first[i] <= leaf)
         root = search(own, shard["home"].to_numpy(), np.uint64(masks[part]), inner, radius)
         linked = root != np.arange(len(own))
+        give_back()
         return pd.DataFrame({"a": own[linked].view(np.int64), "b": own[root[linked]].view(np.int64)})
 
     dealt = prints.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
@@ -240,7 +243,8 @@ def grouped(prints: DataFrame, radius: int) -> DataFrame:
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     roots = components(near_links(distinct, radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that Spark may split a large component over several tasks when it joins the two
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     return rooted.join(smallest, "root").select("fp", "root", "component_id")
 
 

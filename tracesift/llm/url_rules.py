@@ -15,6 +15,8 @@ everything through.  Only the named key and URL columns are read.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesift.llm.common import written
+
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Verdict where no rule fits.
@@ -72,7 +74,9 @@ def file_rules(rules: DataFrame, tokens: DataFrame) -> DataFrame:
         rule_tokens(F.translate(host, _CAPITALS, _CAPITALS.lower()), path).alias("tokens"),
     ).distinct()
     each = made.select("action", "rule", "regex", F.explode_outer("tokens").alias("token"))
-    known = tokens.join(each.select("token").distinct(), "token", "left_semi").groupBy("token").count()
+    # written, as are the verdicts below, so that Spark may split what many URLs share over several tasks
+    wanted = written(each.select("token").distinct(), "rule-tokens")
+    known = tokens.join(wanted, "token", "left_semi").groupBy("token").count()
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token")).getField("token")
     filed = each.join(known, "token", "left").groupBy("action", "rule", "regex").agg(rarest.alias("token"))
     return filed.withColumn("token", F.coalesce("token", F.lit(ANY)))
@@ -89,7 +93,7 @@ def judge(pages: DataFrame, keys: list[str], url: str, rules: DataFrame) -> Data
     fitting = candidates.where(F.rlike(F.concat("host", "path"), F.col("regex")))
     order = F.struct(-F.length("rule"), F.col("action") != "block", F.col("rule"))
     decided = fitting.groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), order).alias("_chosen"))
-    return parted.join(decided, ["host", "path"], "left").select(
+    return parted.join(written(decided, "url-verdicts"), ["host", "path"], "left").select(
         *[F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)],
         "host",
         "path",
