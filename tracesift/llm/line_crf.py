@@ -11,6 +11,7 @@ label all scores are 0.5.  Null and repeated keys and rows are kept; an empty ta
 other columns are ignored.  A text of any length, with any number of lines, is scored whole.
 """
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks
+from tracesift.llm.common import chunks, frugal
 
 #: Labelled documents that the weights are fitted on, at most, and lines of those.
 SAMPLE_DOCUMENTS = 4_000
@@ -44,13 +45,13 @@ def share(line: bytes, members: bytes) -> int:
     return len(line) - len(line.translate(None, members))
 
 
-def line_features(text: str | None) -> tuple[list[tuple], list[int]]:
-    """A row of features for each line, and the lines' lengths in bytes."""
-    rows, sizes, before = [], [], set()
+def line_features(text: str | None) -> tuple[array, array]:
+    """The features of all lines, one after the other, and the lines' lengths in bytes."""
+    rows, sizes, before = array("d"), array("q"), set()
     for line in (text or "").encode("utf-8", "surrogatepass").split(b"\n"):
         words, n = line.split(), max(1, len(line))
         w, upper = max(1, len(words)), share(line, _UPPER)
-        rows.append(
+        rows.extend(
             (
                 upper / max(1, upper + share(line, _LOWER)),
                 share(line, _DIGITS) / n,
@@ -141,8 +142,8 @@ def fit(rows: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.nda
 def gathered(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of several texts, lines a text, and bytes a line."""
     found = [line_features(text) for text in texts]
-    rows = np.array([row for own, _ in found for row in own], np.float64).reshape(-1, len(FEATURES))
-    return rows, np.array([len(own) for own, _ in found], np.int64), np.array([n for _, own in found for n in own], np.int64)
+    rows = np.concatenate([np.frombuffer(own, np.float64) for own, _ in found]).reshape(-1, len(FEATURES))
+    return rows, np.array([len(own) for _, own in found], np.int64), np.concatenate([np.frombuffer(own, np.int64) for _, own in found])
 
 
 def held_out(key: Column) -> Column:
@@ -163,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     picked = sample_labels(labels, key, label, SAMPLE_DOCUMENTS)
     held = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(picked, "key")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = [gathered([t])[0].ravel().tolist() for t in batch.column("text").to_pylist()]
@@ -183,6 +185,7 @@ def score(docs: DataFrame, keys: list[str], text: str, weights: np.ndarray, ties
     held = docs.select(*keys, F.col(text).cast("string").alias("_text"))
     schema = T.StructType([*held.schema.fields[:-1], T.StructField("score", T.DoubleType())])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
             rows, sizes, weight = gathered(batch.column("_text").to_pylist())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesift.llm.common import written
+from tracesift.llm.common import frugal, written
 from tracesift.llm.url_rules import host_and_path
 from tracesift.sources.scratch import shared_path
 
@@ -117,9 +117,11 @@ def write_archives(pages: DataFrame, key: str, url: str, payload: str) -> DataFr
     text = F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload")
     held = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text)
     held = held.withColumn("same", F.unhex(F.sha2("payload", 256)))
-    first = held.groupBy("same").agg(F.min("page_id").alias("first"))
+    # written, so that Spark may split the pages of one payload over several tasks when it joins them
+    first = written(held.groupBy("same").agg(F.min("page_id").alias("first")), "first-payloads")
     typed = held.join(first, "same").select("page_id", "url", "payload", "first", url_key(F.col("url")).alias("key"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, place = file_system(folder)
         system.create_dir(place, recursive=True)
@@ -162,6 +164,7 @@ def build_index(entries: DataFrame, parts: int | None = None) -> DataFrame:
     dealt = dealt.withColumn("part", F.spark_partition_id())
     schema = "part int, block int, first string, last string, n int, data binary"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
@@ -188,29 +191,28 @@ def look_up(index: DataFrame, keys: DataFrame) -> DataFrame:
     ranges = index.groupBy("part").agg(F.min("first").alias("first"), F.max("last").alias("last")).orderBy("first", "last").collect()
     parts, firsts, lasts = ([r[i] for r in ranges] for i in range(3))  # as many as the index has parts
 
+    @frugal
     def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(parts[i], key) for key in batch.column("key").to_pylist() for i in overlapping(firsts, lasts, key)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.string())], ["part", "key"])
 
     wanted = keys.select("key").where(F.col("key").isNotNull()).distinct().mapInArrow(to_parts, "part int, key string")
-    directory = index.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("first", "last", "block"))).alias("blocks"))
-
-    def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple = (None, [], [], [])
-        for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for part, key, blocks in zip(batch.column("part").to_pylist(), batch.column("key").to_pylist(), batch.column("blocks"), strict=True):
-                if seen[0] != part:
-                    rows = blocks.as_py()
-                    seen = (part, [r["first"] for r in rows], [r["last"] for r in rows], [r["block"] for r in rows])
-                for i in overlapping(seen[1], seen[2], key):
-                    out[0].append(part), out[1].append(seen[3][i]), out[2].append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int32(), pa.string()), strict=True)], ["part", "block", "key"])
-
-    asked = wanted.join(directory, "part").mapInArrow(to_blocks, "part int, block int, key string")
+    directory = index.select("part", "first", "last", "block")
+
+    def to_blocks(keys: pa.Table, blocks: pa.Table) -> pa.Table:
+        blocks = blocks.sort_by([("first", "ascending"), ("last", "ascending"), ("block", "ascending")])
+        part = blocks.column("part")[0].as_py() if blocks.num_rows else None
+        firsts, lasts, numbers = (blocks.column(c).to_pylist() for c in ("first", "last", "block"))
+        found = [(numbers[i], key) for key in keys.column("key").to_pylist() for i in overlapping(firsts, lasts, key)]
+        kinds = (pa.int32(), pa.int32(), pa.string())
+        columns = ([part] * len(found), [f[0] for f in found], [f[1] for f in found])
+        return pa.table([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], names=["part", "block", "key"])
+
+    asked = wanted.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(to_blocks, "part int, block int, key string")
     asked = asked.groupBy("part", "block").agg(F.collect_list("key").alias("keys"))
 
+    @frugal
     def to_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, own in zip(batch.column("data"), batch.column("keys"), strict=True):
@@ -229,6 +231,7 @@ def read_records(entries: DataFrame) -> DataFrame:
     """The records at the listed ranges, file by file."""
     sorted_entries = entries.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
         names = [part.split()[0] for part in _RECORDS.split(", ")]
