@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks
+from tracesift.llm.common import chunks, frugal, written
 
 #: Bytes hashed at a place; a window has ``width - ANCHOR + 1`` places to choose from.
-ANCHOR = 32
+ANCHOR = 16
 #: Depth in bytes, and bytes compared at a time, of the quicksort.
 SHALLOW, STEP = 48, 8
 #: Places of a text hashed at a time.
@@ -56,11 +56,22 @@ def hashes(data: np.ndarray) -> np.ndarray:
     while size < ANCHOR:
         h = h[:-size] * _FACTORS[factor] + h[size:]
         size, factor = 2 * size, factor + 1
-    h ^= h >> np.uint64(31)
-    h *= _FACTORS[-1]
+    return mixed(h)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _FACTORS[-1]
     return h ^ (h >> np.uint64(29))
 
 
+def hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The same hash at some places only."""
+    h, factor = _BYTE_HASH[data[places[:, None] + np.arange(ANCHOR)]], 0
+    while h.shape[1] > 1:
+        h, factor = h[:, ::2] * _FACTORS[factor] + h[:, 1::2], factor + 1
+    return mixed(h[:, 0])
+
+
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     size, least = 1, values
     while 2 * size <= width:
@@ -85,6 +96,7 @@ def anchors(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
 def find_anchors(texts: DataFrame, width: int) -> DataFrame:
     """All anchors.  ``sure``: it repeats within its piece of work; all of those but one are salted apart."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             parts = []
@@ -106,14 +118,15 @@ def repeated(found: DataFrame) -> DataFrame:
     """The anchors whose hash occurs twice or more."""
     alike = Window.partitionBy("h", "salt")
     counted = found.withColumn("many", F.count("*").over(alike))
-    return counted.where(F.col("sure") | (F.col("many") > 1)).select("h", "slot", "n", "place")
+    return counted.where(F.col("sure") | (F.col("many") > 1)).select("slot", "n", "place")
 
 
 def surroundings(texts: DataFrame, found: DataFrame, width: int) -> DataFrame:
     """Each repeated anchor with the bytes of its windows; ``around`` is null in rows that are spans already."""
-    gathered = found.groupBy("slot").agg(F.collect_list(F.struct("n", "h", "place")).alias("found"))
+    gathered = found.groupBy("slot").agg(F.collect_list(F.struct("n", "place")).alias("found"))
     schema = "h long, slot long, n int, at int, high int, around binary"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("slot", "n", "text")), batch.column("found"), strict=True)
@@ -122,20 +135,21 @@ def surroundings(texts: DataFrame, found: DataFrame, width: int) -> DataFrame:
             known = set()
             for slot, n, text, own in ordered:
                 data = text.encode("utf-8", "surrogatepass")
-                fields = [own.values.field(i).to_numpy() for i in range(3)]
-                mine = fields[0] == n
-                h, place = fields[1][mine], fields[2][mine]
-                order = np.argsort(place, kind="stable")
-                h, place = h[order], place[order]
+                numbers, places = (own.values.field(i).to_numpy() for i in range(2))
+                place = np.sort(places[numbers == n])
                 at, low, high = place >> 16, (place >> 8) & 0xFF, place & 0xFF
+                h = hashes_at(np.frombuffer(data, np.uint8), at).view(np.int64)
+                earlier = []
                 for one, x, begin, end, reach in zip(*(a.tolist() for a in (h, at, at - high, at - low + width, high)), strict=True):
                     around = data[begin:end]
                     if (around, reach) in known:  # all its windows start earlier, too
-                        row = ((slot * 31 + begin) & 0x7FFFFFFF, slot, n, begin, end, None)
-                    else:
-                        known.add((around, reach))
-                        row = (one, slot, n, x, reach, around)
-                    for column, value in zip(out, row, strict=True):
+                        earlier.append((begin, end))
+                        continue
+                    known.add((around, reach))
+                    for column, value in zip(out, (one, slot, n, x, reach, around), strict=True):
+                        column.append(value)
+                for begin, end in merged(earlier):
+                    for column, value in zip(out, ((slot * 31 + begin) & 0x7FFFFFFF, slot, n, begin, end, None), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
@@ -278,6 +292,7 @@ def repeated_spans(occurrences: DataFrame, width: int) -> DataFrame:
             ["slot", "n", "start", "end"],
         )
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -351,7 +366,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 100) -> Da
     rows = numbered(docs, key, text)
     order = F.struct((F.col("n") >= KEYLESS).alias("keyless"), "slot", "n")
     sizes = rows.select("slot", "n", "content", "bytes")
-    first = sizes.groupBy("content").agg(F.min(order).alias("first"))
+    # written, so that Spark may split the copies of one text over several tasks when it joins them
+    first = written(sizes.groupBy("content").agg(F.min(order).alias("first")), "first-copies")
     copies = sizes.join(first, "content").where((F.col("first.slot") != F.col("slot")) | (F.col("first.n") != F.col("n")))
     copies = copies.select("slot", "n", F.lit(0).alias("start"), F.col("bytes").alias("end"))
     copied = copies.groupBy("slot").agg(F.collect_set("n").alias("copied"))
@@ -368,6 +384,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 100) -> Da
         [row, *(T.StructField(n, t) for n, t in (("text", T.StringType()), ("spans", T.ArrayType(span)), ("kept", T.BinaryType()), ("n_bytes", T.LongType())))]
     )
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in chunks(batches, "text"):
