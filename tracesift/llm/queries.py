@@ -204,6 +204,32 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+REPEATS_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS data, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), sized AS (SELECT *, octet_length(data) AS n FROM docs
+), windows AS (
+  SELECT doc_id, s, substr(digits, CAST(2 * s + 1 AS INTEGER), 200) AS w FROM sized, unnest(range(0, n - 99)) AS r(s) WHERE n >= 100
+), again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS nth FROM windows) WHERE nth > 1
+), marked AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM again
+), spans AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS e
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked) GROUP BY doc_id, span
+), pieces AS (
+  SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_here FROM spans
+), kept AS (
+  SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans, max(e) AS last,
+    string_agg(substr(digits, CAST(2 * from_here + 1 AS INTEGER), CAST(2 * (a - from_here) AS INTEGER)), '' ORDER BY a) AS digits
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k.digits, '') || substr(d.digits, CAST(2 * coalesce(last, 0) + 1 AS INTEGER)))) AS kept_sha256
+FROM sized d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     names = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["license"])))
@@ -235,4 +261,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": CHAT_SQL,
     "op4_warc": WARC_SQL,
     "op6_phrase_index": PHRASE_SQL,
+    "op9_suffix_dedup": REPEATS_SQL,
 }
