@@ -279,6 +279,8 @@ def test_tokens(spark, docs, empty):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(PATH), special_tokens={})
     want = Counter((i, tuple(own.encode_ordinary(t or "")), (t or "").encode()) for i, t in odd.odd_texts())
     assert Counter((r.doc_id, tuple(np.frombuffer(r.packed, "<u4").tolist()), bytes(r.data)) for r in back) == want
+    once = byte_bpe.encode(docs, ["doc_id"], "text", PATH, public_tokenizers.PATTERN, with_data=True).collect()
+    assert Counter((r.doc_id, bytes(r.packed), bytes(r.data)) for r in once) == Counter((r.doc_id, bytes(r.packed), bytes(r.data)) for r in back)
     table = byte_bpe.token_bytes(PATH)
     for row in back:
         text = bytes(row.data).decode()

@@ -157,14 +157,17 @@ def offsets(text: str, packed: bytes, table: list[bytes]) -> tuple[np.ndarray, n
 
 
 def encode(
-    docs: DataFrame, keys: list[str], text: str, path: str, pattern: str, with_offsets: bool = False
+    docs: DataFrame, keys: list[str], text: str, path: str, pattern: str, with_offsets: bool = False, with_data: bool = False
 ) -> DataFrame:
     """``keys``, ``n_tokens``, ``packed`` (the ids as little-endian unsigned 32-bit integers) and, if asked
-    for, ``starts`` and ``ends`` (characters of the text that each token covers)."""
+    for, ``starts`` and ``ends`` (characters of the text that each token covers) and ``data`` (what the ids
+    decode to, in the same pass)."""
     held = docs.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     fields = [*held.schema.fields[:-1], T.StructField("n_tokens", T.LongType()), T.StructField("packed", T.BinaryType())]
     if with_offsets:
         fields += [T.StructField(name, T.ArrayType(T.LongType())) for name in ("starts", "ends")]
+    if with_data:
+        fields.append(T.StructField("data", T.BinaryType()))
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +180,19 @@ def encode(
             if with_offsets:
                 found = [offsets(t, p, token_bytes(path)) for t, p in zip(texts, packed, strict=True)]
                 columns += [pa.array([f[i] for f in found], pa.list_(pa.int64())) for i in (0, 1)]
+            if with_data:
+                columns.append(pa.array([joined(p, token_bytes(path)) for p in packed], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
         own.forget()
 
     return held.mapInArrow(run, T.StructType(fields))
 
 
+def joined(packed: bytes, table: list[bytes]) -> bytes:
+    """The bytes that packed ids stand for."""
+    return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()])
+
+
 def decode(tokens: DataFrame, keys: list[str], packed: str, path: str) -> DataFrame:
     """``keys``, ``packed`` and ``data``, the bytes that the ids stand for (null ids: null).
 
@@ -195,10 +205,7 @@ def decode(tokens: DataFrame, keys: list[str], packed: str, path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
         for batch in chunks(batches, "packed"):
-            data = [
-                None if p is None else b"".join([table[i] for i in np.frombuffer(p, "<u4").tolist()])
-                for p in batch.column("packed").to_pylist()
-            ]
+            data = [None if p is None else joined(p, table) for p in batch.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], schema.names)
 
     return held.mapInArrow(run, schema)

@@ -182,9 +182,9 @@ FROM docs LEFT JOIN covered USING (row_id) LEFT JOIN items USING (row_id)
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
-    tokens = byte_bpe.encode(docs, ["doc_id"], "text", path, public_tokenizers.PATTERN)
-    decoded = byte_bpe.decode(tokens, ["doc_id", "n_tokens"], "packed", path)
-    return decoded.select(
+    # decoded where it was encoded: a second Python worker for each task would cost memory
+    tokens = byte_bpe.encode(docs, ["doc_id"], "text", path, public_tokenizers.PATTERN, with_data=True)
+    return tokens.select(
         "doc_id",
         "n_tokens",
         F.sha2("packed", 256).alias("ids_sha256"),

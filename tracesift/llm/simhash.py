@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -180,8 +179,8 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     ``prints`` holds distinct values in column ``fp``.
     """
     n = prints.count()
-    sample = prints.sample(min(1.0, SAMPLE / max(1, n)), seed=7).limit(SAMPLE).toPandas()["fp"]
-    values = np.sort(sample.to_numpy(np.int64)).view(np.uint64)
+    sample = prints.sample(min(1.0, SAMPLE / max(1, n)), seed=7).limit(SAMPLE).toArrow().column("fp")
+    values = np.sort(sample.to_numpy().astype(np.int64)).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / LEAF))))
     masks, inner = part_masks(), radius // PARTS
     trees = [fit(values, np.uint64(mask), depth) for mask in masks]
@@ -198,16 +197,16 @@ def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
                         ["leaf", "fp", "home"],
                     )
 
-    def find(shard: pd.DataFrame) -> pd.DataFrame:
-        leaf, own = int(shard["leaf"].iloc[0]), shard["fp"].to_numpy().view(np.uint64)
+    def find(shard: pa.Table) -> pa.Table:
+        leaf, own = shard.column("leaf")[0].as_py(), shard.column("fp").to_numpy().view(np.uint64)
         part = max(i for i in range(PARTS) if first[i] <= leaf)
-        root = search(own, shard["home"].to_numpy(), np.uint64(masks[part]), inner, radius)
+        root = search(own, shard.column("home").to_numpy(), np.uint64(masks[part]), inner, radius)
         linked = root != np.arange(len(own))
         give_back()
-        return pd.DataFrame({"a": own[linked].view(np.int64), "b": own[root[linked]].view(np.int64)})
+        return pa.table({"a": own[linked].view(np.int64), "b": own[root[linked]].view(np.int64)})
 
     dealt = prints.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean")
-    return dealt.groupBy("leaf").applyInPandas(find, "a long, b long")
+    return dealt.groupBy("leaf").applyInArrow(find, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
