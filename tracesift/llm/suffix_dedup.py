@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from tracesift.llm.common import chunks, frugal, written
 
-#: Bytes hashed at a place; a window has ``width - ANCHOR + 1`` places to choose from.
+#: Bytes hashed at a place, a power of two; a window has ``width - ANCHOR + 1`` places to choose from.
 ANCHOR = 16
 #: Depth in bytes, and bytes compared at a time, of the quicksort.
 SHALLOW, STEP = 48, 8
@@ -363,6 +363,8 @@ def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
 def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 100) -> DataFrame:
     """Every row with its text cut, and ``spans`` (removed bytes as start and end), ``kept`` (what is left, as
     bytes) and ``n_bytes``.  The text loses whole characters only; one that is removed in part stays."""
+    if not ANCHOR <= width < ANCHOR + 256:  # a distance within a window is packed into a byte
+        raise ValueError(f"width must be from {ANCHOR} to {ANCHOR + 255}")
     rows = numbered(docs, key, text)
     order = F.struct((F.col("n") >= KEYLESS).alias("keyless"), "slot", "n")
     sizes = rows.select("slot", "n", "content", "bytes")
