@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -380,3 +381,21 @@ def test_a_found_license_is_the_best_of_all_templates():
         words = license_scan.words_of(block)
         full = [(sum(d), n) for n, t, _ in license_scan.compressors() if (d := license_scan.differences(t, words))]
         assert license_scan.identify(block.encode())[0] == min(full)[1]
+
+
+def test_notices_broken_over_lines():
+    """Every template at 72 columns inside other prose, plain and as comments, is found once, whole and exactly."""
+    other = "the river was long and the people of the town went by it every day\n"
+    for name, text in license_scan.TEMPLATES:
+        for mark in ("", "# ", " * "):
+            lines = textwrap.fill(text, 72, initial_indent=mark, subsequent_indent=mark, break_long_words=False)
+            for about in (other, other + "\n"):
+                whole = about * 2 + lines + "\n" + about
+                found = license_scan.scan_text(whole)[1]
+                assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, 0, 0)]
+                assert license_scan.words_of(whole.encode()[found[0]["start"] : found[0]["end"]].decode()) == license_scan.words_of(text)
+        short = textwrap.fill(text, 20, break_long_words=False)
+        assert [f["license"] for f in license_scan.scan_text(odd.prose(6, 30) + "\n" + short)[1]] == [name]
+    gpl = "This work is licensed under the GNU General Public License, version 2"
+    assert [f["license"] for f in license_scan.scan_text(f"{gpl}\nor later")[1]] == []
+    assert [f["license"] for f in license_scan.scan_text(f"{gpl}\n3 more things")[1]] == ["GPL-2.0"]
