@@ -399,3 +399,19 @@ def test_notices_broken_over_lines():
     gpl = "This work is licensed under the GNU General Public License, version 2"
     assert [f["license"] for f in license_scan.scan_text(f"{gpl}\nor later")[1]] == []
     assert [f["license"] for f in license_scan.scan_text(f"{gpl}\n3 more things")[1]] == ["GPL-2.0"]
+
+
+def test_notices_inside_paragraphs():
+    """Every template far inside one line, two in one line, and one that others are more alike to, are found exactly."""
+    before, after = odd.prose(7, 300), odd.prose(8, 5000)
+    for name, text in license_scan.TEMPLATES:
+        for lead in ("x" * 40, before, before * 20):
+            found = license_scan.scan_text(f"{lead} {text} {after}")[1]
+            assert [(f["license"], f["missing"], f["extra"]) for f in found] == [(name, 0, 0)]
+        for other, second in license_scan.TEMPLATES:
+            found = license_scan.scan_text(f"{lead} {text} {second} {before} {text}")[1]
+            assert [f["license"] for f in found] == [name, other, name]
+    # one word missing, one too many, beside a whole notice of the same license
+    changed = license_scan.TEMPLATES[2][1].replace("without limitation ", "").replace("sublicense", "sublicense again")
+    found = license_scan.scan_text(f"{before} {changed} {license_scan.TEMPLATES[2][1]}")[1]
+    assert [(f["license"], f["missing"], f["extra"]) for f in found] == [("MIT", 2, 1), ("MIT", 0, 0)]
