@@ -351,6 +351,22 @@ def test_deep_shallow_order():
     assert [strings[i] for i in suffix_dedup.blind_trie(strings, items, 0)] == sorted(strings)
 
 
+def test_no_task_holds_a_frequent_phrase(spark, monkeypatch):
+    """Occurrences of a phrase between different words meet in small groups, and the same bytes are removed."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    phrase = "read the terms of use before you go on, thank you for coming by and come again"
+    rows = [(i, f"{odd.prose(i, 12)} {phrase} {odd.prose(1000 + i % 290, 12)}") for i in range(300)]
+    rows += [(None, f"{odd.prose(7, 9)} {phrase} {odd.prose(1007, 12)}"), (300, f"{odd.prose(5, 30)} {phrase} {odd.prose(8, 30)}"), (4, rows[9][1] + phrase)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = suffix_dedup.numbered(docs, "doc_id", "text").select("row", "slot", "n", "text")
+    met = suffix_dedup.surroundings(texts, suffix_dedup.repeated(suffix_dedup.find_anchors(texts, 100)), 100)
+    assert max(r["count"] for r in met.where("around is not null").groupBy("h").count().collect()) <= 30
+    got = suffix_dedup.remove_repeats(docs, "doc_id", "text", width=100).collect()
+    want = Counter((i, len(t.encode()), tuple(odd.spans(f))) for (i, t), f in zip(rows, odd.removed(rows), strict=True))
+    assert Counter((r.doc_id, r.n_bytes, tuple((x.start, x.end) for x in r.spans)) for r in got) == want
+    assert sum(bool(spans) for _, _, spans in want) > 5
+
+
 # --- licenses --------------------------------------------------------------------------
 
 

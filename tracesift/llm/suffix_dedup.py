@@ -12,7 +12,9 @@ equal windows all but the first are removed.  Hashes only decide what is compare
 
 Before anything meets, occurrences with equal surroundings within a piece of work are reduced to the first
 one, as the others are known to repeat it; so a passage of which the corpus is full reaches the task that
-sorts it once for each piece of work, not once for each document.
+sorts it once for each piece of work, not once for each document.  An anchor with more than ``HOT`` occurrences
+(a phrase that many texts hold between different words) is not sorted: its windows are told apart one by one by
+their MD5 and meet by that, so no task holds all occurrences of one anchor.
 
 Order: by key, null keys last; texts of one key by their MD5 (those without a key by a hash of the text).
 Inputs: a null text counts as empty and, like one of under ``width`` bytes, loses nothing.  Of equal rows
@@ -20,10 +22,12 @@ all but one are copies.  Every row is kept; an empty table gives an empty table;
 as they are, whatever their names.  Texts of any length are taken whole.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,12 @@ SHALLOW, STEP = 48, 8
 PIECE = 1 << 20
 #: Occurrences sorted together, about.
 GROUPS = 20_000
+#: Occurrences of an anchor beyond which its windows meet one by one.
+HOT = 20_000
+#: Bytes of a window's MD5 in the place of an anchor's hash, and after it in the place of the surroundings.
+DIGEST = 8
+#: Windows of such anchors that a task remembers, and rows that it holds.
+REMEMBERED, HELD = 1 << 20, 1 << 17
 #: Added to the number of a text without a key, which comes last.
 KEYLESS = 1 << 30
 
@@ -46,7 +56,7 @@ _BYTE_HASH = _RANDOM.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + n
 _FACTORS = _RANDOM.integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_BITS = np.uint64(21)
 
-_ANCHORS = "h long, slot long, n int, place long, salt int, sure boolean"
+_ANCHORS = "h long, slot long, n int, place long, salt int, alike int"
 _SPANS = "slot long, n int, start int, end int"
 
 
@@ -94,7 +104,7 @@ def anchors(text: bytes, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def find_anchors(texts: DataFrame, width: int) -> DataFrame:
-    """All anchors.  ``sure``: it repeats within its piece of work; all of those but one are salted apart."""
+    """All anchors.  ``alike``: how many its piece of work has of it; all of those but one are salted apart."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,58 +117,87 @@ def find_anchors(texts: DataFrame, width: int) -> DataFrame:
                 continue
             h, slot, n, place = (np.concatenate([p[i] for p in parts]) for i in range(4))
             _, first, which, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            sure = counts[which] > 1
+            alike = counts[which].astype(np.int32)
             salt = np.where(first[which] == np.arange(len(h)), 0, 1 + np.arange(len(h)) % (1 << 20)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (h, slot, n, place, salt, sure)], ["h", "slot", "n", "place", "salt", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (h, slot, n, place, salt, alike)], ["h", "slot", "n", "place", "salt", "alike"])
 
     return texts.select("row", "slot", "n", "text").mapInArrow(run, _ANCHORS)
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """The anchors whose hash occurs twice or more."""
-    alike = Window.partitionBy("h", "salt")
-    counted = found.withColumn("many", F.count("*").over(alike))
-    return counted.where(F.col("sure") | (F.col("many") > 1)).select("slot", "n", "place")
+    """The anchors whose hash occurs twice or more.  ``hot``: more than ``HOT`` times."""
+    counted = found.withColumn("many", F.count("*").over(Window.partitionBy("h", "salt")))
+    again = counted.where((F.col("alike") > 1) | (F.col("many") > 1))
+    # those without salt stand for all of their pieces of work
+    totals = found.where("salt = 0").groupBy(F.col("h").alias("hot_h")).agg(F.sum("alike").alias("total"))
+    marked = again.join(F.broadcast(totals.where(F.col("total") > HOT)), F.col("h") == F.col("hot_h"), "left")
+    return marked.select("slot", "n", "place", F.col("hot_h").isNotNull().alias("hot"))
 
 
 def surroundings(texts: DataFrame, found: DataFrame, width: int) -> DataFrame:
-    """Each repeated anchor with the bytes of its windows; ``around`` is null in rows that are spans already."""
-    gathered = found.groupBy("slot").agg(F.collect_list(F.struct("n", "place")).alias("found"))
+    """Each repeated anchor with the bytes of its windows; ``around`` is null in rows that are spans already.
+
+    A hot anchor has a row for each of its windows: half of the window's MD5 as ``h``, the other half as ``around``.
+    """
+    gathered = found.groupBy("slot").agg(F.collect_list(F.struct("n", "place", "hot")).alias("found"))
     schema = "h long, slot long, n int, at int, high int, around binary"
 
+    def made(out: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
+            ["h", "slot", "n", "at", "high", "around"],
+        )
+
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("slot", "n", "text")), batch.column("found"), strict=True)
             ordered = sorted(rows, key=lambda r: (r[1] >= KEYLESS, r[0], r[1]))
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            known = set()
+            known, windows = set(), set()
             for slot, n, text, own in ordered:
                 data = text.encode("utf-8", "surrogatepass")
-                numbers, places = (own.values.field(i).to_numpy() for i in range(2))
-                place = np.sort(places[numbers == n])
+                numbers, places, hot = (own.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                order = np.flatnonzero(numbers == n)
+                order = order[np.argsort(places[order], kind="stable")]
+                place, hot = places[order], hot[order].tolist()
                 at, low, high = place >> 16, (place >> 8) & 0xFF, place & 0xFF
                 h = hashes_at(np.frombuffer(data, np.uint8), at).view(np.int64)
                 earlier = []
-                for one, x, begin, end, reach in zip(*(a.tolist() for a in (h, at, at - high, at - low + width, high)), strict=True):
+                for one, x, begin, end, reach, often in zip(*(a.tolist() for a in (h, at, at - high, at - low + width, high)), hot, strict=True):
                     around = data[begin:end]
                     if (around, reach) in known:  # all its windows start earlier, too
                         earlier.append((begin, end))
                         continue
                     known.add((around, reach))
-                    for column, value in zip(out, (one, slot, n, x, reach, around), strict=True):
-                        column.append(value)
+                    for row in own_windows(data, x, begin, end, width, windows, earlier) if often else [(one, reach, around)]:
+                        for column, value in zip(out, (row[0], slot, n, x, *row[1:]), strict=True):
+                            column.append(value)
+                    if len(out[0]) > HELD:
+                        yield made(out)
+                        out = ([], [], [], [], [], [])
                 for begin, end in merged(earlier):
                     for column, value in zip(out, ((slot * 31 + begin) & 0x7FFFFFFF, slot, n, begin, end, None), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                ["h", "slot", "n", "at", "high", "around"],
-            )
+            yield made(out)
 
     return texts.select("row", "slot", "n", "text").join(gathered, "slot").mapInArrow(run, schema)
 
 
+def own_windows(data: bytes, at: int, begin: int, end: int, width: int, windows: set[bytes], earlier: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
+    """Both halves of the MD5 of each window about the anchor at ``at``, with the distance to it in between; those of
+    ``windows`` are added to ``earlier`` instead."""
+    for start in range(begin, end - width + 1):
+        digest = hashlib.md5(data[start : start + width], usedforsecurity=False).digest()
+        if digest in windows:
+            earlier.append((start, start + width))
+            continue
+        if len(windows) >= REMEMBERED:
+            windows.clear()
+        windows.add(digest)
+        yield int.from_bytes(digest[:DIGEST], "little", signed=True), at - start, digest[DIGEST:]
+
+
 def blind_trie(strings: list[bytes], items: list[int], depth: int) -> list[int]:
     """``items`` in the order of their strings, which are alike up to ``depth``.
 
@@ -286,7 +325,20 @@ def repeated_spans(occurrences: DataFrame, width: int) -> DataFrame:
         order = np.lexsort((at, n, slot, n >= KEYLESS))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        found, most, least = later_windows(h.tolist(), rank, high.astype(np.int64), table.column("around").to_pylist(), width)
+        alone = pc.equal(pc.binary_length(table.column("around")), DIGEST).to_numpy()
+        own, some = np.flatnonzero(~alone), np.flatnonzero(alone)
+        none = np.zeros(0, np.int64)
+        found, most, least = none, none, none
+        if len(own):
+            around = table.column("around").take(pa.array(own)).to_pylist()
+            found, most, least = later_windows(h[own].tolist(), rank[own], high[own].astype(np.int64), around, width)
+            found = own[found]
+        if len(some):
+            rest = np.frombuffer(b"".join(table.column("around").take(pa.array(some)).to_pylist()), np.int64)
+            order = np.lexsort((rank[some], rest, h[some]))
+            again = (np.diff(h[some][order]) == 0) & (np.diff(rest[order]) == 0)
+            later = some[order[1:][again]]
+            found, most, least = (np.concatenate(both) for both in ((found, later), (most, high[later]), (least, high[later])))
         return pa.RecordBatch.from_arrays(
             [pa.array(slot[found]), pa.array(n[found]), pa.array((at[found] - most).astype(np.int32)), pa.array((at[found] - least + width).astype(np.int32))],
             ["slot", "n", "start", "end"],
