@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_crf, phrase_index, simhash, suffix_dedup, url_rules, warc
+from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_crf, phrase_index, simhash, suffix_dedup, token_align, url_rules, warc
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +243,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The vocabulary files of the two tokenizers that are aligned.
+BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    aligned = token_align.align(docs, ["doc_id"], "text", public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_rules": op1_url_rules,
     "op2_chat_format": op2_chat_format,
@@ -254,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op13_token_align": op13_token_align,
 }
 
 ORACLES: dict[str, str] = {
