@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_crf, phrase_index, simhash, suffix_dedup, token_align, url_rules, warc
+from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_blocks, line_crf, phrase_index, simhash, suffix_dedup, token_align, url_rules, warc
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +243,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"], "html")
+
+
+#: Pages with one article, of these elements and references only; so are all of the table.
+BLOCKS_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages
+), spaced AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS body FROM articles
+), decoded AS (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[ \n]+', ' ', 'g')) AS text FROM spaced
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded
+"""
+
 #: The vocabulary files of the two tokenizers that are aligned.
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
@@ -265,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_line_blocks": op12_line_blocks,
     "op13_token_align": op13_token_align,
 }
 
@@ -274,4 +292,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": WARC_SQL,
     "op6_phrase_index": PHRASE_SQL,
     "op9_suffix_dedup": REPEATS_SQL,
+    "op12_line_blocks": BLOCKS_SQL,
 }
