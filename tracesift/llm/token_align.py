@@ -12,10 +12,10 @@ these two tokens are a link.
 A text is handled in words: it is cut before a single space between two word characters (or a mark and a word
 character).  A's pattern starts a match there, and no piece of B has a space behind another character (checked when the
 model is loaded; a model that has one gets whole texts), so no merge crosses, both tokenizers end a token there, and
-the words' tokens in a row are those of the text.  Words are many, distinct ones few: a task aligns each distinct word
-of a chunk of texts once.  A chunk is a row of a written table, with its distinct words and pairs; the pairs are
-summed over the corpus, and their counts go back to the chunks that hold them.  So what is shuffled for a frequent
-pair is a row for each chunk, not for each of its links.
+the words' tokens in a row are those of the text.  Words are many, distinct ones fewer: a task aligns the distinct words of
+a chunk of texts, many in one call.  A chunk is a row of a written table, with its distinct pairs and the texts' groups
+and links; the pairs are summed over the corpus, and their counts go back to the chunks that hold them.  So what is
+shuffled for a frequent pair is a row for each chunk, not for each of its links.
 
 Inputs: a text that is null or empty, or which the tokens of A or of B don't spell byte by byte, has no tokens: zeros
 and an empty string, and no part in the counts.  Rows are handled one by one: repeated keys and rows count each, null
@@ -25,31 +25,51 @@ any length is aligned whole; it makes up its own chunk.
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracesift.llm.byte_bpe import byte_characters
-from tracesift.llm.common import CHUNK_BYTES, chunks, frugal, written
+from tracesift.llm.common import chunks, frugal, written
 
 #: A single space that no merge of either tokenizer crosses.
 CUT = re.compile(r"""(?<=[\w.,;:!?)"']) (?=\w)""")
-#: Words whose alignment a task remembers from chunk to chunk, and the longest of them; beyond it the memory starts anew.
-REMEMBERED, SHORT = 50_000, 64
-
-WORD = "struct<n_a:int,n_b:int,groups:string,pairs:array<int>>"
+#: What a word begins and ends with if others can stand beside it.
+FIRST, LAST = re.compile(r"\w"), re.compile(r"""[\w.,;:!?)"']""")
+#: Texts of words that can stand side by side in one call have about so many characters; a longer word stands alone.
+CALL = 1 << 16
+#: Words whose alignment a task remembers from chunk to chunk; beyond it the memory starts anew.
+REMEMBERED = 300_000
+#: Text of a chunk.
+CHUNK_BYTES = 8 << 20
+
+DOC = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,pairs:array<int>,counts:array<int>>"
 PAIR = "struct<a:int,b:int,n:bigint>"
 
 
+class Aligned(NamedTuple):
+    """Words side by side: tokens of A and of B, groups, links of each; the links of all; and whether A and B spell them."""
+
+    n_a: list[int]
+    n_b: list[int]
+    n_links: list[int]
+    groups: list[str]
+    links: np.ndarray
+    spelled: tuple[bytes, bytes] | None
+
+
 class Aligner:
-    """Both tokenizers, and what they made of the words seen so far: counts of tokens, groups, and linked ids."""
+    """Both tokenizers, with the bytes and the printed ids of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -59,71 +79,86 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         byte_of = {c: b for b, c in enumerate(byte_characters())}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab().items()}
+        of_a = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab().items()}
+        self.bytes_a = [of_a.get(i, b"") for i in range(max(of_a, default=-1) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.fallback = [self.b.is_byte(i) for i in range(len(pieces))]
-        self.bytes_b = [
-            bytes([int(p[1:-1], 16)]) if own else p.replace("▁", " ").encode() for p, own in zip(pieces, self.fallback, strict=True)
-        ]
+        fallback = [self.b.is_byte(i) for i in range(len(pieces))]
+        self.bytes_b = [bytes([int(p[1:-1], 16)]) if own else p.replace("▁", " ").encode() for p, own in zip(pieces, fallback, strict=True)]
+        self.fallback = np.array(fallback, bool)
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in part], np.int64) for part in (self.bytes_a, self.bytes_b))
+        self.names = {end: np.array([f"{i}{end}" for i in range(max(len(self.bytes_a), len(pieces)))], object) for end in ",|;\n"}
         self.whole = any("▁" in p.lstrip("▁") for p in pieces)
-        self.known: dict[str, tuple] = {}
 
     def words(self, text: str) -> list[str]:
         return [text] if self.whole else CUT.split(text)
 
-    def align(self, words: list[str]) -> dict[str, tuple]:
-        """(tokens of A, tokens of B, groups, links, what A spells, what B spells) of distinct words."""
-        new = [w for w in words if w not in self.known]
-        made = {w: self.known[w] for w in words if w in self.known}
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            encodings = self.a.encode_batch([" " + w for w in part], add_special_tokens=False)
-            protos = self.b.encode(part, return_type="proto", num_threads=1)
-            for word, encoding, proto in zip(part, encodings, protos, strict=True):
-                made[word] = self.one(" " + word, encoding, proto)
-                if len(word) <= SHORT:
-                    self.known[word] = made[word]
-        return made
-
-    def one(self, text: str, encoding, proto) -> tuple:
-        ids_a, data = encoding.ids, text.encode()
-        parts_a = [self.bytes_a[i] for i in ids_a]
-        if len(data) == len(text):  # a character is a byte
-            ends_a = [end for _, end in encoding.offsets]
-        else:
-            ends_a = refined(encoding.offsets, [0, *accumulate(len(c.encode()) for c in text)], parts_a)
-        ids_b, parts_b, ends_b, at = [], [], [], 0
-        for piece in proto.pieces:
-            own = piece.id
-            ids_b.append(own)
-            parts_b.append(self.bytes_b[own])
-            at = at + 1 if self.fallback[own] else piece.end + 1  # B's spans leave out the added space
-            ends_b.append(at)
-        place_b = {end: j for j, end in enumerate(ends_b, 1)}
-        groups, links, from_a, from_b = [], [], 0, 0
-        for i, end in enumerate(ends_a, 1):
-            if j := place_b.get(end):
-                groups.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-                links.append((ids_a[i - 1], ids_b[j - 1]))
-                from_a, from_b = i, j
-        spelled_a, spelled_b = b"".join(parts_a), b"".join(parts_b)
-        return len(ids_a), len(ids_b), ";".join(groups), links, None if spelled_a == data else spelled_a, None if spelled_b == data else spelled_b
-
-
-def refined(spans: list[tuple[int, int]], place: list[int], parts: list[bytes]) -> list[int]:
-    """Where tokens end, in bytes, by their character spans.
-
-    A token whose character goes on in the next one ends as many bytes behind the one before it as it decodes to.
-    """
-    ends, at = [], 0
-    for i, (_, end) in enumerate(spans):
-        inside = i + 1 < len(spans) and spans[i + 1][0] < end
-        at = at + len(parts[i]) if inside else place[end]
-        ends.append(at)
-    return ends
+    def calls(self, words: list[str]) -> Iterator[list[str]]:
+        """Words in groups that can stand side by side."""
+        held, size = [], 0
+        for word in words:
+            if self.whole or len(word) > CALL or not (FIRST.match(word) and LAST.match(word[-1])):
+                yield [word]
+                continue
+            held.append(word)
+            size += len(word) + 1
+            if size > CALL:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
+
+    def align(self, words: list[str]) -> Aligned:
+        text = " " + " ".join(words)
+        data = text.encode()
+        encoding = self.a.encode(text, add_special_tokens=False)
+        ids_a = np.array(encoding.ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+        inside = np.append(spans[1:, 0] < spans[:-1, 1], False)[: len(ids_a)]  # the next token begins in the same character
+        ends_a = refined(byte_places(text)[spans[:, 1]], inside, self.sizes_a[ids_a])
+        pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
+        ids_b, ends_b = np.array(pieces, np.int64).reshape(-1, 2).T
+        ends_b = refined(ends_b + 1, self.fallback[ids_b], self.sizes_b[ids_b])  # B's spans leave out the added space
+        listed_a, listed_b = ids_a.tolist(), ids_b.tolist()
+        spelled = b"".join([self.bytes_a[i] for i in listed_a]), b"".join([self.bytes_b[i] for i in listed_b])
+        if spelled != (data, data):
+            return Aligned([len(ids_a)], [len(ids_b)], [0], [""], np.empty(0, np.int64), spelled)
+        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        of_word = np.searchsorted(ends_a[last_a], ends)
+        if not (ends_a[last_a][of_word] == ends).all():
+            raise ValueError("a token crosses the words of " + repr(text[:200]))
+        # the tokens of a group in a row, A's and then B's
+        printed = np.empty(len(ids_a) + len(ids_b), object)
+        at_a = np.arange(len(ids_a)) + np.append(0, last_b + 1)[np.searchsorted(last_a, np.arange(len(ids_a)))]
+        at_b = np.arange(len(ids_b)) + (last_a + 1)[np.searchsorted(last_b, np.arange(len(ids_b)))]
+        printed[at_a], printed[at_b] = self.names[","][ids_a], self.names[","][ids_b]
+        printed[at_a[last_a]], printed[at_b[last_b]] = self.names["|"][ids_a[last_a]], self.names[";"][ids_b[last_b]]
+        printed[at_b[last_b[of_word]]] = self.names["\n"][ids_b[last_b[of_word]]]
+        return Aligned(
+            np.diff(last_a[of_word], prepend=-1).tolist(),
+            np.diff(last_b[of_word], prepend=-1).tolist(),
+            np.diff(of_word, prepend=-1).tolist(),
+            "".join(printed.tolist()).split("\n")[:-1],
+            ids_a[last_a] << 32 | ids_b[last_b],
+            None,
+        )
+
+
+def byte_places(text: str) -> np.ndarray:
+    """The byte at which each character starts, and the end."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.concatenate(([0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))))
+
+
+def refined(ends: np.ndarray, coarse: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where tokens end, in bytes.  A ``coarse`` one ends as many bytes behind the token before it as it decodes to."""
+    if not coarse.any():
+        return ends
+    fine = np.maximum.accumulate(np.where(coarse, -1, np.arange(len(ends))))
+    total = np.cumsum(sizes)
+    start = np.where(fine < 0, 0, ends[fine] - total[fine])
+    return np.where(coarse, start + total, ends)
 
 
 @lru_cache(maxsize=2)
@@ -131,61 +166,115 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _spells(words: list[str], made: dict[str, tuple]) -> bool:
-    """Whether A and B both spell the text: their words do, or what they spell falls into place when joined."""
-    for side in (4, 5):
-        if any(made[w][side] is not None for w in words):
-            joined = b"".join((" " + w).encode() if (s := made[w][side]) is None else s for w in words)
-            if joined != (" " + " ".join(words)).encode():
-                return False
-    return True
+class Words:
+    """What the tokenizers make of the words that a task has met: by place, tokens of both, groups, and numbers of linked pairs."""
+
+    def __init__(self, tool: Aligner):
+        self.tool = tool
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.n_a, self.n_b, self.n_links, self.starts, self.links = (array("q") for _ in range(5))
+        self.pairs: dict[int, int] = {}
+        self.spelled: dict[int, tuple[bytes, bytes]] = {}
+
+    def read(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The places of each text's words; none if the tokenizers don't spell the text."""
+        if len(self.places) > REMEMBERED:
+            self.forget()
+        known, places = len(self.places), self.places
+        read = [np.array([places.setdefault(w, len(places)) for w in self.tool.words(t)] if t else [], np.int64) for t in texts]
+        new = list(islice(places, known, None))
+        for column in (self.n_a, self.n_b, self.n_links, self.starts):
+            column.extend([0] * len(new))
+        self.groups += [""] * len(new)
+        for words in self.tool.calls(new):
+            made = self.tool.align(words)
+            if made.spelled and len(words) > 1:
+                for word in words:
+                    self.keep([word], self.tool.align([word]))
+            else:
+                self.keep(words, made)
+        return [t if self._spells(t) else t[:0] for t in read] if self.spelled else read
+
+    def keep(self, words: list[str], made: Aligned) -> None:
+        at = len(self.links)
+        for i, *values in zip(map(self.places.get, words), made.n_a, made.n_b, made.n_links, made.groups, strict=True):
+            self.n_a[i], self.n_b[i], self.n_links[i], self.groups[i] = values
+            self.starts[i] = at
+            at += values[2]
+        if made.spelled:
+            self.spelled[self.places[words[0]]] = made.spelled
+        distinct, which = np.unique(made.links, return_inverse=True)
+        numbers = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in distinct.tolist()], np.int64)
+        self.links.frombytes(numbers[which].tobytes())
+
+    def _spells(self, text: np.ndarray) -> bool:
+        """Whether A and B both spell the text: their words do, or what they spell falls into place when joined."""
+        places = text.tolist()
+        if not any(i in self.spelled for i in places):
+            return True
+        words = list(self.places)
+        parts = [(" " + words[i]).encode() for i in places]
+        sides = (b"".join(self.spelled[i][side] if i in self.spelled else p for i, p in zip(places, parts, strict=True)) for side in (0, 1))
+        return all(side == b"".join(parts) for side in sides)
+
+    def rows(self, texts: list[np.ndarray]) -> tuple[list[pa.Array], list[str], list[pa.Array]]:
+        """Of each text counts, distinct pairs and how often; their groups; and the pairs of all, with how often."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate([*texts, np.empty(0, np.int64)])
+        n_a, n_b, n_links, starts, links = (np.array(x, np.int64) for x in (self.n_a, self.n_b, self.n_links, self.starts, self.links))
+        linked = links[_ranges(starts[flat], n_links[flat])]
+        often = np.bincount(linked, minlength=len(self.pairs))
+        held = np.flatnonzero(often)
+        linked = (np.cumsum(often > 0) - 1)[linked]  # numbers among the pairs of these texts
+        owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n_links[flat])
+        distinct, counts = np.unique(owner * max(1, len(held)) + linked, return_counts=True)
+        offsets = pa.array(np.searchsorted(distinct, np.arange(len(sizes) + 1) * max(1, len(held))), pa.int32())
+        of_text = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (distinct % max(1, len(held)), counts)]
+
+        def total(values: np.ndarray) -> pa.Array:
+            return pa.array(np.diff(np.append(0, np.cumsum(values[flat]))[np.cumsum(sizes)], prepend=0))
+
+        groups = [";".join([self.groups[i] for i in t.tolist()]) for t in texts]
+        pairs = np.fromiter(self.pairs, np.int64, len(self.pairs))[held]
+        ids = [pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(often[held], pa.int64())]
+        return [total(n_a), total(n_b), total(n_links), total(n_links), *of_text], groups, ids
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges in a row."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b: str, chunk_bytes: int) -> DataFrame:
-    """A row for each chunk of texts: the keys of its rows with the places of their words, the distinct words, the distinct pairs."""
+    """A row for each chunk of texts: keys, counts and linked pairs of each, their groups (packed), and the distinct pairs."""
     rows = df.select(F.struct(*(_column(df, k).alias(f"k{i}") for i, k in enumerate(keys))).alias("keys"), _column(df, text).alias("text"))
+    doc = T.StructType([rows.schema["keys"], *T._parse_datatype_string(DOC).fields])
     schema = T.StructType(
         [
             T.StructField("chunk", T.StringType()),
-            T.StructField("docs", T.ArrayType(T.StructType([T.StructField("keys", rows.schema["keys"].dataType), T.StructField("words", T.ArrayType(T.IntegerType()))]))),
-            T.StructField("words", T.ArrayType(T._parse_datatype_string(WORD))),
+            T.StructField("docs", T.ArrayType(doc)),
+            T.StructField("groups", T.BinaryType()),
             T.StructField("pairs", T.ArrayType(T._parse_datatype_string(PAIR))),
         ]
     )
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, number = aligner(path_a, path_b), 0
-        for batch in chunks(batches, "text", chunk_bytes):
-            texts = [tool.words(t) if t else [] for t in batch.column("text").to_pylist()]
-            made = tool.align(list(dict.fromkeys(w for words in texts for w in words)))
-            places: dict[str, int] = {}
-            docs = []
-            for words in texts:
-                fits = words and _spells(words, made)
-                docs.append([places.setdefault(w, len(places)) for w in words] if fits else [])
-            counted = np.bincount(np.fromiter((i for d in docs for i in d), np.int64), minlength=len(places))
-            pairs: dict[tuple[int, int], int] = {}
-            count: list[int] = []
-            rows_of_words = []
-            for word, n in zip(places, counted.tolist(), strict=True):
-                n_a, n_b, groups, links, _, _ = made[word]
-                linked = []
-                for link in links:
-                    i = pairs.setdefault(link, len(pairs))
-                    if i == len(count):
-                        count.append(0)
-                    count[i] += n
-                    linked.append(i)
-                rows_of_words.append((n_a, n_b, groups, linked))
-            name = f"{TaskContext.get().partitionId()}-{number}"
-            number += 1
+        words = Words(aligner(path_a, path_b))
+        for number, batch in enumerate(chunks(batches, "text", chunk_bytes)):
+            columns, groups, pairs = words.rows(words.read(batch.column("text").to_pylist()))
+            docs = pa.StructArray.from_arrays([batch.column("keys"), *columns], doc.names)
+            packed = zstandard.compress("\n".join(groups).encode())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name]),
-                    _one_list(pa.StructArray.from_arrays([batch.column("keys"), pa.array(docs, pa.list_(pa.int32()))], ["keys", "words"])),
-                    _one_list(_struct(rows_of_words, [("n_a", pa.int32()), ("n_b", pa.int32()), ("groups", pa.string()), ("pairs", pa.list_(pa.int32()))])),
-                    _one_list(_struct([(a, b, n) for (a, b), n in zip(pairs, count, strict=True)], [("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])),
+                    pa.array([f"{TaskContext.get().partitionId()}-{number}"]),
+                    _one_list(docs),
+                    pa.array([packed], pa.binary()),
+                    _one_list(pa.StructArray.from_arrays(pairs, ["a", "b", "n"])),
                 ],
                 schema.names,
             )
@@ -201,11 +290,6 @@ def _one_list(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _struct(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.StructArray:
-    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-
-
 def pair_counts(table: DataFrame) -> DataFrame:
     """``a, b, count`` of every linked pair, and whether it is the highest of its ``b``."""
     pairs = table.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count"))
@@ -231,30 +315,20 @@ def align(df: DataFrame, keys: list[str], text: str, path_a: str, path_b: str, c
 
     def finish(chunk: pa.Table, counted: pa.Table) -> pa.Table:
         """The rows of a chunk, by the corpus-wide counts of its pairs."""
-        row = chunk.combine_chunks()
-        docs, words = row.column("docs").combine_chunks().flatten(), row.column("words").combine_chunks().flatten()
+        docs = chunk.column("docs").combine_chunks().flatten()
         order = np.argsort(counted.column("i").to_numpy())
         count = counted.column("count").to_numpy()[order]
         best = counted.column("best").to_numpy()[order].astype(np.int64)
-        pairs = words.field("pairs")
-        n_links = np.diff(pairs.offsets.to_numpy())
-        linked = pairs.flatten().to_numpy()
-        bounds = np.concatenate(([0], np.cumsum(n_links)))
-
-        def per_word(values):
-            sums = np.concatenate(([0], np.cumsum(values[linked])))
-            return sums[bounds[1:]] - sums[bounds[:-1]]
-
-        per = [words.field("n_a").to_numpy(), words.field("n_b").to_numpy(), n_links, n_links, per_word(best), per_word(count)]
-        held = docs.field("words")
-        places, ends = held.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(held.offsets.to_numpy()))))
-        totals = []
-        for values in per:
-            sums = np.concatenate(([0], np.cumsum(values.astype(np.int64)[places])))
-            totals.append(pa.array(sums[ends[1:]] - sums[ends[:-1]]))
-        spelled = words.field("groups").to_pylist()
-        groups = [";".join(spelled[p] for p in places[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.Table.from_arrays([docs.field("keys"), *totals, pa.array(groups, pa.string())], ["keys", *names])
+        pairs, often = (docs.field(c).flatten().to_numpy().astype(np.int64) for c in ("pairs", "counts"))
+        ends = np.cumsum(np.diff(docs.field("pairs").offsets.to_numpy()))
+
+        def total(values: np.ndarray) -> pa.Array:
+            sums = np.append(0, np.cumsum(values[pairs] * often))
+            return pa.array(np.diff(sums[ends], prepend=0))
+
+        counts = [docs.field(c) for c in ("n_a", "n_b", "n_groups", "n_links")]
+        groups = zstandard.decompress(chunk.column("groups")[0].as_py()).decode().split("\n")
+        return pa.Table.from_arrays([docs.field("keys"), *counts, total(best), total(count), pa.array(groups, pa.string())], ["keys", *names])
 
     done = table.groupBy("chunk").cogroup(counts.groupBy("of")).applyInArrow(finish, schema)
     return done.select(*(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), *names)
