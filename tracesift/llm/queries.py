@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesift.llm import byte_bpe, chat_format, decision_list, license_scan, line_blocks, line_crf, phrase_index, simhash, suffix_dedup, token_align, url_rules, warc
+from tracesift.llm import bond_negatives, byte_bpe, chat_format, decision_list, license_scan, line_blocks, line_crf, phrase_index, simhash, suffix_dedup, token_align, url_rules, warc
 from tracesift.llm.common import read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +243,33 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id"), changed, F.col("embedding"))
+
+
+NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id, row_number() OVER () AS row_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.row_id, a.vec_id AS anchor_id, a.label = r.label AS same, a.row_id = r.row_id AS own, r.vec_id,
+    CAST(list_sum(list_transform(range(1, least(len(a.q), len(r.q)) + 1), lambda i: a.q[i] * r.q[i])) AS BIGINT) AS score
+  FROM vectors a, vectors r WHERE a.vec_id % 50 = 0
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id NULLS LAST) AS nth FROM pairs WHERE same AND NOT own
+), hard AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.row_id, p.nth ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank
+  FROM near p JOIN pairs n ON n.row_id = p.row_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+  WHERE p.nth <= 5
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM hard WHERE rank <= 3
+"""
+
+
 def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"], "html")
 
@@ -282,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_bond_negatives": op11_bond_negatives,
     "op12_line_blocks": op12_line_blocks,
     "op13_token_align": op13_token_align,
 }
@@ -292,5 +320,6 @@ ORACLES: dict[str, str] = {
     "op4_warc": WARC_SQL,
     "op6_phrase_index": PHRASE_SQL,
     "op9_suffix_dedup": REPEATS_SQL,
+    "op11_bond_negatives": NEGATIVES_SQL,
     "op12_line_blocks": BLOCKS_SQL,
 }
