@@ -216,3 +216,39 @@ def test_rule_listing(spark):
     lines = {r.ord: r.line for r in rule_listing(rules_df(spark)).collect()}
     assert len(lines) == 70
     assert lines[12] == "github-pat" + " " * 26 + " ghp_[0-9a-zA-Z]{36}"
+
+
+def test_a_table_is_scanned_without_shuffle_join_or_driver(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    for keep_clean in (False, True):
+        found = scan_with_rule_table(docs, ["doc_id"], "text", rules_df(spark), keep_clean)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and plan.count("Scan parquet") == 1
+    counted = scan_with_rule_table(docs, ["doc_id"], "text", rules_df(spark), keep_clean=True)
+    assert counted.select("doc_id").distinct().count() == docs.count()
+
+
+def test_blocks_of_a_table_stay_bounded_and_in_order(spark, tmp_path):
+    """Rules of one row that come from different blocks are tried in the order of the table; ties go to the earlier."""
+    from tracesift.operators import rule_table
+
+    rows = [(i, f"k{i}", "tok[0-9]+", ["tok"] if i % 2 else None, None) for i in reversed(range(50))]
+    spark.createDataFrame(rows, TABLE).repartition(7).select("*").createOrReplaceTempView("many_rules")
+    table = spark.table("many_rules")
+    rule_table.checked(table).write.parquet(str(tmp_path / "rules"))
+    tool = rule_table.Finder(str(tmp_path / "rules"), 1)
+    assert len(list(tool.blocks())) > 1 and tool.only is None
+    held = tool.of_texts(["x tok1", None, "", "nothing"]).to_pylist()
+    assert sorted(r["ord"] for r in held[0]) == list(range(50)) and held[1:3] == [[], []]
+    assert sorted(r["ord"] for r in held[3]) == list(range(0, 50, 2))
+    df = spark.createDataFrame([(1, "x tok1 tok22")], "k INT, t STRING")
+    assert [tuple(r) for r in scan_with_rule_table(df, ["k"], "t", table).collect()] == [(1, "k0", "tok1", 2, 6), (1, "k0", "tok22", 7, 12)]
+
+
+def test_a_stream_with_a_rule_table(spark, tmp_path):
+    spark.createDataFrame([(1, "see tok77."), (2, None)], "k INT, t STRING").write.parquet(str(tmp_path / "in"))
+    table = spark.createDataFrame([(0, "tok", "tok[0-9]+", ["tok"], None)], TABLE)
+    stream = spark.readStream.schema("k INT, t STRING").parquet(str(tmp_path / "in"))
+    query = scan_column(stream, ["k"], "t", table).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, "tok", "tok77", 4, 9)]

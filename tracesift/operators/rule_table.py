@@ -1,28 +1,34 @@
 """Rules that come as a table: which of them may match which text.
 
-All anchors are searched for in one pass over a text, by an automaton whose cost does not depend on their
-number.  The anchors go to the tasks in blocks of bounded size, one pass over the texts for each block, so
-no table is too long.
+The checked table is written to the shared folder once, and tasks read it there themselves, so no rule passes through the
+driver and nothing is broadcast.  A task puts the anchors of the rules into automatons, whose cost for a text does not
+depend on their number, and keeps them for the tasks that follow in the same worker.  A longer table is searched for in
+blocks of bounded size, one after the other, for every batch of texts; the texts are read once either way.
+
+A text gets the rules with an anchor in it as an array column, in the order of the table.  Nothing is joined, exploded
+or put together again, so an anchor that most texts hold makes no key hot, and rows need no number.
 """
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracesift.functions.validators import VALIDATORS
-from tracesift.operators.rules import Rule, check_rules, token_regex
+from tracesift.operators.rules import token_regex
+from tracesift.sources.scratch import file_system, shared_path
 
-#: Bytes of anchors searched for in one pass over the texts, about.
+#: Bytes of anchors in one automaton, about.
 BLOCK_BYTES = 8 << 20
 
+RULES = "array<struct<ord:int,kind:string,validator:string,regex:string>>"
+
 
 def checked(table: DataFrame) -> DataFrame:
-    """``ord``, ``anchors`` and ``rule`` of every rule; a rule that can't be used fails here, by its id."""
+    """``ord, kind, validator, regex, anchors`` of every rule; a rule that can't be used fails here, by its id."""
     bad = table.where(
         F.col("ord").isNull() | F.col("id").isNull() | F.col("pattern").isNull() | ~F.coalesce("validator", F.lit("none")).isin(*VALIDATORS)
     ).take(1)
@@ -32,64 +38,131 @@ def checked(table: DataFrame) -> DataFrame:
     regex = F.concat(F.lit(left), F.col("pattern"), F.lit(right))
     rules = table.select(
         F.col("ord").cast("int").alias("ord"),
+        F.col("id").alias("kind"),
+        F.coalesce("validator", F.lit("none")).alias("validator"),
+        regex.alias("regex"),
         F.coalesce("anchors", F.array().cast("array<string>")).alias("anchors"),
-        F.struct(
-            F.col("ord").cast("int").alias("ord"),
-            F.col("id").alias("kind"),
-            F.coalesce("validator", F.lit("none")).alias("validator"),
-            regex.alias("regex"),
-            regex.alias("plain_regex"),
-        ).alias("rule"),
     )
     try:
-        rules.agg(F.max(F.regexp_count(F.lit(""), F.col("rule.regex")))).collect()
-    except PySparkException:
-        for row in table.toLocalIterator():
-            check_rules(table.sparkSession, [Rule(row["ord"], row["id"], row["pattern"], token_regex(row["pattern"]))])
+        rules.agg(F.max(F.regexp_count(F.lit(""), F.col("regex")))).collect()
+    except PySparkException as error:
+        # the message has the expression that can't be compiled as a SQL string
+        quoted = F.replace(F.replace(regex, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+        told = (error.getMessageParameters() or {}).get("value", "")
+        named = table.where(quoted == F.lit(told[1:-1])).select("id", "pattern").take(1)
+        if named:
+            raise ValueError(f"rule {named[0]['id']}: bad pattern {named[0]['pattern']!r}") from None
         raise
     return rules
 
 
-def blocks(rules: DataFrame) -> Iterator[list[tuple[str, int]]]:
-    """Anchors with their rules' ``ord``, in blocks; a rule without anchors, or with an empty one, has ``''``."""
-    block, size = [], 0
-    for row in rules.select("ord", F.explode_outer("anchors").alias("anchor")).distinct().toLocalIterator():
-        block.append((row["anchor"] or "", row["ord"]))
-        size += len(block[-1][0]) + 8
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def candidate_pairs(rows: DataFrame, text: str, rules: DataFrame) -> DataFrame:
-    """Every row once for each rule with an anchor in its text, the rule's ``ord`` beside it; null texts have none."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("_ords", T.ArrayType(T.IntegerType()))])
-
-    def one_pass(block: list[tuple[str, int]]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            owners: dict[str, list[int]] = {}
-            for anchor, order in block:
-                owners.setdefault(anchor, []).append(order)
-            always = owners.pop("", [])
-            automaton = ahocorasick.Automaton()
-            for anchor, orders in owners.items():
-                automaton.add_word(anchor, anchor)
-            if owners:
-                automaton.make_automaton()
-            for batch in batches:
-                found = []
-                for value in batch.column(text).to_pylist():
-                    anchors = {a for _, a in automaton.iter(value)} if owners and value else ()
-                    found.append([] if value is None else sorted({*always, *(o for a in anchors for o in owners[a])}))
-                held = pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], schema.names)
-                yield held.filter(pa.array([bool(f) for f in found]))
-
-        return rows.mapInArrow(run, schema)
-
-    passes = [one_pass(block) for block in blocks(rules)] or [rows.withColumn("_ords", F.lit(None).cast("array<int>"))]
-    # a rule found in two passes gives its findings twice, of which the overlap rule keeps one
-    return reduce(DataFrame.union, passes).select(*rows.columns, F.explode("_ords").alias("ord"))
+class Block:
+    """Some rules, and an automaton of their anchors."""
+
+    def __init__(self, rules: pa.Table):
+        import ahocorasick
+
+        self.rules = pa.StructArray.from_arrays([rules.column(c).combine_chunks() for c in ("ord", "kind", "validator", "regex")], ["ord", "kind", "validator", "regex"])
+        self.always: list[int] = []
+        owners: dict[str, list[int]] = {}
+        for i, anchors in enumerate(rules.column("anchors").to_pylist()):
+            if not anchors or any(not a for a in anchors):  # without anchors it is tried on every text
+                self.always.append(i)
+            else:
+                for anchor in anchors:
+                    owners.setdefault(anchor, []).append(i)
+        self.automaton = ahocorasick.Automaton()
+        for anchor, own in owners.items():
+            self.automaton.add_word(anchor, own)
+        if owners:
+            self.automaton.make_automaton()
+        self.find = self.automaton.iter if owners else lambda text: ()
+
+    def matching(self, text: str) -> list[int]:
+        """Places of the rules with an anchor in the text, in the order of the block."""
+        seen: dict[int, list[int]] = {}
+        for _, own in self.find(text):
+            seen[id(own)] = own
+        return sorted({*self.always, *(i for own in seen.values() for i in own)})
+
+
+class Finder:
+    """The rules of a written table, block by block; a table of one block stays in memory."""
+
+    def __init__(self, folder: str, block_bytes: int):
+        self.folder, self.block_bytes = folder, block_bytes
+        self.only: list[Block] | None = None
+
+    def blocks(self) -> Iterator[Block]:
+        if self.only is not None:
+            yield from self.only
+            return
+        last, several = None, False
+        for part in self._parts():
+            if last is not None:
+                several = True
+            last = Block(part)
+            yield last
+        if not several:
+            self.only = [last] if last else []
+
+    def _parts(self) -> Iterator[pa.Table]:
+        """The rules in order of ``ord``, cut where the anchors of a block would grow too large."""
+        import pyarrow.dataset as ds
+
+        system, place = file_system(self.folder)
+        held, size = [], 0
+        for batch in ds.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=1024):
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("anchors").nbytes
+            if size >= self.block_bytes:
+                yield pa.Table.from_batches(held).sort_by("ord")
+                held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).sort_by("ord")
+
+    def of_texts(self, texts: list[str | None]) -> pa.Array:
+        """The rules of each text."""
+        parts, found = [], [[] for _ in texts]
+        base = 0
+        for block in self.blocks():
+            for own, text in zip(found, texts, strict=True):
+                if text:
+                    own += [base + i for i in block.matching(text)]
+            needed = sorted({i for own in found for i in own if i >= base})
+            moved = {i: base + k for k, i in enumerate(needed)}
+            for own in found:
+                own[:] = [moved.get(i, i) for i in own]
+            parts.append(block.rules.take(pa.array([i - base for i in needed], pa.int64())))
+            base += len(needed)
+        if not parts:
+            return pa.nulls(len(texts), KIND)
+        offsets = [0]
+        for own in found:
+            offsets.append(offsets[-1] + len(own))
+        places = pa.array([i for own in found for i in own], pa.int64())
+        rules = pa.chunked_array(parts).take(places).combine_chunks()
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rules).cast(KIND)
+
+
+KIND = pa.list_(pa.struct([("ord", pa.int32()), ("kind", pa.string()), ("validator", pa.string()), ("regex", pa.string())]))
+
+
+@lru_cache(maxsize=2)
+def finder(folder: str, block_bytes: int) -> Finder:
+    return Finder(folder, block_bytes)
+
+
+def rules_of(text: Column, table: DataFrame) -> Column:
+    """The rules of the table that may match a text, as an array in the order of ``ord``."""
+    folder, block_bytes = shared_path(table.sparkSession, "rules"), BLOCK_BYTES
+    checked(table).write.parquet(folder)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tool = finder(folder, block_bytes)
+        for batch in batches:
+            yield tool.of_texts(batch.to_pylist())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.array_sort(F.arrow_udf(run, RULES)(text))

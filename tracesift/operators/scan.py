@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracesift.functions.folds import compute_once
 from tracesift.operators import gates
-from tracesift.operators.extract import RULE, candidates, hits
+from tracesift.operators.extract import HITS, candidates, hits
 from tracesift.operators.resolve import resolve
-from tracesift.operators.rule_table import candidate_pairs, checked
+from tracesift.operators.rule_table import rules_of
 from tracesift.operators.rules import Rule, builtin_rules
 
 FINDINGS = "array<struct<kind:string,value:string,start:bigint,end:bigint>>"
@@ -104,23 +104,21 @@ def scan_with_rule_table(df: DataFrame, keys: list[str], text: str, table: DataF
     """Scan with token rules that are only known when the query runs, however many they are.
 
     ``table`` has ``ord, id, pattern, anchors, validator``.  Each text is searched once for the anchors of all
-    rules; only the pairs of a text and a rule whose anchor it holds are joined with the table, and only texts
-    with a match are put together again.  A rule without anchors is tried on every text.
+    rules; the rules found are tried on it where it is.  A rule without anchors is tried on every text.  Nothing is
+    shuffled or joined, and a streaming DataFrame may be scanned as well.
     """
-    rules = checked(table)
     keyed, names = _keyed(df, keys, text)
-    rows = keyed.withColumn("_row", F.monotonically_increasing_id())
-    pairs = candidate_pairs(rows, gates.TEXT, rules).join(rules.select("ord", "rule"), "ord")
-    matched = pairs.withColumn("matches", F.regexp_extract_all(gates.TEXT, F.col("rule.regex"), F.lit(0)))
-    hit = F.struct(F.col("rule").cast(RULE).alias("rule"), "matches")
-    again = matched.where(F.size("matches") > 0).groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in (*names, gates.TEXT)], F.collect_list(hit).alias("_hits")
-    )
-    found = again.withColumn(gates.OTHER, F.lit(False)).select("_row", *names, _findings(df.sparkSession).alias("_found"))
-    if not keep_clean:
-        return found.select(*names, F.inline("_found")).select(*_named(names, keys), *FIELDS)
-    all_rows = rows.select("_row", *names).join(found.select("_row", "_found"), "_row", "left")
-    return all_rows.select(*names, F.inline_outer("_found")).select(*_named(names, keys), *FIELDS)
+    ruled = keyed.select(*names, gates.TEXT, rules_of(F.col(gates.TEXT), table).alias("_rules"))
+
+    def hit(rule):
+        regex = rule["regex"]
+        own = F.struct(rule["ord"].alias("ord"), rule["kind"].alias("kind"), rule["validator"].alias("validator"), regex.alias("regex"), regex.alias("plain_regex"))
+        return F.struct(own.alias("rule"), F.regexp_extract_all(gates.TEXT, regex, F.lit(0)).alias("matches"))
+
+    hits_of_row = F.filter(F.transform("_rules", hit), lambda h: F.size(h["matches"]) > 0)
+    prepared = ruled.select(*names, gates.TEXT, F.lit(False).alias(gates.OTHER), hits_of_row.cast(HITS).alias("_hits"))
+    explode = F.inline_outer if keep_clean else F.inline
+    return prepared.select(*names, explode(_findings(df.sparkSession))).select(*_named(names, keys), *FIELDS)
 
 
 def scan_sources(

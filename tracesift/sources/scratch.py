@@ -31,12 +31,17 @@ def _own_folder() -> str:
     return folder
 
 
-def remove(path: str) -> None:
-    """Delete a folder on any file system that can be reached from here; what can't be reached stays."""
+def file_system(path: str):
+    """The file system of a path, for tasks that read files themselves, and the place within it."""
     from pyarrow import fs
 
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+def remove(path: str) -> None:
+    """Delete a folder on any file system that can be reached from here; what can't be reached stays."""
     try:
-        system, place = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+        system, place = file_system(path)
         system.delete_dir(place)
     except (OSError, ValueError):
         pass
