@@ -20,7 +20,7 @@ LONG_RUN = 64
 # Zero-width left and right context of a token.  A token may start at the very
 # start of the text, or one delimiter past the end of the previous token, hence
 # the \G clause.
-_NOT_AT_PREVIOUS_END = r"(?:\A|(?!\G))"
+NOT_AT_PREVIOUS_END = r"(?:\A|(?!\G))"
 
 # Word boundaries are Unicode ones.
 _EDGE = r"(?U:\b)"
@@ -28,7 +28,7 @@ _EDGE = r"(?U:\b)"
 
 def token_regex(pattern: str) -> str:
     """A token pattern wrapped so that it is not glued to identifier characters."""
-    return f"{_NOT_AT_PREVIOUS_END}(?<![{data.TOKEN_GLUE}])(?:{pattern})(?![{data.TOKEN_GLUE}])"
+    return f"{NOT_AT_PREVIOUS_END}(?<![{data.TOKEN_GLUE}])(?:{pattern})(?![{data.TOKEN_GLUE}])"
 
 
 def fast_token_regex(kind: str, pattern: str) -> str:
@@ -80,7 +80,7 @@ def word_regex(body: str, first: str) -> str:
 
 def phone_regex() -> str:
     left, right = data.PHONE_GLUE_LEFT, data.PHONE_GLUE_RIGHT
-    return rf"(?=[+(\d]){_NOT_AT_PREVIOUS_END}(?<![{left}])(?:{data.PHONE_BODY})(?![{right}])"
+    return rf"(?=[+(\d]){NOT_AT_PREVIOUS_END}(?<![{left}])(?:{data.PHONE_BODY})(?![{right}])"
 
 
 @dataclass(frozen=True)

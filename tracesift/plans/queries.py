@@ -16,15 +16,17 @@ from tracesift.functions.validators import (
     spaced4,
 )
 from tracesift.operators.gates import anchor_condition
+from tracesift.operators.pieces import scan_pieces
 from tracesift.operators.rules import builtin_rules, rule_listing, rules_df, rules_from_df
 from tracesift.operators.scan import scan_column, scan_sources, scan_with_rule_table, select_rules, spread, with_findings
 from tracesift.plans import oracle, planted
 from tracesift.plans.corpus import labelled_examples
 from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact
-from tracesift.sources.readers import read_examples, read_text_lines, read_whole_texts
+from tracesift.sources.readers import read_examples, read_text_lines, read_text_pieces, read_whole_texts
 from tracesift.sources.scratch import shared_path
 from tracesift.sources.writers import findings_lines, write_examples
-from tracesift.streaming.scan_stream import start_scan
+from tracesift.streaming.scan_stream import start_append, start_scan
+from tracesift.streaming.sessions import scan_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -258,27 +260,67 @@ def eval_json(spark, sf_dir):
 # --- files and streams ------------------------------------------------------
 
 
-def scan_text_lines(spark, sf_dir):
-    """Documents written as text files and scanned line by line: each line that holds something, with the offsets
-    in it, and how many lines are like that."""
-    path = shared_path(spark, "lines")
-    documents(spark, sf_dir).select("text").write.text(path)
-    found = scan_column(read_text_lines(spark, path).withColumnRenamed("text", "line"), ["line"], "line")
-    return found.groupBy("line", "kind", "value", "start", "end").agg(F.count("*").alias("n"))
+#: Documents that the queries over text files write into one file.
+FILE_DOCUMENTS = 50
 
 
-#: Documents that ``scan_text_files`` writes into one file.
-FILE_DOCUMENTS = 50
+def _files(spark: SparkSession, texts: DataFrame) -> str:
+    """Texts by ``doc_id`` written as text files of fifty, in order."""
+    path = shared_path(spark, "files")
+    numbered = texts.where("text IS NOT NULL").withColumn("block", F.expr(f"doc_id div {FILE_DOCUMENTS}"))
+    numbered.repartition("block").sortWithinPartitions("block", "doc_id").select("text", "block").write.partitionBy("block").text(path)
+    return path
+
+
+def _block() -> Column:
+    return F.regexp_extract("file", "/block=([0-9]+)/", 1).cast("bigint").alias("block")
+
+
+def scan_text_lines(spark, sf_dir):
+    """Documents written as text files of fifty and scanned line by line: the line of each finding, and its place in the file."""
+    lines = read_text_lines(spark, _files(spark, documents(spark, sf_dir)))
+    found = scan_column(lines.select(_block(), F.col("offset").alias("line"), "text"), ["block", "line"], "text")
+    return found.select("block", "line", "kind", "value", (F.col("start") + F.col("line")).alias("start"), (F.col("end") + F.col("line")).alias("end"))
 
 
 def scan_text_files(spark, sf_dir):
     """Documents written as text files of fifty and scanned file by file, with offsets within the file."""
-    path = shared_path(spark, "files")
-    numbered = documents(spark, sf_dir).where("text IS NOT NULL").withColumn("block", F.expr(f"doc_id div {FILE_DOCUMENTS}"))
-    numbered.repartition("block").sortWithinPartitions("block", "doc_id").select("text", "block").write.partitionBy("block").text(path)
-    files = read_whole_texts(spark, path)
-    block = F.regexp_extract("file", "/block=([0-9]+)/", 1).cast("bigint")
-    return scan_column(files.select(block.alias("block"), "text"), ["block"], "text")
+    files = read_whole_texts(spark, _files(spark, documents(spark, sf_dir)))
+    return scan_column(files.select(_block(), "text"), ["block"], "text")
+
+
+#: Bytes of the pieces that ``scan_text_pieces`` reads: files of fifty documents have several.
+QUERY_PIECE_BYTES = 16 << 10
+
+
+def scan_text_pieces(spark, sf_dir):
+    """The same of documents with edge cases, in pieces whose ends know nothing of lines or documents."""
+    path = _files(spark, planted.plant_edges(documents(spark, sf_dir), "doc_id", "text"))
+    pieces = read_text_pieces(spark, path, QUERY_PIECE_BYTES)
+    return scan_pieces(pieces.select(_block(), "offset", "before", "text", "after"), ["block"])
+
+
+#: Characters of the pieces in which ``scan_session_stream`` sends texts, and files that it sends them in, one a batch.
+SENT_CHARACTERS, SENT_FILES = 37, 4
+
+
+def scan_session_stream(spark, sf_dir):
+    """Conversation turns that arrive in pieces, some before their turn; the same findings as of the whole texts."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    whole = planted.plant_tokens(turns, ["conv_id", "turn"], "text", number).where("text IS NOT NULL")
+    most = F.floor((F.length("text") - 1) / SENT_CHARACTERS).cast("int")
+    numbered = whole.select("conv_id", "turn", "text", most.alias("most"), F.explode(F.sequence(F.lit(0), most)).alias("number"))
+    pieces = numbered.select(
+        "conv_id", "turn", "number", F.substring("text", F.col("number") * SENT_CHARACTERS + 1, SENT_CHARACTERS).alias("piece"),
+        (F.col("number") == F.col("most")).alias("last"),
+    )
+    sent, output, state = (shared_path(spark, f"session-{n}") for n in ("pieces", "findings", "state"))
+    pieces.repartitionByRange(SENT_FILES, F.pmod("number", F.lit(SENT_FILES))).write.parquet(sent)
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(sent)
+    found = scan_sessions(stream, ["conv_id", "turn"], "number", "piece", "last")
+    start_append(found, output, state, availableNow=True).awaitTermination()
+    return spark.read.schema("conv_id BIGINT, turn BIGINT, kind STRING, value STRING, start BIGINT, end BIGINT").parquet(output)
 
 
 def scan_stream(spark, sf_dir):
@@ -321,7 +363,9 @@ QUERIES: dict[str, Query] = {
     "eval_json": eval_json,
     "scan_text_lines": scan_text_lines,
     "scan_text_files": scan_text_files,
+    "scan_text_pieces": scan_text_pieces,
     "scan_stream": scan_stream,
+    "scan_session_stream": scan_session_stream,
 }
 
 
@@ -353,6 +397,11 @@ FROM (SELECT o_orderkey, CASE o_custkey % 6
         FROM (SELECT o_orderkey, o_custkey, lpad(o_orderkey::VARCHAR, 10, '7') AS n FROM orders)))"""
 
 
+def _blocks_sql(texts: str) -> str:
+    return f"""SELECT doc_id // {FILE_DOCUMENTS} AS block, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
+  FROM ({texts}) WHERE text IS NOT NULL GROUP BY ALL"""
+
+
 def _rule_listing_sql() -> str:
     rows = ", ".join(
         f"({i}, {oracle.quote(k.ljust(36) + ' ' + p)}, [{', '.join(map(oracle.quote, a))}])"
@@ -400,6 +449,8 @@ def oracles() -> dict[str, str]:
     edges = oracle.scan_sql(oracle.planted_edges_sql())
     token_kinds = [k for k, _, _ in oracle.rule_data.TOKEN_RULES]
     turns = oracle.planted_tokens_sql("(SELECT conv_id || '/' || turn AS id, conv_id * 1000 + turn AS number, text FROM conversations)", "number", also="id")
+    turns_found = f"""WITH RECURSIVE {oracle.scan_sql(turns, "id")}
+SELECT split_part(key, '/', 1)::BIGINT AS conv_id, split_part(key, '/', 2)::BIGINT AS turn, kind, value, "start", "end" FROM findings"""
     documents_found = oracle.findings_sql(DOCS)
     return {
         "luhn_lineitem": f"""SELECT l_orderkey, l_linenumber, value FROM
@@ -417,8 +468,7 @@ FROM (SELECT l_orderkey, l_linenumber, {_card_sql('5')} AS body FROM lineitem)""
         "edge_findings": oracle.findings_sql(oracle.planted_edges_sql()),
         "scan_documents": documents_found,
         "scan_pages": oracle.findings_sql("SELECT page_id, html AS text FROM pages WHERE html IS NOT NULL", "page_id"),
-        "scan_conversations": f"""WITH RECURSIVE {oracle.scan_sql(turns, "id")}
-SELECT split_part(key, '/', 1)::BIGINT AS conv_id, split_part(key, '/', 2)::BIGINT AS turn, kind, value, "start", "end" FROM findings""",
+        "scan_conversations": turns_found,
         "kind_counts": _sources_sql(),
         "clean_documents": f"""WITH RECURSIVE {oracle.scan_sql(DOCS)}
 SELECT d.doc_id, count(f.key) AS findings FROM documents d LEFT JOIN findings f ON f.key = d.doc_id GROUP BY d.doc_id""",
@@ -436,14 +486,15 @@ FROM findings""",
 LEFT JOIN want w ON w.id = g.id AND w.kind = g.kind AND w.value = g.value"""
         ),
         "eval_json": _eval_sql(_ACCURACY),
-        "scan_text_lines": f"""WITH RECURSIVE lines AS (SELECT doc_id || '/' || n AS id, parts[n] AS text
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS r(n)),
-{oracle.scan_sql("SELECT id, text FROM lines", "id")}
-SELECT l.text AS line, kind, value, "start", "end", count(*) AS n FROM findings f JOIN lines l ON l.id = f.key GROUP BY ALL""",
-        "scan_text_files": oracle.findings_sql(
-            f"""SELECT doc_id // {FILE_DOCUMENTS} AS block, string_agg(text || chr(10), '' ORDER BY doc_id) AS text
-  FROM documents WHERE text IS NOT NULL GROUP BY ALL""",
-            "block",
-        ),
+        "scan_text_lines": f"""WITH RECURSIVE blocks AS ({_blocks_sql(DOCS)}),
+parts AS (SELECT block, n, p[n] AS line FROM (SELECT block, string_split(text, chr(10)) AS p FROM blocks), unnest(range(1, len(p) + 1)) AS r(n)),
+lines AS (SELECT block || '/' || coalesce(sum(strlen(line) + 1) OVER (PARTITION BY block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING
+  AND 1 PRECEDING), 0)::BIGINT AS id, line AS text FROM parts),
+{oracle.scan_sql("SELECT id, text FROM lines", "id")},
+placed AS (SELECT split_part(key, '/', 1)::BIGINT AS block, split_part(key, '/', 2)::BIGINT AS line, kind, value, "start" AS s, "end" AS e FROM findings)
+SELECT block, line, kind, value, s + line AS "start", e + line AS "end" FROM placed""",
+        "scan_text_files": oracle.findings_sql(_blocks_sql(DOCS), "block"),
+        "scan_text_pieces": oracle.findings_sql(_blocks_sql(oracle.planted_edges_sql()), "block"),
+        "scan_session_stream": turns_found,
         "scan_stream": documents_found,
     }

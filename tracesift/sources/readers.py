@@ -4,17 +4,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.plans.corpus import EXAMPLE
+from tracesift.sources.text_ranges import SPLIT_BYTES, read_ranges
 
+#: Bytes of a piece of a file.
+PIECE_BYTES = 4 << 20
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text files by line (``file``, ``text``): a huge file becomes many tasks.
 
-    No finding spans a line break, so scanning lines finds the same kinds and
-    values as scanning whole files; offsets are relative to the line.  Lines have
-    no numbers, as a file is read in many places at once: keep ``text`` among the
-    keys of a scan to know the line.  Equal lines of a file look the same then.
+def read_text_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Text files by line (``file``, ``offset``, ``text``): a huge file becomes many tasks.
+
+    ``offset`` is the byte of the file at which the line starts, so equal lines stay apart, and a finding's place in the
+    file is that plus its place in the line.  No finding spans a line break: scanning lines finds what scanning
+    whole files does.  A line ends with a line feed; a carriage return before it stays in the text.
     """
-    return _checked(spark.read.text(path))
+    return read_ranges(spark, path, split_bytes=split_bytes)
+
+
+def read_text_pieces(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Text files in pieces of about so many bytes, whatever their lines, as ``operators.pieces.scan_pieces`` takes them."""
+    return read_ranges(spark, path, split_bytes=split_bytes, piece_bytes=piece_bytes)
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -24,9 +24,13 @@ def start_scan(
     named, which must then be the same at every start.  ``trigger`` is passed on,
     for example ``availableNow=True``.
     """
+    return start_append(scan_column(stream, keys, text, rules), output, checkpoint, **trigger)
+
+
+def start_append(found: DataFrame, output: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
+    """Append a stream of findings to Parquet files, each once, also after a restart from the checkpoint."""
     writer = (
-        scan_column(stream, keys, text, rules)
-        .writeStream.outputMode("append")
+        found.writeStream.outputMode("append")
         .format("parquet")
         .option("path", output)
         .option("checkpointLocation", checkpoint or output.rstrip("/") + "-checkpoint")
