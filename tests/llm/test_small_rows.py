@@ -431,3 +431,24 @@ def test_notices_inside_paragraphs():
     changed = license_scan.TEMPLATES[2][1].replace("without limitation ", "").replace("sublicense", "sublicense again")
     found = license_scan.scan_text(f"{before} {changed} {license_scan.TEMPLATES[2][1]}")[1]
     assert [(f["license"], f["missing"], f["extra"]) for f in found] == [("MIT", 2, 1), ("MIT", 0, 0)]
+
+
+def test_the_ranking_by_compression_decides(monkeypatch):
+    """A short notice is also the start of a longer one: what saves more bytes wins.  Without the savings it doesn't."""
+    short, text = license_scan.TEMPLATES[3][1], license_scan.TEMPLATES[4][1]
+    assert text.startswith(short[:-1])
+    found = license_scan.scan_text(f"Note. {text} End.")[1]
+    assert [(f["start"], f["end"]) for f in found] == [(6, 6 + len(text))]
+    ranked = sorted(zip(license_scan.saved(text.lower().encode()), license_scan.TEMPLATES), reverse=True)
+    assert ranked[0][1][1] == text
+    monkeypatch.setattr(license_scan, "saved", lambda data: [0] * len(license_scan.TEMPLATES))
+    assert [f["end"] for f in license_scan.scan_text(f"Note. {text} End.")[1]] == [6 + len(short) - 1]
+
+
+def test_every_template_is_compressed_with_every_block(monkeypatch):
+    seen = []
+    real = license_scan.compressed
+    monkeypatch.setattr(license_scan, "compressed", lambda data: seen.append(real(data)) or seen[-1])
+    n, found = license_scan.scan_text(f"the license was lost {odd.prose(3, 200)} {license_scan.TEMPLATES[0][1]}\n{odd.prose(4, 200)} gnu")
+    assert n >= 1 and len(found) == 1 and len(seen) == n + 1
+    assert all(len(each) == len(license_scan.TEMPLATES) for _, each in seen)

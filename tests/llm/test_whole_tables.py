@@ -1,6 +1,7 @@
 """The registered queries without SQL, and the pipeline, against brute force over the smallest tables."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -170,3 +171,48 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def readable(template, words):
+    """Whether a text's words hold the template, by a plain search over places and words left out."""
+    telling = lambda w: w[0].isdigit() or w in license_scan._TELLING
+    limit = int(0.1 * len(template))
+    ends = set()
+    # all states (words of the template done, place behind the last word read, words missing)
+    states = {(i, p + 1, i) for i in range(limit + 1) for p, w in enumerate(words) if w == template[i] and not any(map(telling, template[:i]))}
+    states = {(i + 1, p, missing) for i, p, missing in states}
+    seen = set(states)
+    while states:
+        after = set()
+        for i, p, missing in states:
+            if i == len(template):
+                ends.add(p)
+                continue
+            if missing < limit and not telling(template[i]):
+                after.add((i + 1, p, missing + 1))
+            for q in range(p, len(words)):
+                if words[q] == template[i]:
+                    after.add((i + 1, q + 1, missing))
+                if telling(words[q]):
+                    break
+        states = after - seen
+        seen |= states
+    return ends
+
+
+def test_licenses_against_a_plain_search(spark):
+    """Licenses found in whole documents are those that a search without anchors, blocks or compression can read."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in QUERIES["op10_license_scan"](spark, folder).collect()}
+    templates = [(n, re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", t.lower())) for n, t in license_scan.TEMPLATES]
+    hits = 0
+    for i, text in texts(spark, folder):
+        words = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (text or "").lower())
+        bag = set(words)
+        names = set()
+        for name, template in templates:
+            if sum(w not in bag for w in template) <= 0.1 * len(template) and readable(template, words):
+                names.add(name)
+        assert set(filter(None, rows[i].licenses.split(","))) == names, i
+        hits += len(names)
+    assert hits > 10

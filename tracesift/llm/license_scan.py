@@ -1,16 +1,16 @@
-"""Licenses found word by word, and told apart by conditional compression.
+"""Licenses by conditional compression of candidate blocks, confirmed by exact differences in wording.
 
-A template is found where a text has all words of it, in order and at most a tenth missing, and no word that
-names a version or a variant is among the missing or stands between.  Lines don't matter: a notice may be
-broken over lines or stand inside a paragraph.  Every template has anchors, words of which any such place holds
-one at least, and about each anchor as many words to either side are looked at as the longest template has; a
-place whose words are further apart is no notice.  Of all ways to read the template there the one with the
-fewest differences counts.  Nothing is dropped before that comparison but places that lack too many words.
+Every template has anchors, words of which any place that holds it has one at least.  About each anchor in a text lies a
+candidate block, as many words to either side as the longest template has; blocks that overlap are one.  A block is
+compressed alone, and with every template as a raw dictionary.  The templates are ranked by the bytes that
+they save, and confirmed in that order, word by word: a template is there where the block has all words of it, in order
+and at most a tenth missing, and no word that names a version or a variant is among the missing or stands between.  Lines
+don't matter.  Of places that overlap the one whose template saves more stays; of readings of one template that with the
+fewest differences, then the longest.  A block may hold many licenses.
 
-The bytes found are compressed alone and with the template as a raw dictionary.  Of places that overlap the one
-with the fewest differences stays, then the longer one, then the larger saving, then the longer template; all
-others are found, however many a line holds.  ``n_candidates`` counts the lines with a word of licensing and the
-runs of such lines; it decides nothing.
+No template is left out for its rank or its saving.  The ranking is followed to its end, or until all anchors of the block
+lie in confirmed places: what else could be read there would hold one of them, and overlap.  ``n_candidates`` counts the
+blocks that were compressed.
 
 Inputs: null and empty texts have no candidates.  Rows are scanned one by one, so null and repeated keys and
 repeated rows stay as they are; an empty table gives an empty table; other columns are ignored.  A text of
@@ -23,6 +23,7 @@ from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -35,8 +36,6 @@ from tracesift.llm.license_data import TEMPLATES
 #: Share of a template's words that a block may lack.
 MISSING = 0.1
 
-#: What a candidate line has one of, in lower case.
-_TRIGGERS = (b"licens", b"licenc", b"copyright", b"creative commons", b"public domain", b"cc0", b"cc by", b"cc-by", b"permission is hereby", b"redistribut")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Words that tell licenses of one family apart; any number does, too.
 _TELLING = frozenset("mit apache gnu general lesser affero bsd mozilla mpl cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives only later".split())
@@ -47,6 +46,8 @@ _TOKEN = re.compile(_WORD.pattern.encode())
 #: What ends a notice: a stop before a space, or an empty line.
 _STOP = re.compile(rb"[.:;!?][\"')\]]*\s|\n\s*\n")
 
+_ALONE = zstandard.ZstdCompressor(level=3, write_content_size=False)
+
 _FOUND = "key long, n_candidates int, found array<struct<license:string,start:int,end:int,saving:double,missing:int,extra:int>>"
 
 
@@ -180,89 +181,105 @@ def alignment(data: bytes, words: list[tuple[str, int, int]], at: int, template:
     return best
 
 
-def notices(data: bytes) -> list[tuple[int, int, int, int, int]]:
-    """Words missing and extra, start, end and template of all places that hold one; they may overlap."""
-    data = data.lower()
+class Block(NamedTuple):
+    """A candidate block: its bytes in the text, its words, and the places of anchors among them."""
+
+    start: int
+    end: int
+    words: list[tuple[str, int, int]]
+    anchors: list[int]
+
+
+def blocks(data: bytes) -> Iterator[Block]:
+    """The candidate blocks of a text in lower case."""
     literals, pattern, used = anchors()
     if not any(word in data for word in literals):
-        return []
-    found: set[tuple[int, int, int, int, int]] = set()
-    done = [0] * len(compressors())
+        return
+    reach = max(len(t) for _, t, _ in compressors())
+    spans: list[list[int]] = []
     for m in pattern.finditer(data):
         words, at = neighbours(data, *m.span())
-        if words[at][0].encode() != m[0]:  # the start of a longer word
+        start, end = words[max(0, at - reach)][1], words[min(len(words) - 1, at + reach + 2)][2]
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
+    for start, end in spans:
+        words = [(m[0].decode(), *m.span()) for m in _TOKEN.finditer(data, start, end)]
+        held = [i for i, (w, _, _) in enumerate(words) if w.encode() in used]
+        if held:
+            yield Block(start, end, words, held)
+
+
+def compressed(data: bytes) -> tuple[int, list[int]]:
+    """Bytes of a block compressed alone, and with each template."""
+    return len(_ALONE.compress(data)), [len(tool.compress(data)) for _, _, tool in compressors()]
+
+
+def saved(data: bytes) -> list[int]:
+    """Bytes that each template saves of a compressed block."""
+    alone, conditional = compressed(data)
+    return [alone - n for n in conditional]
+
+
+def readings(data: bytes, block: Block, i: int) -> list[tuple[int, int, int, int]]:
+    """Words missing and extra, start and end in the text, of the places of a block where a template stands."""
+    _, template, _ = compressors()[i]
+    used = anchors()[2]
+    reach = max(len(t) for _, t, _ in compressors())
+    found, done = set(), 0
+    for at in block.anchors:
+        places = [q for own, q in used[block.words[at][0].encode()] if own == i]
+        if not places or block.words[at][1] < done:
             continue
-        held = Counter(w for w, _, _ in words)
-        for i, places in used[m[0]]:
-            _, template, _ = compressors()[i]
-            if m.start() < done[i]:
-                continue
-            lacking = Counter(template) - held
-            if lacking.total() > MISSING * len(template) or any(map(telling, lacking)):
-                continue
-            best = alignment(data, words, at, template, places)
-            if best:
-                missing, extra, first, last = best
-                found.add((missing, extra, words[first][1], words[last][2], i))
-                if missing + extra == 0:
-                    done[i] = words[last][2]
-    return sorted(found)
-
-
-def saved(data: bytes, i: int) -> float:
-    """Share that the template saves of the compressed bytes."""
-    alone = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data))
-    return 1 - len(compressors()[i][2].compress(data)) / alone
-
-
-def chosen(data: bytes) -> list[dict]:
-    """The places that stay where some overlap, in order."""
-    places: dict[tuple[int, int], list[tuple]] = {}
-    for missing, extra, start, end, i in notices(data):
-        saving = saved(data[start:end].lower(), i)
-        one = missing + extra, -saving, -len(compressors()[i][1]), i, missing, extra
-        places.setdefault((start, end), []).append(one)
-    ranked = sorted((min(own)[0], start - end, min(own), start, end) for (start, end), own in places.items())
+        first = max(0, at - reach)
+        words = block.words[first : at + reach + 3]
+        lacking = Counter(template) - Counter(w for w, _, _ in words)
+        if lacking.total() > MISSING * len(template) or any(map(telling, lacking)):
+            continue
+        best = alignment(data, words, at - first, template, places[0])
+        if best:
+            missing, extra, begin, last = best
+            found.add((missing, extra, words[begin][1], words[last][2]))
+            if missing + extra == 0:
+                done = words[last][2]
+    return sorted(found, key=lambda f: (f[0] + f[1], f[2] - f[3], f))
+
+
+def confirmed(data: bytes, block: Block) -> list[dict]:
+    """The licenses of a block, in order: the ranking by compression is confirmed from its top on."""
+    savings = saved(data[block.start : block.end])
+    open_anchors = {block.words[i][1] for i in block.anchors}
     starts: list[int] = []
     kept: list[dict] = []
-    for _, _, (_, saving, _, i, missing, extra), start, end in ranked:
-        at = bisect(starts, start)
-        if (at and kept[at - 1]["end"] > start) or (at < len(kept) and kept[at]["start"] < end):
-            continue
-        starts.insert(at, start)
-        kept.insert(at, {"license": compressors()[i][0], "start": start, "end": end, "saving": round(-saving, 6), "missing": missing, "extra": extra})
+    for i in sorted(range(len(savings)), key=lambda i: (-savings[i], i)):
+        for missing, extra, start, end in readings(data, block, i):
+            at = bisect(starts, start)
+            if (at and kept[at - 1]["end"] > start) or (at < len(kept) and kept[at]["start"] < end):
+                continue
+            starts.insert(at, start)
+            alone, conditional = compressed(data[start:end])
+            kept.insert(at, {"license": compressors()[i][0], "start": start, "end": end, "saving": round(1 - conditional[i] / alone, 6), "missing": missing, "extra": extra})
+            open_anchors = {a for a in open_anchors if not start <= a < end}
+        if not open_anchors:
+            break
     return kept
 
 
 def identify(block: bytes) -> tuple[str, float, int, int] | None:
     """License, saving, and words missing and extra, of the best notice that a block holds."""
-    found = sorted(chosen(block), key=lambda f: (f["missing"] + f["extra"], f["start"] - f["end"], -f["saving"]))
+    found = sorted(scan_data(block)[1], key=lambda f: (f["missing"] + f["extra"], f["start"] - f["end"], -f["saving"]))
     return (found[0]["license"], found[0]["saving"], found[0]["missing"], found[0]["extra"]) if found else None
 
 
-def triggered(data: bytes) -> bool:
-    return any(word in data for word in _TRIGGERS)
-
-
-def candidates(data: bytes) -> list[tuple[int, int]]:
-    """Lines with a word of licensing, and runs of two or more of them, as places in the bytes of a text."""
-    data = data.lower()
-    if not triggered(data):
-        return []
-    out, run, at = [], [], 0
-    for line in [*data.split(b"\n"), b""]:
-        if triggered(line):
-            run.append((at, at + len(line)))
-        else:
-            out += run if len(run) < 2 else [*run, (run[0][0], run[-1][1])]
-            run = []
-        at += len(line) + 1
-    return out
+def scan_data(data: bytes) -> tuple[int, list[dict]]:
+    lower = data.lower()
+    made = [confirmed(lower, block) for block in blocks(lower)]
+    return len(made), [f for found in made for f in found]
 
 
 def scan_text(text: str | None) -> tuple[int, list[dict]]:
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return len(candidates(data)), chosen(data)
+    return scan_data((text or "").encode("utf-8", "surrogatepass"))
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
