@@ -1,10 +1,11 @@
 """Score the detector on labelled examples."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracesift.operators.rules import Rule
 from tracesift.operators.scan import with_findings
+from tracesift.sources.writers import write_examples
 
 
 def label_set(labels: Column) -> Column:
@@ -37,3 +38,17 @@ def require_exact(examples: DataFrame, rules: list[Rule] | None = None) -> DataF
     message = F.format_string("%d of %d examples match", F.col("ok"), F.col("total"))
     exact = F.when(F.col("ok") == F.col("total"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return accuracy(examples, rules).where(exact)
+
+
+def write_scored(examples: DataFrame, path: str, rules: list[Rule] | None = None, mode: str = "errorifexists") -> DataFrame:
+    """Write the examples as JSON lines and score the detector on them in the same pass: the row that ``accuracy`` gives.
+
+    The counts are metrics of the write itself, so the examples are made and scanned once and never read back.
+    """
+    counts = Observation()
+    observed = compare(examples, rules).observe(counts, F.count_if("ok").alias("ok"), F.count("*").alias("total"))
+    # a generator keeps the comparison in the plan, of which the file needs nothing
+    kept = observed.select("*", F.explode(F.array(F.col("ok"))).alias("_scored")).where(F.col("_scored").isNotNull())
+    write_examples(kept, path, mode)
+    ok, total = counts.get["ok"], counts.get["total"]
+    return examples.sparkSession.createDataFrame([(ok, total, round(100.0 * ok / max(total, 1), 2))], "ok BIGINT, total BIGINT, accuracy_pct DOUBLE")

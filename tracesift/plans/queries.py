@@ -16,12 +16,13 @@ from tracesift.functions.validators import (
     spaced4,
 )
 from tracesift.operators.gates import anchor_condition
+from tracesift.operators.known_texts import scan_known
 from tracesift.operators.pieces import scan_pieces
 from tracesift.operators.rules import builtin_rules, rule_listing, rules_df, rules_from_df
 from tracesift.operators.scan import scan_column, scan_sources, scan_with_rule_table, select_rules, spread, with_findings
 from tracesift.plans import oracle, planted
 from tracesift.plans.corpus import labelled_examples
-from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact
+from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact, write_scored
 from tracesift.sources.readers import read_examples, read_text_lines, read_text_pieces, read_whole_texts
 from tracesift.sources.scratch import shared_path
 from tracesift.sources.writers import findings_lines, write_examples
@@ -157,6 +158,16 @@ def scan_conversations(spark, sf_dir):
     return scan_column(planted.plant_tokens(turns, ["conv_id", "turn"], "text", number), ["conv_id", "turn"], "text")
 
 
+def scan_known_texts(spark, sf_dir):
+    """Conversation turns by a store of known texts: first the users' turns, then all, of which only the others are scanned."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    store = shared_path(spark, "known")
+    users = planted.plant_tokens(turns.where("role = 'user'"), ["conv_id", "turn"], "text", number)
+    scan_known(users, ["conv_id", "turn"], "text", store)
+    return scan_known(planted.plant_tokens(turns, ["conv_id", "turn"], "text", number), ["conv_id", "turn"], "text", store).findings
+
+
 def _all_sources(spark, sf_dir) -> DataFrame:
     """Findings of every text table in one scan of each."""
     sources = [
@@ -257,6 +268,11 @@ def eval_json(spark, sf_dir):
     return accuracy(read_examples(spark, path))
 
 
+def eval_observed(spark, sf_dir):
+    """The same counts as metrics of writing the file, which is not read back."""
+    return write_scored(_mislabelled(spark, sf_dir), shared_path(spark, "examples"))
+
+
 # --- files and streams ------------------------------------------------------
 
 
@@ -350,6 +366,7 @@ QUERIES: dict[str, Query] = {
     "scan_documents": scan_documents,
     "scan_pages": scan_pages,
     "scan_conversations": scan_conversations,
+    "scan_known_texts": scan_known_texts,
     "kind_counts": kind_counts,
     "clean_documents": clean_documents,
     "findings_json": findings_json,
@@ -361,6 +378,7 @@ QUERIES: dict[str, Query] = {
     "eval_mismatches": eval_mismatches,
     "eval_sets": eval_sets,
     "eval_json": eval_json,
+    "eval_observed": eval_observed,
     "scan_text_lines": scan_text_lines,
     "scan_text_files": scan_text_files,
     "scan_text_pieces": scan_text_pieces,
@@ -469,6 +487,7 @@ FROM (SELECT l_orderkey, l_linenumber, {_card_sql('5')} AS body FROM lineitem)""
         "scan_documents": documents_found,
         "scan_pages": oracle.findings_sql("SELECT page_id, html AS text FROM pages WHERE html IS NOT NULL", "page_id"),
         "scan_conversations": turns_found,
+        "scan_known_texts": turns_found,
         "kind_counts": _sources_sql(),
         "clean_documents": f"""WITH RECURSIVE {oracle.scan_sql(DOCS)}
 SELECT d.doc_id, count(f.key) AS findings FROM documents d LEFT JOIN findings f ON f.key = d.doc_id GROUP BY d.doc_id""",
@@ -486,6 +505,7 @@ FROM findings""",
 LEFT JOIN want w ON w.id = g.id AND w.kind = g.kind AND w.value = g.value"""
         ),
         "eval_json": _eval_sql(_ACCURACY),
+        "eval_observed": _eval_sql(_ACCURACY),
         "scan_text_lines": f"""WITH RECURSIVE blocks AS ({_blocks_sql(DOCS)}),
 parts AS (SELECT block, n, p[n] AS line FROM (SELECT block, string_split(text, chr(10)) AS p FROM blocks), unnest(range(1, len(p) + 1)) AS r(n)),
 lines AS (SELECT block || '/' || coalesce(sum(strlen(line) + 1) OVER (PARTITION BY block ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING
