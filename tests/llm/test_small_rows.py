@@ -452,3 +452,33 @@ def test_every_template_is_compressed_with_every_block(monkeypatch):
     n, found = license_scan.scan_text(f"the license was lost {odd.prose(3, 200)} {license_scan.TEMPLATES[0][1]}\n{odd.prose(4, 200)} gnu")
     assert n >= 1 and len(found) == 1 and len(seen) == n + 1
     assert all(len(each) == len(license_scan.TEMPLATES) for _, each in seen)
+
+
+# --- samples, blocks and names ------------------------------------------------------------
+
+
+def test_the_fit_does_not_depend_on_partitions_or_order(spark):
+    docs = spark.createDataFrame([(i, odd.prose(i, 20) + ("\n### $$$" * (i % 3))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int")
+    made = []
+    for parts, most in ((1, 40), (50, 40)):
+        some = docs.repartition(parts).orderBy(F.col("doc_id") % 7) if parts == 1 else docs.repartition(parts)
+        made.append(line_crf.train(some, labels.repartition(parts), "doc_id", "text", "quality", most))
+    assert all((a == b).all() for a, b in zip(*made, strict=True))
+    whole = line_crf.train(docs, labels, "doc_id", "text", "quality")
+    assert not (whole[0] == made[0][0]).all()  # the bound did bind
+    none = line_crf.train(docs, labels, "doc_id", "text", "quality", 0)
+    assert not none[0].any()
+
+
+def test_keys_of_any_name(spark):
+    """Dots, and names that the operators use themselves."""
+    for key, text in (("a.b", "_text"), ("keys", "text"), ("_text", "b.c"), ("key", "hash")):
+        docs = spark.createDataFrame([(1, "Licensed under CC BY 4.0.\n" + odd.prose(3, 40)), (2, None)], f"`{key}` long, `{text}` string")
+        labels = spark.createDataFrame([(1, 1), (2, 0)], f"`{key}` long, `label.x` int")
+        weights, ties = line_crf.train(docs, labels, key, text, "label.x")
+        scored = line_crf.score(docs, [key], text, weights, ties)
+        assert scored.columns == [key, "score"] and scored.count() == 2
+        found = phrase_index.contamination(docs, key, text, docs, key, text)
+        assert sorted((r[0], r.n_words == r.n_hit) for r in found.collect()) == [(1, True), (2, True)]
+        assert [len(r.found) for r in license_scan.scan(docs, key, text).orderBy("n_candidates").collect()] == [0, 1]

@@ -284,7 +284,7 @@ def scan_text(text: str | None) -> tuple[int, list[dict]]:
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key``, ``n_candidates`` and ``found`` (license, bytes of the notice, saving and differences) of every text."""
-    held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    held = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     numbers = [("start", pa.int32()), ("end", pa.int32()), ("saving", pa.float64()), ("missing", pa.int32()), ("extra", pa.int32())]
     kind = pa.list_(pa.struct([("license", pa.string()), *numbers]))
 

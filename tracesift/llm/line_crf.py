@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks, frugal
+from tracesift.llm.common import chunks, frugal, written
 
 #: Labelled documents that the weights are fitted on, at most, and lines of those.
 SAMPLE_DOCUMENTS = 4_000
@@ -152,48 +152,55 @@ def held_out(key: Column) -> Column:
 
 
 def sample_labels(labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """At most ``most`` labelled keys outside the held-out fifth, chosen by their hash."""
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
-    known = known.groupBy(F.col(key).alias("key")).agg(F.min(label).cast("int").alias("label"))
-    share_of = min(1.0, most / max(1, known.count()))
-    return known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share_of * (1 << 20)) + 1).limit(most)
+    """The first ``most`` labelled keys outside the held-out fifth, in the order of their hash."""
+    own = F.col(f"`{key}`")
+    known = labels.where(own.isNotNull() & F.col(f"`{label}`").isNotNull() & ~held_out(own))
+    known = known.groupBy(own.alias("key")).agg(F.min(f"`{label}`").cast("int").alias("label"))
+    return known.withColumn("hash", F.xxhash64("key")).orderBy("hash", "key").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[np.ndarray, np.ndarray]:
-    """Weights fitted on a bounded sample of the labelled documents."""
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most_lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Weights fitted on a bounded sample of the labelled documents: in the order of their keys' hash, as many as have
+    ``most_lines`` lines together.  Which they are is found on Spark, and does not depend on how the table is dealt out; only
+    their features come to the driver.  A document of more lines than the bound takes no part in the fit."""
     picked = sample_labels(labels, key, label, SAMPLE_DOCUMENTS)
-    held = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(picked, "key")
+    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(picked, "key")
+    held = held.select("key", "hash", F.md5(F.coalesce("text", F.lit(""))).alias("content"), "label", "text")
+    schema = T.StructType([*held.schema.fields[:-1], *T._parse_datatype_string("lines bigint, rows array<double>").fields])
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            found = [gathered([t])[0].ravel().tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "rows"])
+            found = [gathered([t])[0] for t in batch.column("text").to_pylist()]
+            sizes, rows = [len(f) for f in found], [f.ravel().tolist() if len(f) <= most_lines else [] for f in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], schema.names)
 
-    rows, sizes, marks, lines = [], [], [], 0
-    for row in held.mapInArrow(run, "label int, rows array<double>").toLocalIterator():
-        own = np.array(row["rows"]).reshape(-1, len(FEATURES))
-        if lines + len(own) <= SAMPLE_LINES:
-            rows.append(own), sizes.append(len(own)), marks.append(row["label"])
-            lines += len(own)
-    flat = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES)))
-    return fit(flat, np.array(sizes, np.int64), np.array(marks, np.int64))
+    made = written(held.mapInArrow(run, schema), "line-features")
+    order = Window.orderBy("hash", "key", "content")  # of at most SAMPLE_DOCUMENTS keys, without their features
+    sized = made.where(F.col("lines") <= most_lines).select("key", "content", "hash", "lines").groupBy("key", "content", "hash").agg(F.sum("lines").alias("lines"))
+    total = F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    fitting = sized.withColumn("total", total).where(F.col("total") <= most_lines).select("key", "content")
+    chosen = made.where(F.col("lines") <= most_lines).join(fitting, ["key", "content"]).orderBy("hash", "key", "content").select("label", "lines", "rows").toArrow()
+    flat = np.array(chosen.column("rows").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(FEATURES))
+    return fit(flat, chosen.column("lines").to_numpy().astype(np.int64), chosen.column("label").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, keys: list[str], text: str, weights: np.ndarray, ties: np.ndarray) -> DataFrame:
     """``keys`` and ``score`` (0 to 1, higher is better) of every document."""
-    held = docs.select(*keys, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([*held.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    named = F.struct(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)))
+    held = docs.select(named.alias("keys"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = T.StructType([held.schema["keys"], T.StructField("score", T.DoubleType())])
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            rows, sizes, weight = gathered(batch.column("_text").to_pylist())
+        for batch in chunks(batches, "text"):
+            rows, sizes, weight = gathered(batch.column("text").to_pylist())
             chain = Chain(sizes)
             ahead, back = chain.messages(with_neighbours(rows, sizes) @ weights, ties)
             first = np.cumsum(sizes) - sizes
             weight = np.where(np.repeat(np.add.reduceat(weight, first), sizes) > 0, weight, 1)
             good = np.add.reduceat(logistic(ahead + back) * weight, first) / np.add.reduceat(weight, first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(good)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("keys"), pa.array(good)], schema.names)
 
-    return held.mapInArrow(run, schema)
+    scored = held.mapInArrow(run, schema)
+    return scored.select(*(F.col(f"keys.k{i}").alias(k) for i, k in enumerate(keys)), "score")

@@ -2,9 +2,10 @@
 
 ``build`` cuts the corpus into segments of bounded size.  A segment lists its documents, its terms with
 their counts, and for every term the places at which it occurs; the documents of a segment share one
-numbering of places, with a hole after each document.  ``search`` takes the windows of the test items in
-blocks of bounded size.  In each segment a window of which any term is missing is done with; of the others
-the postings are intersected, moved by their offsets, from the rarest term on.
+numbering of places, with a hole after each document.  ``search`` writes the test items to the shared folder, where
+tasks read them in blocks of bounded size, so they don't pass through the driver; the index is read once, and a
+segment is searched for one block after the other.  In each segment a window of which any term is missing is done
+with; of the others the postings are intersected, moved by their offsets, from the rarest term on.
 
 Inputs: null and empty texts have no words, and are in the index as documents of no words.  Rows with
 equal or null keys are documents of their own.  Test items without words have no windows; repeated item
@@ -14,6 +15,7 @@ gives no rows or no hits; other columns are ignored.  A text of any length is in
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from tracesift.llm.byte_bpe import Numbers
 from tracesift.llm.common import chunks, frugal, written
+from tracesift.sources.scratch import file_system, shared_path
 
 #: Bytes of text in a segment, about; a longer text has a segment of its own.
 SEGMENT_BYTES = 8 << 20
-#: Bytes of test items that are searched for in one pass over the index, about.
+#: Bytes of test items that a task searches for together, about; a longer item has a block of its own.
 BLOCK_BYTES = 4 << 20
 
 _WORD_BYTES = bytes(
@@ -76,7 +79,7 @@ def segment(keys: pa.Array, texts: list[str | None]) -> dict:
 
 def build(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The index as a written table: a row per segment, its documents in the order of ``keys``."""
-    held = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     kinds = {"n_words": pa.int32(), "terms": pa.binary(), "counts": pa.int32()}
 
     @frugal
@@ -134,6 +137,45 @@ class Windows:
             yield item[w], start, end
 
 
+class Tests:
+    """The windows of a written table of test items, block by block; a table of one block stays in memory."""
+
+    def __init__(self, folder: str, width: int, block_bytes: int):
+        self.folder, self.width, self.block_bytes = folder, width, block_bytes
+        self.only: list[Windows] | None = None
+
+    def blocks(self) -> Iterator[Windows]:
+        if self.only is not None:
+            yield from self.only
+            return
+        made, last = 0, None
+        for block in self._items():
+            made, last = made + 1, Windows(block, self.width)
+            yield last
+        if made < 2:
+            self.only = [last] if last else []
+
+    def _items(self) -> Iterator[list[tuple[str | None, str | None]]]:
+        import pyarrow.dataset as ds
+
+        system, place = file_system(self.folder)
+        block, size = [], 0
+        for batch in ds.dataset(place, filesystem=system, format="parquet").to_batches(batch_size=256):
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                block.append((item, text))
+                size += len(text or "")
+                if size >= self.block_bytes:
+                    yield block
+                    block, size = [], 0
+        if block:
+            yield block
+
+
+@lru_cache(maxsize=2)
+def tests_of(folder: str, width: int, block_bytes: int) -> Tests:
+    return Tests(folder, width, block_bytes)
+
+
 class Postings:
     """The places of each term of a segment, and both as one rising list of numbers."""
 
@@ -217,16 +259,16 @@ def search(index: DataFrame, items: DataFrame, item_key: str, text: str, width:
     segment's list of documents), ``spans`` of hit words, ``items``.  With ``slop`` the words of a window may
     have so many others between them.  A document has a row for each block of items that hits it.
     """
-    held = items.select(F.col(item_key).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    folder, block_bytes = shared_path(items.sparkSession, "test-items"), BLOCK_BYTES
+    items.select(F.col(f"`{item_key}`").cast("string").alias("item"), F.col(f"`{text}`").cast("string").alias("text")).write.parquet(folder)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     kinds = {"segment": pa.string(), "place": pa.int32(), "spans": pa.list_(span), "items": pa.list_(pa.string())}
 
-    def one_pass(block: list[tuple[str | None, str | None]]) -> DataFrame:
-        windows = Windows(block, width)
-
-        @frugal
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = tests_of(folder, width, block_bytes)
+        for batch in batches:
+            for windows in tests.blocks():
                 for i in range(batch.num_rows):
                     name, sizes, terms, counts, postings = (column[i] for column in batch.columns)
                     counts = counts.values.to_numpy().astype(np.int64)
@@ -234,21 +276,7 @@ def search(index: DataFrame, items: DataFrame, item_key: str, text: str, width:
                     hits = hits_in(name.as_py(), sizes.values.to_numpy().astype(np.int64), found, windows.items)
                     yield pa.RecordBatch.from_arrays([pa.array(hits[c], kinds[c]) for c in kinds], list(kinds))
 
-        return index.select("segment", "n_words", "terms", "counts", "postings").mapInArrow(run, _HITS)
-
-    passes, block, size = [], [], 0
-    for row in held.toLocalIterator():
-        block.append((row["item"], row["text"]))
-        size += len(row["text"] or "")
-        if size >= BLOCK_BYTES:
-            passes.append(one_pass(block))
-            block, size = [], 0
-    if block or not passes:
-        passes.append(one_pass(block))
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.union(more)
-    return hits
+    return index.select("segment", "n_words", "terms", "counts", "postings").mapInArrow(run, _HITS)
 
 
 def n_covered(spans: Column) -> Column:

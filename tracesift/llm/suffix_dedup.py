@@ -130,7 +130,9 @@ def repeated(found: DataFrame) -> DataFrame:
     again = counted.where((F.col("alike") > 1) | (F.col("many") > 1))
     # those without salt stand for all of their pieces of work
     totals = found.where("salt = 0").groupBy(F.col("h").alias("hot_h")).agg(F.sum("alike").alias("total"))
-    marked = again.join(F.broadcast(totals.where(F.col("total") > HOT)), F.col("h") == F.col("hot_h"), "left")
+    # written, so that Spark knows their size and broadcasts them only if they are few enough
+    hot = written(totals.where(F.col("total") > HOT), "hot-anchors")
+    marked = again.join(hot, F.col("h") == F.col("hot_h"), "left")
     return marked.select("slot", "n", "place", F.col("hot_h").isNotNull().alias("hot"))
 
 
