@@ -13,7 +13,7 @@ import tiktoken
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from tests.llm import odd
-from tracesift.llm import byte_bpe, license_scan, suffix_dedup
+from tracesift.llm import byte_bpe, license_scan, similar_texts, suffix_dedup
 from tracesift.llm.queries import QUERIES, RANKS
 
 PATH = public_tokenizers.path(RANKS)
@@ -125,7 +125,7 @@ def check_stages(spark, folder, library):
         if name == "quality_classifier":
             assert not Counter(after) - Counter(before)
         elif name == "simhash_near_dedup":
-            roots = odd.components([odd.fingerprint(t) for _, t in before])
+            roots = odd.similar_components([t for _, t in before])
             groups: dict = {}
             for row, root in zip(before, roots, strict=True):
                 groups.setdefault(root, []).append(row)
@@ -216,3 +216,25 @@ def test_licenses_against_a_plain_search(spark):
         assert set(filter(None, rows[i].licenses.split(","))) == names, i
         hits += len(names)
     assert hits > 10
+
+
+def test_similar_texts_of_a_larger_table(spark):
+    """Against the similarity of all pairs that share a shingle: nothing is joined that isn't alike, and of the pairs of different
+    texts at least nine in ten are together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, odd.shingle_set(r.text)) for r in docs.collect()]
+    holders: dict = {}
+    for i, (_, own) in enumerate(rows):
+        for shingle in own:
+            holders.setdefault(shingle, []).append(i)
+    pairs = {(a, b) for held in holders.values() for k, b in enumerate(held) for a in held[:k]}
+    alike = [(a, b) for a, b in pairs if 5 * len(rows[a][1] & rows[b][1]) >= 4 * len(rows[a][1] | rows[b][1])]
+    sketched = similar_texts.sketches(docs, "doc_id", "text", 5, 42)
+    roots = similar_texts.classed(sketched, docs.columns.index("text"), 5, 42, 4, 0.8)
+    of = {r.id: r.root for r in sketched.select("id", "class").join(roots, "class").collect()}
+    found = [(a, b) for a, b in alike if of[rows[a][0]] == of[rows[b][0]]]
+    different = [(a, b) for a, b in alike if rows[a][1] != rows[b][1]]
+    assert len(different) >= 10 and len(set(found) & set(different)) >= 0.9 * len(different)
+    assert len(found) - len(set(found) & set(different)) == len(alike) - len(different)
+    # groups are those of the links alone
+    assert len(set(of.values())) >= len(set(odd.similar_components([r.text for r in docs.collect()])))
