@@ -52,3 +52,24 @@ def test_running_matches_a_plain_loop(spark):
         items = F.slice("a", 1, n)
         got = df.select(running(items, lambda p, x: p + x)).first()[0]
         assert got == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from tracesift.functions import validators as v
+    from tracesift.functions.sql_functions import FUNCTIONS, create_functions
+
+    values = [
+        "4111 1111 1111 1111", "4111111111111112", "FR76 3000 6000 0112 3456 7890 189", "FR7630006000011234567890188", "GB82 WEST 1234 5698 7654 32", "fr76",
+        "+33 6 12 34 56 78", "(415) 555-2671", "415-555-2671", "12.34.56.78", "0123", "٤١٥-555-2671", "", " ", "é", None, "FR７６30006000011234567890189", "1" * 40,
+    ]
+    assert create_functions(spark) == [name for name, _, _ in FUNCTIONS]
+    df = spark.createDataFrame([(x,) for x in values], "v STRING")
+    df.createOrReplaceTempView("sql_values")
+    checks = {n: getattr(v, n) for n in ("ascii_digits", "luhn_valid", "iban_valid", "phone_valid", "spaced4")}
+    want = df.select("v", *(f(F.col("v")).alias(n) for n, f in checks.items())).collect()
+    got = spark.sql(f"SELECT v, {', '.join(f'{n}(v) AS {n}' for n in checks)} FROM sql_values").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    made = spark.sql("SELECT iban_check_digits('FR', '30006000011234567890189'), luhn_complete('411111111111111')").first()
+    assert tuple(made) == ("76", "4111111111111111")
+    plan = spark.sql("SELECT iban_valid(v) FROM sql_values")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Join" not in plan and "Subquery" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesift.functions.folds import compute_once
+from tracesift.functions.sql_functions import create_findings_view, create_functions
 from tracesift.functions.validators import (
     ascii_digits,
     iban_check_digits,
@@ -85,6 +86,18 @@ def iban_customers(spark, sf_dir):
     )
 
 
+def iban_customers_sql(spark, sf_dir):
+    """The same in SQL text, with the library's SQL functions."""
+    create_functions(spark)
+    table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").createOrReplaceTempView("tracesift_customer")
+    countries = ", ".join(f"'{c}'" for c in COUNTRIES)
+    return spark.sql(f"""
+        WITH accounts AS (SELECT c_custkey, array({countries})[pmod(c_nationkey, 5)] AS cc, concat('BANK', lpad(CAST(c_custkey AS STRING), 14, '0')) AS account
+                          FROM tracesift_customer),
+             made AS (SELECT c_custkey, concat(cc, iban_check_digits(cc, account), account) AS iban FROM accounts)
+        SELECT c_custkey, spaced4(iban) AS iban, iban_valid(iban) AS valid, iban_valid(overlay(iban PLACING 'Z' FROM 5)) AS broken_valid FROM made""")
+
+
 def phone_shape_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     n = F.lpad(F.col("o_orderkey").cast("string"), 10, "7")
@@ -147,6 +160,14 @@ def scan_documents(spark, sf_dir):
     return scan_column(documents(spark, sf_dir), ["doc_id"], "text")
 
 
+def scan_documents_sql(spark, sf_dir):
+    """The same as a view, and valid cards once more by the SQL function."""
+    create_functions(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("tracesift_documents")
+    create_findings_view(spark, "tracesift_findings", "tracesift_documents", ["doc_id"], "text")
+    return spark.sql("SELECT doc_id, kind, value, start, end FROM tracesift_findings WHERE kind <> 'credit_card' OR luhn_valid(value)")
+
+
 def scan_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     return scan_column(pages, ["page_id"], "html")
@@ -355,6 +376,7 @@ QUERIES: dict[str, Query] = {
     "luhn_lineitem": luhn_lineitem,
     "card_completion": card_completion,
     "iban_customers": iban_customers,
+    "iban_customers_sql": iban_customers_sql,
     "phone_shape_orders": phone_shape_orders,
     "rule_listing_hits": rule_listing_hits,
     "card_findings": _kind_findings("credit_card"),
@@ -364,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "token_findings": token_findings,
     "edge_findings": edge_findings,
     "scan_documents": scan_documents,
+    "scan_documents_sql": scan_documents_sql,
     "scan_pages": scan_pages,
     "scan_conversations": scan_conversations,
     "scan_known_texts": scan_known_texts,
@@ -476,6 +499,7 @@ SELECT split_part(key, '/', 1)::BIGINT AS conv_id, split_part(key, '/', 2)::BIGI
         "card_completion": f"""SELECT l_orderkey, l_linenumber, {oracle.spaced_sql(oracle.complete_sql('body'))} AS card
 FROM (SELECT l_orderkey, l_linenumber, {_card_sql('5')} AS body FROM lineitem)""",
         "iban_customers": _iban_customers_sql(),
+        "iban_customers_sql": _iban_customers_sql(),
         "phone_shape_orders": _phone_orders_sql(),
         "rule_listing_hits": _rule_listing_sql(),
         "card_findings": oracle.findings_sql(DOCS, kinds=["credit_card"]),
@@ -485,6 +509,7 @@ FROM (SELECT l_orderkey, l_linenumber, {_card_sql('5')} AS body FROM lineitem)""
         "token_findings": oracle.findings_sql(planted_tokens),
         "edge_findings": oracle.findings_sql(oracle.planted_edges_sql()),
         "scan_documents": documents_found,
+        "scan_documents_sql": documents_found,
         "scan_pages": oracle.findings_sql("SELECT page_id, html AS text FROM pages WHERE html IS NOT NULL", "page_id"),
         "scan_conversations": turns_found,
         "scan_known_texts": turns_found,
