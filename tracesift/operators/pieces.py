@@ -26,7 +26,8 @@ from tracesift.functions.folds import running
 from tracesift.functions.validators import validate
 from tracesift.operators import gates
 from tracesift.operators.resolve import resolve
-from tracesift.operators.rules import NOT_AT_PREVIOUS_END, Rule, builtin_rules
+from tracesift.operators.rule_data import TOKEN_GLUE
+from tracesift.operators.rules import NOT_AT_PREVIOUS_END, Rule, builtin_rules, fast_token_regex, fixed_start
 
 #: Bytes that a piece sees of the next one: more than any match but an address may have.
 MARGIN = 512
@@ -85,41 +86,54 @@ def possible_matches(rules: list[Rule]) -> Column:
     """
     parts = []
     for rule in rules:
-        core = rule.regex.replace(NOT_AT_PREVIOUS_END, "")
-        strict = core != rule.regex
-        email = rule.validator == "email"
-        # the search for addresses is left as it is: what it uses up ends within the piece
-        sought = rule.regex if email else f"(?=({core}))"
-        found = [f"regexp_extract_all({gates.TEXT}, {gates.sql_text(p)}, {0 if email else 1})" for p in (sought, "(?U)" + sought)]
-        cuts = [f"split({gates.TEXT}, {gates.sql_text(p)}, -1)" for p in (sought, "(?U)" + sought)]
+        searches = [_search(rule, f) for f in ("", "(?U)")]
+        found = [f"regexp_extract_all({gates.TEXT}, {gates.sql_text(p)}, {i})" for p, i, _, _ in searches]
+        cuts = [f"split({gates.TEXT}, {gates.sql_text(p)}, -1)" for p, _, _, _ in searches]
         if rule.any_digit:
             values, gaps = (f"IF({gates.OTHER}, {u}, {p})" for p, u in (found, cuts))
         else:
             values, gaps = found[0], cuts[0]
-        parts.append(
-            f"CASE WHEN {gates.gate(rule)} THEN named_struct('values', {values}, 'gaps', {gaps}, 'ord', {rule.ord}, "
-            f"'kind', {gates.sql_text(rule.kind)}, 'validator', {gates.sql_text(rule.validator)}, 'strict', {str(strict).lower()}, 'moves', {str(email).lower()}) END"
+        _, _, prefix, moves = searches[0]
+        strict = NOT_AT_PREVIOUS_END in rule.regex
+        made = (
+            f"named_struct('values', v, 'gaps', CASE WHEN size(v) > 0 THEN {gaps} END, 'ord', {rule.ord}, 'kind', {gates.sql_text(rule.kind)}, "
+            f"'validator', {gates.sql_text(rule.validator)}, 'strict', {str(strict).lower()}, 'prefix', {gates.sql_text(prefix)}, 'moves', {moves})"
         )
+        parts.append(f"CASE WHEN {gates.gate(rule)} THEN transform(array({values}), v -> {made})[0] END")
     tried = F.filter(F.expr(f"array({', '.join(parts)})"), lambda h: F.size(h["values"]) > 0)
     return F.flatten(F.transform(tried, _located)).cast(_MATCH)
 
 
+def _search(rule: Rule, flags: str) -> tuple[str, int, str, str]:
+    """An expression that stops at every place where a match may start, the group of it that a match is in, what comes before
+    that, and the SQL for how many bytes of ``value`` the expression takes of the text."""
+    if rule.validator == "email":
+        # the search for addresses is left as it is: what it uses up ends within the piece
+        return flags + rule.regex, 0, "", "-1"
+    prefix = fixed_start(rule.pattern)
+    literal = re.sub(r"\\(.)", r"\1", prefix)
+    if literal and rule.regex == fast_token_regex(rule.kind, rule.pattern) and not any(literal.endswith(literal[:n]) for n in range(1, len(literal))):
+        # only the fixed start is taken, which can't overlap itself; the engine skips ahead to it
+        return f"{flags}{prefix}(?<![{TOKEN_GLUE}]{prefix})(?=({rule.pattern[len(prefix):]})(?![{TOKEN_GLUE}]))", 1, literal, str(len(literal))
+    return f"{flags}(?=({rule.regex.replace(NOT_AT_PREVIOUS_END, '')}))", 1, "", "0"
+
+
 def _located(hit: Column) -> Column:
-    """The matches of a rule with their places.  A look-ahead cuts the text without taking anything of it."""
-    values = hit["values"]
-    sizes = F.transform(values, F.octet_length)
-    gaps = F.slice(F.transform(hit["gaps"], F.octet_length), 1, F.size(values))
-    taken = F.when(hit["moves"], sizes).otherwise(F.transform(values, lambda v: F.lit(0)))
+    """The matches of a rule with their places, by the gaps between what its search takes of the text."""
+    found = hit["values"]
+    gaps = F.slice(F.transform(hit["gaps"], F.octet_length), 1, F.size(found))
+    taken = F.transform(found, lambda v: F.when(hit["moves"] < 0, F.octet_length(v)).otherwise(hit["moves"]))
     ends = running(F.zip_with(gaps, taken, lambda gap, own: gap + own), lambda pos, step: pos + step)
     starts = F.zip_with(ends, taken, lambda end, own: end - own)
 
-    def match(value, start):
+    def match(rest, start):
+        value = F.concat(hit["prefix"], rest)
         return F.struct(
             start.alias("start"), (start + F.octet_length(value)).alias("end"), hit["ord"].alias("ord"), hit["kind"].alias("kind"),
             hit["validator"].alias("validator"), hit["strict"].alias("strict"), value.alias("value"),
         )
 
-    return F.zip_with(values, starts, match)
+    return F.zip_with(found, starts, match)
 
 
 def scan_pieces(pieces: DataFrame, keys: list[str], rules: list[Rule] | None = None) -> DataFrame:

@@ -326,14 +326,10 @@ def scan_text_files(spark, sf_dir):
     return scan_column(files.select(_block(), "text"), ["block"], "text")
 
 
-#: Bytes of the pieces that ``scan_text_pieces`` reads: files of fifty documents have several.
-QUERY_PIECE_BYTES = 16 << 10
-
-
 def scan_text_pieces(spark, sf_dir):
     """The same of documents with edge cases, in pieces whose ends know nothing of lines or documents."""
     path = _files(spark, planted.plant_edges(documents(spark, sf_dir), "doc_id", "text"))
-    pieces = read_text_pieces(spark, path, QUERY_PIECE_BYTES)
+    pieces = read_text_pieces(spark, path)
     return scan_pieces(pieces.select(_block(), "offset", "before", "text", "after"), ["block"])
 
 

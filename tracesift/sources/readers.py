@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tracesift.plans.corpus import EXAMPLE
 from tracesift.sources.text_ranges import SPLIT_BYTES, read_ranges
 
-#: Bytes of a piece of a file.
-PIECE_BYTES = 4 << 20
+#: Bytes of a piece of a file: little enough that most pieces hold nothing that any rule needs to look at.
+PIECE_BYTES = 8 << 10
 
 
 def read_text_lines(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:

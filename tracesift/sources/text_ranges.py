@@ -107,18 +107,38 @@ class RangeReader(DataSourceReader):
 
     def _pieces(self, file, part: Range) -> Iterator[pa.RecordBatch]:
         at = 0 if part.start == 0 else _next(file, part.start, part.size, cut_after)
+        rows, held = [], 0
         while at < part.end:
-            end = _next(file, min((at // self.piece + 1) * self.piece, part.size), part.size, cut_after)
-            end = min(end, _next(file, part.end, part.size, cut_after)) if at < part.end < end else end
-            data = file.read_at(end - at, at)
-            before = file.read_at(min(4, at), max(0, at - 4))
-            after = file.read_at(MARGIN, end)
-            row = [
-                pa.array([at], pa.int64()), pa.array([last_character(before)]),
-                pa.array([_decoded(data, part.file, at)]), pa.array([after.decode(errors="ignore")]),
-            ]
-            yield _batch(part.file, row, ["offset", "before", "text", "after"])
-            at = end
+            # what is left of a buffer is cut at once
+            data = file.read_at(max(READ_BYTES, 2 * self.piece + MARGIN), at)
+            begin = 0
+            while at + begin < part.end:
+                wanted = min(begin + self.piece, part.end - at)
+                last = at + len(data) == part.size
+                end = cut_after(data, wanted) if wanted < len(data) else 0
+                if end and end + MARGIN > len(data) and not last or not end and not last:
+                    if begin:
+                        break  # goes on in the next buffer
+                    # an unbroken run that is longer than the buffer
+                    end = _next(file, at + wanted, part.size, cut_after) - at
+                    data = file.read_at(end + MARGIN, at)
+                end = end or len(data)
+                before = data[begin - 4 if begin > 4 else 0 : begin] if begin else file.read_at(min(4, at), max(0, at - 4))
+                own = _decoded(data[begin:end], part.file, at + begin)
+                rows.append((at + begin, last_character(before), own, data[end : end + MARGIN].decode(errors="ignore")))
+                held += end - begin
+                begin = end
+                if held > BATCH_BYTES:
+                    yield _piece_batch(part.file, rows)
+                    rows, held = [], 0
+            at += begin
+        if rows:
+            yield _piece_batch(part.file, rows)
+
+
+def _piece_batch(file: str, rows: list[tuple[int, str, str, str]]) -> pa.RecordBatch:
+    offsets, *texts = zip(*rows, strict=True)
+    return _batch(file, [pa.array(offsets, pa.int64()), *(pa.array(t, pa.string()) for t in texts)], ["offset", "before", "text", "after"])
 
 
 def _hidden(path: str) -> bool:
@@ -131,14 +151,16 @@ def _line_end(data: bytes, start: int) -> int:
 
 def _next(file, start: int, size: int, find) -> int:
     """The first place from ``start`` on behind which ``find`` allows an end; else the end of the file."""
-    at = max(0, start - 1) if find is cut_after else start
+    at, step = max(0, start - 1), 4096  # an end is near as a rule
     skip = start - at
-    while at < size:
-        data = file.read_at(READ_BYTES, at)
+    while True:
+        data = file.read_at(step, at)
         if end := find(data, skip):
             return at + end
-        at, skip = at + len(data), 0
-    return size
+        if at + len(data) >= size:
+            return size
+        # the last byte is looked at again, with what follows it
+        at, skip, step = at + len(data) - 1, 1, min(2 * step, READ_BYTES)
 
 
 def _decoded(data: bytes, file: str, offset: int) -> str:
