@@ -8,6 +8,7 @@ Arrow knows (local and shared folders, HDFS, object stores).
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,14 @@ from tracesift.sources.scratch import file_system
 #: Bytes of a range, of what is read at a time, and of text in a batch that goes to Spark.
 SPLIT_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 4 << 20
 
+#: What opening a file costs, in bytes read meanwhile.
+OPEN_BYTES = 64 << 10
+
 LINES = "file string, offset bigint, text string"
 PIECES = "file string, offset bigint, before string, text string, after string"
 
 
-@dataclass
-class Range(InputPartition):
+class Range(NamedTuple):
     """Bytes ``start`` to ``end`` of a file of ``size`` bytes."""
 
     file: str
@@ -34,8 +37,16 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: a range of a large file, or several small files."""
+
+    parts: list[Range]
+
+
 class TextRanges(DataSource):
-    """``path`` (a file or folder), ``split_bytes``, and ``piece_bytes`` for pieces rather than lines."""
+    """``path`` (a file or folder), ``split_bytes`` and ``tasks`` (bytes a task reads at most, and tasks that there should be),
+    and ``piece_bytes`` for pieces rather than lines."""
 
     @classmethod
     def name(cls) -> str:
@@ -52,10 +63,11 @@ class RangeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self.piece = int(options["piece_bytes"]) if "piece_bytes" in options else None
 
-    def partitions(self) -> list[Range]:
-        """Ranges of the files' sizes; hidden files are left out."""
+    def partitions(self) -> list[Ranges]:
+        """Ranges of the files' sizes, small ones together; hidden files are left out."""
         from pyarrow import fs
 
         system, place = file_system(self.path)
@@ -64,12 +76,24 @@ class RangeReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [root] if root.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and not _hidden(f.path[len(place) :]))
-        return [Range(p, a, min(a + self.split, n), n) for p, n in files for a in range(0, n, self.split)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        total = sum(n + OPEN_BYTES for _, n in files)
+        most = min(self.split, max(OPEN_BYTES, -(-total // self.tasks)))
+        dealt, held = [], most
+        for path, size in files:
+            for start in range(0, size, most):
+                part = Range(path, start, min(start + most, size), size)
+                if held + part.end - part.start + OPEN_BYTES > most:
+                    dealt.append(Ranges([]))
+                    held = 0
+                dealt[-1].parts.append(part)
+                held += part.end - part.start + OPEN_BYTES
+        return dealt
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
-        with system.open_input_file(part.file) as file:
-            yield from self._pieces(file, part) if self.piece else self._lines(file, part)
+        for part in partition.parts:
+            with system.open_input_file(part.file) as file:
+                yield from self._pieces(file, part) if self.piece else self._lines(file, part)
 
     def _lines(self, file, part: Range) -> Iterator[pa.RecordBatch]:
         at = 0 if part.start == 0 else _next(file, part.start - 1, part.size, _line_end)
@@ -176,4 +200,5 @@ def _batch(file: str, columns: list[pa.Array], names: list[str]) -> pa.RecordBat
 
 def read_ranges(spark: SparkSession, path: str, **options: int) -> DataFrame:
     spark.dataSource.register(TextRanges)
+    options = {"tasks": spark.sparkContext.defaultParallelism, **options}
     return spark.read.format("text_ranges").options(**{k: str(v) for k, v in options.items()}).load(path)
