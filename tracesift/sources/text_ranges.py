@@ -97,37 +97,28 @@ class RangeReader(DataSourceReader):
 
     def _lines(self, file, part: Range) -> Iterator[pa.RecordBatch]:
         at = 0 if part.start == 0 else _next(file, part.start - 1, part.size, _line_end)
-        offsets, lines, held = [], [], 0
-        tail, tail_at, read = [], at, at
-        while read < part.size and (read < part.end or tail):
-            data = file.read_at(READ_BYTES, read)
-            read += len(data)
-            ends = data.split(b"\n")
-            for k, line in enumerate(ends):
-                tail.append(line)
-                if k == len(ends) - 1 or tail_at >= part.end:
-                    break
-                whole = b"".join(tail)
-                offsets.append(tail_at)
-                lines.append(_decoded(whole, part.file, tail_at))
+        line_at, pieces = at, []  # of the line that goes on
+        rows, held = [], 0
+        while at < part.size and line_at < part.end:
+            data = file.read_at(READ_BYTES, at)
+            at += len(data)
+            *ended, rest = data.split(b"\n")
+            for piece in ended:
+                whole = b"".join([*pieces, piece])
+                pieces = []
+                if line_at < part.end:
+                    rows.append((line_at, _decoded(whole, part.file, line_at)))
+                line_at += len(whole) + 1
                 held += len(whole)
-                tail_at += len(whole) + 1
-                tail = []
-            if tail_at >= part.end:
-                tail = []
-                break
+            pieces.append(rest)
             if held > BATCH_BYTES:
-                yield _batch(part.file, [pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["offset", "text"])
-                offsets, lines, held = [], [], 0
-            if tail == [b""]:
-                tail = []
-        if tail_at < min(part.end, part.size):  # the last line has no end
-            whole = b"".join(tail)
-            if whole:
-                offsets.append(tail_at)
-                lines.append(_decoded(whole, part.file, tail_at))
-        if lines:
-            yield _batch(part.file, [pa.array(offsets, pa.int64()), pa.array(lines, pa.string())], ["offset", "text"])
+                yield _rows_batch(part.file, rows, ["offset", "text"])
+                rows, held = [], 0
+        last = b"".join(pieces)
+        if last and line_at < part.end:  # a line without an end
+            rows.append((line_at, _decoded(last, part.file, line_at)))
+        if rows:
+            yield _rows_batch(part.file, rows, ["offset", "text"])
 
     def _pieces(self, file, part: Range) -> Iterator[pa.RecordBatch]:
         at = 0 if part.start == 0 else _next(file, part.start, part.size, cut_after)
@@ -153,16 +144,17 @@ class RangeReader(DataSourceReader):
                 held += end - begin
                 begin = end
                 if held > BATCH_BYTES:
-                    yield _piece_batch(part.file, rows)
+                    yield _rows_batch(part.file, rows, ["offset", "before", "text", "after"])
                     rows, held = [], 0
             at += begin
         if rows:
-            yield _piece_batch(part.file, rows)
+            yield _rows_batch(part.file, rows, ["offset", "before", "text", "after"])
 
 
-def _piece_batch(file: str, rows: list[tuple[int, str, str, str]]) -> pa.RecordBatch:
-    offsets, *texts = zip(*rows, strict=True)
-    return _batch(file, [pa.array(offsets, pa.int64()), *(pa.array(t, pa.string()) for t in texts)], ["offset", "before", "text", "after"])
+def _rows_batch(file: str, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    offsets, *texts = zip(*rows, strict=True) if rows else [()] * len(names)
+    columns = [pa.array([file] * len(rows), pa.string()), pa.array(offsets, pa.int64()), *(pa.array(t, pa.string()) for t in texts)]
+    return pa.RecordBatch.from_arrays(columns, ["file", *names])
 
 
 def _hidden(path: str) -> bool:
@@ -194,10 +186,6 @@ def _decoded(data: bytes, file: str, offset: int) -> str:
         raise ValueError(f"INVALID_UTF8: {file}, byte {offset + error.start}") from None
 
 
-def _batch(file: str, columns: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([file] * len(columns[0]), pa.string()), *columns], ["file", *names])
-
-
 def read_ranges(spark: SparkSession, path: str, **options: int) -> DataFrame:
     spark.dataSource.register(TextRanges)
     options = {"tasks": spark.sparkContext.defaultParallelism, **options}
