@@ -28,6 +28,7 @@ from tracesift.operators import gates
 from tracesift.operators.resolve import resolve
 from tracesift.operators.rule_data import TOKEN_GLUE
 from tracesift.operators.rules import NOT_AT_PREVIOUS_END, Rule, builtin_rules, fast_token_regex, fixed_start
+from tracesift.sources.scratch import shared_path
 
 #: Bytes that a piece sees of the next one: more than any match but an address may have.
 MARGIN = 512
@@ -153,8 +154,11 @@ def scan_pieces(pieces: DataFrame, keys: list[str], rules: list[Rule] | None = N
     found = featured.select(*names, "_from", "_to", "_lead", F.explode(possible).alias("m"))
     shift = F.col("_from") - F.col("_lead")
     placed = found.select(*names, "_from", "_to", F.col("m").withField("start", F.col("m.start") + shift).withField("end", F.col("m.end") + shift).alias("m"))
-    matches = placed.where((F.col("m.start") >= F.col("_from")) & (F.col("m.start") < F.col("_to")))
-    return _chosen(matches, names).select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "kind", "value", "start", "end")
+    matches = placed.where((F.col("m.start") >= F.col("_from")) & (F.col("m.start") < F.col("_to"))).select(*names, "_from", "m")
+    # written, as the matches are needed twice and the texts are to be searched once
+    path = shared_path(pieces.sparkSession, "matches")
+    matches.write.parquet(path)
+    return _chosen(pieces.sparkSession.read.schema(matches.schema).parquet(path), names).select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "kind", "value", "start", "end")
 
 
 def _chosen(matches: DataFrame, names: list[str]) -> DataFrame:
