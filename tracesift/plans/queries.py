@@ -334,7 +334,7 @@ def scan_text_pieces(spark, sf_dir):
 
 
 #: Characters of the pieces in which ``scan_session_stream`` sends texts, and files that it sends them in, one a batch.
-SENT_CHARACTERS, SENT_FILES = 37, 4
+SENT_CHARACTERS, SENT_FILES = 37, 2
 
 
 def scan_session_stream(spark, sf_dir):
