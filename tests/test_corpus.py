@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from tests import brute
 from tracesift.plans.corpus import generate, labelled_examples
-from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact
+from tracesift.plans.evaluate import accuracy, compare, mismatches, require_exact, require_found
 from tracesift.sources.readers import read_examples, read_text_lines, read_whole_texts
 from tracesift.sources.writers import write_examples, write_findings, write_findings_json
-from tracesift.operators.scan import scan_column
+from tracesift.operators.scan import scan_column, select_rules
+from tracesift.plans.queries import QUERIES
 
 
 def test_mix_and_labels(spark):
@@ -56,6 +57,15 @@ def test_scoring(spark):
     assert compare(twice).first().ok
 
 
+def test_lines_that_hold_a_value_by_chance(spark, tmp_path):
+    spark.range(88640, 88660).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    row = QUERIES["eval_exact"](spark, str(tmp_path)).first()
+    assert tuple(row) == (19, 20, 95.0)  # as the SQL counts them
+    with pytest.raises(Exception, match="20 in 40 examples are not found"):
+        require_found(generate(spark, 40), select_rules(["iban", "phone", "email"])[:2]).count()
+    assert require_found(generate(spark, 0)).first().accuracy_pct == 0.0
+
+
 def test_examples_as_files(spark, tmp_path):
     path = str(tmp_path / "examples")
     examples = generate(spark, 200)

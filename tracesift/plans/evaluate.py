@@ -28,9 +28,7 @@ def mismatches(examples: DataFrame, rules: list[Rule] | None = None) -> DataFram
 
 def accuracy(examples: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row: ``ok``, ``total`` and ``accuracy_pct`` to two places (0 if empty)."""
-    counts = compare(examples, rules).agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"))
-    percent = F.round(F.lit(100.0) * F.col("ok") / F.greatest("total", F.lit(1)), 2)
-    return counts.withColumn("accuracy_pct", percent)
+    return _with_percent(compare(examples, rules).agg(F.count_if("ok").alias("ok"), F.count("*").alias("total")))
 
 
 def require_exact(examples: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -40,6 +38,24 @@ def require_exact(examples: DataFrame, rules: list[Rule] | None = None) -> DataF
     return accuracy(examples, rules).where(exact)
 
 
+def require_found(examples: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The accuracy row, or a failed job if an expected value of any example is not found, whatever is read of the row.
+
+    What is found besides counts against the accuracy only: among very many made lines some hold a valid value by chance,
+    as a UUID of which sixteen digits in a row pass for a card number.
+    """
+    scored = compare(examples, rules).withColumn("missed", F.size(F.array_except("want", "got")) > 0)
+    counts = scored.agg(F.count_if("ok").alias("ok"), F.count("*").alias("total"), F.count_if("missed").alias("missed"))
+    message = F.format_string("expected values of %d in %d examples are not found", F.col("missed"), F.col("total"))
+    found = F.when(F.col("missed") == 0, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return _with_percent(counts.where(found).drop("missed"))
+
+
+def _with_percent(counts: DataFrame) -> DataFrame:
+    percent = F.round(F.lit(100.0) * F.col("ok") / F.greatest("total", F.lit(1)), 2)
+    return counts.withColumn("accuracy_pct", percent)
+
+
 def write_scored(examples: DataFrame, path: str, rules: list[Rule] | None = None, mode: str = "errorifexists") -> DataFrame:
     """Write the examples as JSON lines and score the detector on them in the same pass: the row that ``accuracy`` gives.
 
