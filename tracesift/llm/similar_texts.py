@@ -4,13 +4,15 @@ The shingles of a text are its runs of five words (lower-cased; a shorter text i
 class.  Two classes are linked if their sets have a Jaccard similarity of 0.8 or more.  Candidates come from
 
 - the SimHash fingerprints of the sets: those within 4 bits, by the vantage-point trees of ``simhash``; and
-- since texts of 0.8 differ in about 10 of 64 bits, where such trees prune next to nothing, also from ``BANDS`` bands of
-  ``ROWS`` minimum hashes each: of the classes that agree in a band each is compared with the band's leader, the first of them
-  in an order of that band's own.  A pair of similarity 0.8 agrees in some band with a probability of 0.99997.
+- since texts of 0.8 differ in about 10 of 64 bits, where such trees prune next to nothing, also from the beginnings of the
+  sets.  All shingles have one order, rare ones first; of two sets of a similarity of 0.8 or more the first fifths share a shingle.
+
+The beginnings are compared twice.  First each class with the leaders (``ORDERS`` of them) of the classes that share its
+shingles, which joins large groups of near copies by few comparisons.  Then every pair that shares a shingle and that no
+chain of links has joined so far, unless the shared shingles and the sizes rule 0.8 out.  So no pair of 0.8 or more stays apart.
 
 Every candidate pair is checked: the shingle sets of both are made again from a text of each class and intersected.  Only links
-that pass count, so nothing is joined that isn't alike.  A class has at most ``BANDS`` + 2 candidates, however many texts
-are alike; what a band's leader misses, the leaders of the other bands find, or chains of links do.
+that pass count, so nothing is joined that isn't alike.
 
 Inputs: null texts and texts without words are one class.  Repeated ids and rows all are in their class; null ids come last.
 An empty table gives an empty table; all columns come along as they are, whatever their names.
@@ -21,18 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracesift.llm import simhash
 from tracesift.llm.common import chunks, frugal, written
 
-BANDS, ROWS = 20, 4
-_RANDOM = np.random.default_rng(20241128)
-_FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-#: Hashes put through all orders at a time.
+#: Distinct texts, about, that common shingles are counted in, and common shingles that come last in the order, at most.  They
+#: decide how many pairs are compared in vain; the pairs found are exact whatever the order.
+SAMPLE, COMMON = 10_000, 200_000
+#: Orders in which classes that share a shingle have a leader.
+ORDERS = 4
+#: Hashes whose bits are counted at a time.
 _PIECE = 1 << 14
 
 
@@ -59,53 +62,116 @@ def fingerprint(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A number for each band: equal if the minima of its orders are."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(own), _PIECE):
-        some = own[start : start + _PIECE]
-        for i in range(BANDS * ROWS):
-            mixed = (some ^ _SHIFTS[i]) * _FACTORS[i]
-            least[i] = min(least[i], (mixed ^ (mixed >> np.uint64(29))).min())
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+def beginning(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """As many shingles, in the order of all, as two sets of a similarity of ``least`` can't both have without sharing one."""
+    if not len(own):
+        return own
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        values, ranks = common
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        rank = np.where(values[at] == own, ranks[at].astype(np.int64), 0)
+    return own[np.argsort(rank, kind="stable")][: len(own) - _needed(least, len(own)) + 1]
+
+
+def _needed(least: float, n: int) -> int:
+    """Shingles that a set of ``n`` shares with any other of a similarity of ``least``, at least."""
+    return int(np.ceil(least * n - 1e-9))
+
+
+def common_shingles(docs: DataFrame, text: str, size: int, seed: int) -> np.ndarray:
+    """The shingles that several texts of a sample hold, ascending, and their ranks from 1, the most frequent last."""
+    own = docs.select(F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = own.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, size, seed).view(np.int64))], ["shingle"])
+
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow().column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    return np.stack([found[order], (len(found) - order).astype(np.uint64)]) if len(found) else np.empty(0, np.uint64)
 
 
-def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int) -> DataFrame:
-    """``id``, ``class``, ``fp`` and ``bands`` of every row, beside the whole ``row`` and the hash of its text."""
+def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least: float = 0.8) -> DataFrame:
+    """``id``, ``class``, ``fp``, ``n`` (shingles) and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
     row = F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
     own = F.col(f"`{text}`").cast("string")
     held = docs.select(own.alias("text"), F.col(f"`{key}`").cast("long").alias("id"), row.alias("row"))
-    kinds = [T.StructField("class", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*held.schema.fields[1:], *kinds])
+    kinds = [("class", T.BinaryType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("first", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*held.schema.fields[1:], *(T.StructField(n, k) for n, k in kinds)])
+    common = common_shingles(docs, text, size, seed)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = [shingles(t, size, seed) for t in batch.column("text").to_pylist()]
             prints = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64), pa.int64())
-            made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([bands(s).tolist() for s in sets], pa.list_(pa.int64()))]
+            first = pa.array([beginning(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), first]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], schema.names)
 
     return held.mapInArrow(run, schema)
 
 
-def candidate_pairs(classes: DataFrame, radius: int) -> DataFrame:
-    """``a``, ``b``: pairs of classes to be compared, each once."""
+def shared_shingles(classes: DataFrame) -> DataFrame:
+    """``shingle``, ``short``, ``n``, ``at`` and ``leader`` of every shingle at place ``at`` of a beginning that other beginnings hold, too.
+
+    ``short`` stands for the class; should two classes have the same, both are compared.
+    """
+    # the size and the place in one number: this is the largest shuffle
+    placed = classes.select(F.xxhash64("class").alias("short"), F.col("n").cast("long").alias("n"), F.posexplode("first").alias("at", "shingle"))
+    packed = placed.select("shingle", "short", (F.shiftleft("n", 32) + F.col("at")).alias("packed"))
+    alike = Window.partitionBy("shingle")
+    order = F.struct(F.xxhash64(F.pmod("shingle", F.lit(ORDERS)), "short").alias("order"), "short")
+    held = packed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1")
+    return held.select("shingle", "short", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "leader")
+
+
+def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int) -> DataFrame:
+    """``a``, ``b``: pairs of classes to be compared first, each once."""
     # fingerprints within the radius, each by the first class that has it; and classes that share one
     first = written(classes.groupBy("fp").agg(F.min("class").alias("first")), "fingerprints-of-classes")
     same = classes.join(first, "fp").select(F.col("class").alias("a"), F.col("first").alias("b"))
     links = simhash.near_links(first.select("fp"), radius)
     ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"class_{c}")) for c in ("a", "b")]
     near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-    banded = classes.select("class", F.posexplode("bands").alias("band", "value"))
-    order = F.struct(F.xxhash64("band", "class").alias("order"), "class")
-    leaders = written(banded.groupBy("band", "value").agg(F.min(order)["class"].alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1), "leaders")
-    led = banded.join(leaders, ["band", "value"]).select(F.col("class").alias("a"), F.col("leader").alias("b"))
-    every = same.union(near).union(led).where("a <> b")
+    # what shares little with a leader is left to the second comparison
+    led = shared.where("short <> leader").groupBy(F.col("short").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    every = same.union(near).union(_named(led.where("50 * c >= n").select("a", "b"), classes)).where("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """``a``, ``b``: all pairs of classes of different roots whose beginnings leave a similarity of ``least`` possible."""
+    rooted = classes.select(F.xxhash64("class").alias("short"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    # of classes that share a name of 64 bits each has its own root, so that none is taken for joined
+    of = rooted.groupBy("short").agg(F.min(F.coalesce("root", "class")).alias("root"), F.count("*").alias("named"))
+    held = shared.join(of, "short").select("shingle", "short", "n", "at", F.when(F.col("named") == 1, F.xxhash64("root")).otherwise(F.xxhash64("short")).alias("root"))
+    # shingles of which all holders are joined are done
+    several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest").select("shingle")
+    held = written(held.join(several, "shingle"), "shared-by-unlinked")
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "at", "root"))) for end in "ab")
+    fits = F.col("n_a") >= F.lit(least) * F.col("n_b") - F.lit(1e-9)
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("short_a") < F.col("short_b")))
+    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & ordered & fits)
+    # of two sets the beginning that ends first shares all it can in this place, and what follows it may be shared as a whole
+    counted = both.groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b")).agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("n_a").alias("n_a"))
+    most = F.col("c") + F.ceil(F.lit(least) * F.col("n_b") - F.lit(1e-9)) - 1
+    possible = most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    return _named(counted.where(possible).select("a", "b"), classes).where("a <> b").distinct()
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes of pairs of short names."""
+    ends = [classes.select(F.xxhash64("class").alias(c), F.col("class").alias(f"class_{c}")) for c in ("a", "b")]
+    return pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
 def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float) -> DataFrame:
     """The pairs whose sets have a similarity of ``least`` or more.  ``texts`` has a ``text`` of each ``class``."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
@@ -137,18 +203,27 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: flo
 
 def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float) -> DataFrame:
     """``class`` and ``root``: one root for all classes that links join."""
-    classes = written(rows.groupBy("class").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
-    pairs = written(candidate_pairs(classes, radius), "candidate-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = rows.select("class", F.col(f"row._{text_at}").cast("string").alias("text")).join(needed, "class", "left_semi")
-    texts = texts.groupBy("class").agg(F.min("text").alias("text"))
-    roots = simhash.components(checked(pairs, texts, size, seed, least))
+    classes = written(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first"))), "classes")
+    shared = written(shared_shingles(classes), "shared-shingles")
+    classes = classes.select("class", "fp")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        texts = rows.select("class", F.col(f"row._{text_at}").cast("string").alias("text")).join(needed, "class", "left_semi")
+        texts = texts.groupBy("class").agg(F.min("text").alias("text"))
+        return written(checked(pairs, texts, size, seed, least), "links-of-classes")
+
+    first = links(written(candidate_pairs(classes, shared, radius), "candidate-pairs"))
+    roots = simhash.components(first)
+    rest = written(remaining_pairs(classes, shared, roots, least), "remaining-pairs")
+    if not rest.isEmpty():
+        roots = simhash.components(first.union(links(rest)))
     return classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"))
 
 
 def one_of_each(docs: DataFrame, key: str, text: str, size: int = 5, least: float = 0.8, radius: int = 4, seed: int = 42) -> DataFrame:
     """Of texts that links join the row with the smallest key (null last), then the smallest hash of its text."""
-    rows = written(sketches(docs, key, text, size, seed), "sketches")
+    rows = written(sketches(docs, key, text, size, seed, least), "sketches")
     at = docs.columns.index(text)
     order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(f"row._{at}"), F.xxhash64("row"))
     # the first row of each class, and then of each group of classes: of a large class a task sends one row on
