@@ -1,8 +1,10 @@
 """Texts and files in pieces, and sessions on a stream, against whole scans."""
 
+import datetime
 import random
 import re
 import re._parser as parser
+from collections import Counter
 
 import pytest
 
@@ -13,6 +15,7 @@ from tracesift.operators.pieces import MARGIN, SEPARATORS, cut_after, cut_texts,
 from tracesift.operators.scan import scan_column
 from tracesift.sources.readers import read_text_lines, read_text_pieces
 from tracesift.streaming.scan_stream import start_append
+from tracesift.streaming import sessions
 from tracesift.streaming.sessions import scan_sessions
 
 PATTERNS = [p for _, p, _ in data.TOKEN_RULES] + [data.IBAN_BODY, data.CARD_BODY, data.PHONE_BODY]
@@ -171,6 +174,21 @@ def test_an_open_session_gives_what_is_closed(spark, tmp_path):
     assert got == {("a", "github-pat", 2), (None, "credit_card", 0)}
 
 
+def test_many_sessions_are_few_calls(spark, tmp_path):
+    """Of thousands of sessions each gets its own findings, by no more calls of Python than there are buckets."""
+    keys = "a BIGINT, b STRING, `c.d` DATE"
+    own = [(2**60 + i if i else None, f'"é\\{i % 50}', datetime.date(2024, 1, 1 + i % 28)) for i in range(6000)]
+    rows = [(*key, n, p, n == 1) for i, key in enumerate(own) for n, p in enumerate((f"{i} {GH[:9]}", GH[9:]))]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.createDataFrame(rows, f"{keys}, number INT, piece STRING, last BOOLEAN").repartition(2, "number").write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    query = start_append(scan_sessions(stream, ["a", "b", "c.d"], "number", "piece", "last"), out, state, availableNow=True)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= sessions.BUCKETS
+    got = Counter((r.a, r.b, r["c.d"]) for r in spark.read.parquet(out).collect())
+    assert got == Counter(own)
+
+
 def test_pieces_of_a_table_with_odd_names(spark):
     df = spark.createDataFrame([(1, "x", f"a b {GH}"), (None, "y", f"{CARD} é")], "`k.1` INT, m STRING, `text` STRING")
     found = scan_pieces(cut_texts(df, ["k.1", "m"], "text", 2), ["k.1", "m"])
