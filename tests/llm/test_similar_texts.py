@@ -1,9 +1,11 @@
 """Near duplicates among many texts that are nearly near duplicates."""
 
+import os
 import random
 
 from tests.llm import odd
 from tracesift.llm import similar_texts
+from tracesift.llm.common import written
 
 
 def test_no_pair_is_lost_among_texts_that_are_nearly_alike(spark):
@@ -19,3 +21,34 @@ def test_no_pair_is_lost_among_texts_that_are_nearly_alike(spark):
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(8)
     kept = similar_texts.one_of_each(docs, "doc_id", "text")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots)) == list(range(0, 120, 2))
+
+
+def shuffle_files(spark):
+    return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(",").count("shuffle_")
+
+
+def test_neither_shuffle_files_nor_tables_in_between_stay(spark):
+    rows = [(i, f"{' '.join(f'w{i % 40}.{k}' for k in range(60))} {i % 3}") for i in range(200)]
+    docs = written(spark.createDataFrame(rows, "doc_id LONG, text STRING"), "some-texts")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    tables, files = set(os.listdir(folder)), shuffle_files(spark)
+    kept = similar_texts.one_of_each(docs, "doc_id", "text")
+    assert {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - tables} == {"chosen-rows"}
+    assert shuffle_files(spark) <= files
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+
+
+def test_equal_rows_leave_one(spark):
+    rows = [(None, "a b"), (None, "a b"), (None, None), (0, ""), (0, ""), (7, "a b c d e f"), (7, "a b c d e f"), (7, "A b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)
+    kept = [tuple(r) for r in similar_texts.one_of_each(docs, "doc_id", "text").collect()]
+    assert len(kept) == 3 and (None, "a b") in kept and (0, "") in kept and {i for i, _ in kept} == {None, 0, 7}
+
+
+def test_no_wanted_row_is_left_out_before_a_join(spark):
+    rows = spark.range(50_000).selectExpr("concat('t', id) AS digest", "id")
+    wanted = rows.where("id % 7 = 0").select("digest")
+    found = {r.id for r in similar_texts.likely(rows, "digest", wanted).collect()}
+    needed = set(range(0, 50_000, 7))
+    assert found >= needed and len(found - needed) < 0.1 * (50_000 - len(needed))
+    assert similar_texts.likely(rows, "digest", wanted.where("false")).count() == 0

@@ -4,16 +4,19 @@ import ctypes
 import ctypes.util
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesift.sources.scratch import shared_path
+from tracesift.sources.scratch import PASSING, remove, shared_path
 
 #: Bytes of text that a Python task holds as one piece of work.
 CHUNK_BYTES = 4 << 20
+#: Whether shuffle files go when the rows that need them are made, not when the driver happens to collect its garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +26,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df`` as a table in the shared folder.
 
-    It cuts the lineage: what follows reads files that outlive any executor.
+    It cuts the lineage: what follows reads files that outlive any executor.  The shuffles that led there are freed.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, path = df.sparkSession.conf, shared_path(df.sparkSession, name)
+    before = conf.get(_FREE_SHUFFLES, None)
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_FREE_SHUFFLES) if before is None else conf.set(_FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is written within the block is removed at its end, except by the function that it gives, which is ``written`` otherwise."""
+    own: list[str] = []
+    outer = PASSING.get()
+    token = PASSING.set(own)
+
+    def lasting(df: DataFrame, name: str) -> DataFrame:
+        inner = PASSING.set(outer)
+        try:
+            return written(df, name)
+        finally:
+            PASSING.reset(inner)
+
+    try:
+        yield lasting
+    finally:
+        PASSING.reset(token)
+        for path in own:
+            remove(path)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices whose ``column`` holds about ``limit`` bytes; a longer value stays whole."""
     for batch in batches:

@@ -14,27 +14,32 @@ chain of links has joined so far, unless the shared shingles and the sizes rule
 Every candidate pair is checked: the shingle sets of both are made again from a text of each class and intersected.  Only links
 that pass count, so nothing is joined that isn't alike.
 
+Texts are not written again: the table is read for the sketches, for the texts of pairs and for the rows that stay, so it must give
+the same rows each time, as files do.  Tables in between go as soon as the links are known.
+
 Inputs: null texts and texts without words are one class.  Repeated ids and rows all are in their class; null ids come last.
 An empty table gives an empty table; all columns come along as they are, whatever their names.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracesift.llm import simhash
-from tracesift.llm.common import chunks, frugal, written
+from tracesift.llm.common import chunks, frugal, passing, written
 
 #: Distinct texts, about, that common shingles are counted in, and common shingles that come last in the order, at most.  They
 #: decide how many pairs are compared in vain; the pairs found are exact whatever the order.
 SAMPLE, COMMON = 10_000, 200_000
 #: Orders in which classes that share a shingle have a leader.
 ORDERS = 4
+#: Bits of the bitmap by which texts that no pair needs are left out before a join, at most; beyond a sixteenth as many needed texts
+#: more others come along.
+MOST_MARKS = 1 << 25
 #: Hashes whose bits are counted at a time.
 _PIECE = 1 << 14
 
@@ -99,37 +104,70 @@ def common_shingles(docs: DataFrame, text: str, size: int, seed: int) -> np.ndar
 
 def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least: float = 0.8) -> DataFrame:
     """``id``, ``class``, ``fp``, ``n`` (shingles) and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
-    row = F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
-    own = F.col(f"`{text}`").cast("string")
-    held = docs.select(own.alias("text"), F.col(f"`{key}`").cast("long").alias("id"), row.alias("row"))
-    kinds = [("class", T.BinaryType()), ("fp", T.LongType()), ("n", T.IntegerType()), ("first", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*held.schema.fields[1:], *(T.StructField(n, k) for n, k in kinds)])
     common = common_shingles(docs, text, size, seed)
 
     @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            sets = [shingles(t, size, seed) for t in batch.column("text").to_pylist()]
-            prints = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64), pa.int64())
-            first = pa.array([beginning(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), first]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], schema.names)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            parts = [_sketched(c.column("text"), common, size, seed, least) for c in chunks([pa.record_batch([column], ["text"])], "text")]
+            yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH)
+
+    # a function of the text alone: where it isn't asked for, the rows don't go through Python
+    sketch = F.arrow_udf(run, "class binary, fp long, n int, first array<bigint>")
+    own = sketch(F.col(f"`{text}`").cast("string")).alias("made")
+    held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _row(docs).alias("row"), own)
+    return held.select("id", "row", *(F.col(f"made.{c}").alias(c) for c in ("class", "fp", "n", "first")))
+
+
+_SKETCH = pa.struct([("class", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("first", pa.list_(pa.int64()))])
+
+
+def _sketched(texts: pa.Array, common: np.ndarray, size: int, seed: int, least: float) -> pa.StructArray:
+    sets = [shingles(t, size, seed) for t in texts.to_pylist()]
+    prints = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64), pa.int64())
+    first = pa.array([beginning(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
+    made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), first]
+    return pa.StructArray.from_arrays(made, fields=list(_SKETCH))
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)))
 
-    return held.mapInArrow(run, schema)
+
+def _digest(text: Column) -> Column:
+    """What names a text; null and empty ones are of one class."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def _classes(rows: DataFrame, text_at: int, *others: Column) -> DataFrame:
+    """Each class once, with the ``digest`` of one of its texts."""
+    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first")), F.min(_digest(F.col(f"row._{text_at}"))).alias("digest"), *others)
+
+
+def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """All rows whose ``column`` is a value of ``wanted``, and few others: a join behind it moves few rows in vain.
+
+    The values' hashes are marked in a bitmap of ``MOST_MARKS`` bits at most, in pieces of 4 KB.
+    """
+    marks = max(1 << 15, min(MOST_MARKS, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(marks))
+    piece, bit = F.shiftright(place, 15).alias("_piece"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("_bit")
+    marked = wanted.select(piece, bit).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = rows.select("*", piece, bit).join(F.broadcast(marked), "_piece").where(F.getbit(byte, F.col("_bit").bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return found.select(*rows.columns)
 
 
 def shared_shingles(classes: DataFrame) -> DataFrame:
-    """``shingle``, ``short``, ``n``, ``at`` and ``leader`` of every shingle at place ``at`` of a beginning that other beginnings hold, too.
+    """``shingle``, ``short`` and ``leader`` of every shingle of a beginning that other beginnings hold, too.
 
     ``short`` stands for the class; should two classes have the same, both are compared.
     """
-    # the size and the place in one number: this is the largest shuffle
-    placed = classes.select(F.xxhash64("class").alias("short"), F.col("n").cast("long").alias("n"), F.posexplode("first").alias("at", "shingle"))
-    packed = placed.select("shingle", "short", (F.shiftleft("n", 32) + F.col("at")).alias("packed"))
+    # two numbers and no more: this is the largest shuffle
+    placed = classes.select(F.explode("first").alias("shingle"), F.xxhash64("class").alias("short"))
     alike = Window.partitionBy("shingle")
     order = F.struct(F.xxhash64(F.pmod("shingle", F.lit(ORDERS)), "short").alias("order"), "short")
-    held = packed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1")
-    return held.select("shingle", "short", F.shiftright("packed", 32).alias("n"), F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "leader")
+    return placed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1").drop("holders")
 
 
 def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int) -> DataFrame:
@@ -141,28 +179,32 @@ def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int) -> DataF
     ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"class_{c}")) for c in ("a", "b")]
     near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     # what shares little with a leader is left to the second comparison
-    led = shared.where("short <> leader").groupBy(F.col("short").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    every = same.union(near).union(_named(led.where("50 * c >= n").select("a", "b"), classes)).where("a <> b")
+    led = shared.where("short <> leader").groupBy(F.col("short").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
+    most = classes.groupBy(F.xxhash64("class").alias("a")).agg(F.min("n").alias("n"))
+    every = same.union(near).union(_named(led.join(most, "a").where("50 * c >= n").select("a", "b"), classes)).where("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """``a``, ``b``: all pairs of classes of different roots whose beginnings leave a similarity of ``least`` possible."""
-    rooted = classes.select(F.xxhash64("class").alias("short"), "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    # of classes that share a name of 64 bits each has its own root, so that none is taken for joined
-    of = rooted.groupBy("short").agg(F.min(F.coalesce("root", "class")).alias("root"), F.count("*").alias("named"))
-    held = shared.join(of, "short").select("shingle", "short", "n", "at", F.when(F.col("named") == 1, F.xxhash64("root")).otherwise(F.xxhash64("short")).alias("root"))
+    rooted = classes.select(F.xxhash64("class").alias("short"), "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    # classes that share a name of 64 bits have no size, and a root that no other has, so that none is ruled out or taken for joined
+    alone = F.count("*") == 1
+    root = F.when(alone, F.xxhash64(F.min(F.coalesce("root", "class")))).otherwise(F.xxhash64("short"))
+    of = rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"))
+    held = shared.select("shingle", "short").join(of, "short")
     # shingles of which all holders are joined are done
     several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest").select("shingle")
     held = written(held.join(several, "shingle"), "shared-by-unlinked")
-    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "at", "root"))) for end in "ab")
-    fits = F.col("n_a") >= F.lit(least) * F.col("n_b") - F.lit(1e-9)
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("short_a") < F.col("short_b")))
-    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & ordered & fits)
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "root"))) for end in "ab")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    known = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
+    fits = ~known | (small >= F.lit(least) * large - F.lit(1e-9))
+    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits)
     # of two sets the beginning that ends first shares all it can in this place, and what follows it may be shared as a whole
     counted = both.groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b")).agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("n_a").alias("n_a"))
-    most = F.col("c") + F.ceil(F.lit(least) * F.col("n_b") - F.lit(1e-9)) - 1
-    possible = most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6)
+    most = F.col("c") + F.ceil(F.lit(least) * large - F.lit(1e-9)) - 1
+    possible = ~known | (most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6))
     return _named(counted.where(possible).select("a", "b"), classes).where("a <> b").distinct()
 
 
@@ -173,9 +215,7 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float) -> DataFrame:
-    """The pairs whose sets have a similarity of ``least`` or more.  ``texts`` has a ``text`` of each ``class``."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    wanted = texts.join(needed, "class")
+    """The pairs whose sets have a similarity of ``least`` or more.  ``texts`` has a ``text`` of each ``class`` in them."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +224,7 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: flo
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "own"])
 
     # written, so that Spark may split the pairs of one class over several tasks when it joins them
-    made = written(wanted.select("class", "text").mapInArrow(run, "class binary, own array<bigint>"), "shingle-sets")
+    made = written(texts.select("class", "text").mapInArrow(run, "class binary, own array<bigint>"), "shingle-sets")
     sets = [made.select(F.col("class").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
     both = pairs.join(sets[0], "a").join(sets[1], "b")
 
@@ -203,30 +243,42 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: flo
 
 def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float) -> DataFrame:
     """``class`` and ``root``: one root for all classes that links join."""
-    classes = written(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first"))), "classes")
-    shared = written(shared_shingles(classes), "shared-shingles")
-    classes = classes.select("class", "fp")
+    with passing() as lasting:
+        return _rooted(written(_classes(rows, text_at), "classes"), rows, text_at, size, seed, radius, least, lasting)
+
+
+def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    shared, classes = written(shared_shingles(found), "shared-shingles"), found.select("class", "fp", "n", "digest")
+    texts = rows.select(F.col(f"row._{text_at}").cast("string").alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        texts = rows.select("class", F.col(f"row._{text_at}").cast("string").alias("text")).join(needed, "class", "left_semi")
-        texts = texts.groupBy("class").agg(F.min("text").alias("text"))
-        return written(checked(pairs, texts, size, seed, least), "links-of-classes")
+        with passing() as lasting:
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            wanted = written(classes.select("class", "digest").join(needed, "class"), "wanted-texts")
+            own = likely(texts, "digest", wanted).groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
+            return lasting(checked(pairs, own, size, seed, least), "links-of-classes")
 
     first = links(written(candidate_pairs(classes, shared, radius), "candidate-pairs"))
     roots = simhash.components(first)
     rest = written(remaining_pairs(classes, shared, roots, least), "remaining-pairs")
     if not rest.isEmpty():
         roots = simhash.components(first.union(links(rest)))
-    return classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"))
+    every = classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    return put(every.select("class", F.coalesce("root", "class").alias("root")), "roots-of-classes")
 
 
 def one_of_each(docs: DataFrame, key: str, text: str, size: int = 5, least: float = 0.8, radius: int = 4, seed: int = 42) -> DataFrame:
     """Of texts that links join the row with the smallest key (null last), then the smallest hash of its text."""
-    rows = written(sketches(docs, key, text, size, seed, least), "sketches")
     at = docs.columns.index(text)
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64(f"row._{at}"), F.xxhash64("row"))
-    # the first row of each class, and then of each group of classes: of a large class a task sends one row on
-    firsts = rows.groupBy("class").agg(F.min(order).alias("order"), F.min_by("row", order).alias("row"))
-    grouped = firsts.join(classed(rows, at, size, seed, radius, least), "class").groupBy("root").agg(F.min_by("row", "order").alias("row"))
-    return grouped.select(*(F.col(f"row._{i}").alias(c) for i, c in enumerate(docs.columns)))
+    rows = sketches(docs, key, text, size, seed, least)
+    # what orders the rows names them, too: those that it can't tell apart are equal
+    order = [F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.xxhash64(f"row._{at}"), F.xxhash64("row")]
+    names = [f"_o{i}" for i in range(len(order))]
+    order = [o.alias(n) for o, n in zip(order, names, strict=True)]
+    with passing() as lasting:
+        classes = written(_classes(rows, at, F.min(F.struct(*order)).alias("order")), "classes")
+        roots = _rooted(classes, rows, at, size, seed, radius, least, written)
+        firsts = classes.select("class", "order").join(roots, "class").groupBy("root").agg(F.min("order").alias("order"))
+        chosen = lasting(firsts.select(*(F.col(f"order.{n}").alias(n) for n in names)), "chosen-rows")
+    kept = rows.select("row", *order).join(chosen, names, "left_semi").dropDuplicates(names)
+    return kept.select(*(F.col(f"row._{i}").alias(c) for i, c in enumerate(docs.columns)))

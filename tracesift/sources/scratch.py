@@ -4,9 +4,13 @@ import atexit
 import tempfile
 import uuid
 import warnings
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
+#: Paths given out within a block whose tables go at its end (``common.passing``).
+PASSING: ContextVar[list[str] | None] = ContextVar("PASSING", default=None)
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
@@ -21,6 +25,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
         base = _own_folder()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, path)
+    if (passing := PASSING.get()) is not None:
+        passing.append(path)
     return path
 
 
