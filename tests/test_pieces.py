@@ -14,6 +14,7 @@ from tracesift.operators import rule_data as data
 from tracesift.operators.pieces import MARGIN, SEPARATORS, cut_after, cut_texts, scan_pieces
 from tracesift.operators.scan import scan_column
 from tracesift.sources.readers import read_text_lines, read_text_pieces
+from tracesift.sources.writers import write_blocks
 from tracesift.streaming.scan_stream import start_append
 from tracesift.streaming import sessions
 from tracesift.streaming.sessions import scan_sessions
@@ -193,3 +194,13 @@ def test_pieces_of_a_table_with_odd_names(spark):
     df = spark.createDataFrame([(1, "x", f"a b {GH}"), (None, "y", f"{CARD} é")], "`k.1` INT, m STRING, `text` STRING")
     found = scan_pieces(cut_texts(df, ["k.1", "m"], "text", 2), ["k.1", "m"])
     assert {tuple(r) for r in found.collect()} == {(1, "x", "github-pat", GH, 4, 44), (None, "y", "credit_card", CARD, 0, 16)}
+
+
+def test_blocks_are_written_by_the_tasks(spark, tmp_path):
+    rows = [(1, "a\nb"), (1, ""), (2, "é"), (1, "c")]
+    df = spark.createDataFrame(rows, "block LONG, text STRING").coalesce(1)
+    write_blocks(df.sortWithinPartitions("block", "text"), f"file://{tmp_path}/made")
+    write_blocks(df.where("false"), f"file://{tmp_path}/none")
+    found = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {"made/block=1/part.txt": b"\na\nb\nc\n", "made/block=2/part.txt": "é\n".encode()}
+    assert read_text_pieces(spark, f"{tmp_path}/none").count() == 0

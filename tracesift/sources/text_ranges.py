@@ -87,7 +87,7 @@ class RangeReader(DataSourceReader):
                     held = 0
                 dealt[-1].parts.append(part)
                 held += part.end - part.start + OPEN_BYTES
-        return dealt
+        return dealt or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(self.path)
