@@ -52,3 +52,19 @@ def test_no_wanted_row_is_left_out_before_a_join(spark):
     needed = set(range(0, 50_000, 7))
     assert found >= needed and len(found - needed) < 0.1 * (50_000 - len(needed))
     assert similar_texts.likely(rows, "digest", wanted.where("false")).count() == 0
+
+
+def test_pairs_of_a_group_that_is_not_alike_are_not_handed_on(spark):
+    """A family of 150 texts: those of one pair have a similarity of 0.82, all others one of 0.75, and all share most of what they begin with."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(2 * g + v, " ".join([*base, *(f"g{g}.{i}" for i in range(10)), *(f"v{g}.{v}.{i}" for i in range(22))])) for g in range(75) for v in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = written(similar_texts._classes(similar_texts.sketches(docs, "doc_id", "text", 5, 42), 1), "some-classes")
+    shared = written(similar_texts.shared_shingles(found), "some-shared")
+    none = spark.createDataFrame([], "node binary, root binary")
+    pairs = similar_texts.remaining_pairs(found.drop("first"), shared, none, 0.8)
+    name = {similar_texts.class_of(similar_texts.shingles(t, 5, 42)): i for i, t in rows}
+    got = {frozenset((name[bytes(r.a)], name[bytes(r.b)])) for r in pairs.collect()}
+    assert {frozenset((2 * g, 2 * g + 1)) for g in range(75)} <= got
+    assert len(got) < 10 * len(rows)  # of 11,175 pairs

@@ -9,7 +9,10 @@ class.  Two classes are linked if their sets have a Jaccard similarity of 0.8 or
 
 The beginnings are compared twice.  First each class with the leaders (``ORDERS`` of them) of the classes that share its
 shingles, which joins large groups of near copies by few comparisons.  Then every pair that shares a shingle and that no
-chain of links has joined so far, unless the shared shingles and the sizes rule 0.8 out.  So no pair of 0.8 or more stays apart.
+chain of links has joined so far, unless the shared shingles and the sizes rule 0.8 out, or the parity marks do: a set's shingles
+toggle one of ``MARKS`` bits each, so two sets differ in as many shingles as their marks in bits, at least.  The join that finds the
+pairs judges the marks, so that of a large group of copies that are not quite alike it hands on next to nothing.  So no pair of
+0.8 or more stays apart.
 
 Every candidate pair is checked: the shingle sets of both are made again from a text of each class and intersected.  Only links
 that pass count, so nothing is joined that isn't alike.
@@ -22,6 +25,7 @@ An empty table gives an empty table; all columns come along as they are, whateve
 """
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,10 @@ from tracesift.llm.common import chunks, frugal, passing, written
 SAMPLE, COMMON = 10_000, 200_000
 #: Orders in which classes that share a shingle have a leader.
 ORDERS = 4
+#: Bits of a set's parity marks, by 64.  They decide how many pairs are compared in vain.
+MARKS = 1024
+#: Holders of a shingle from which on their marks are compared, too; fewer make few pairs.
+FEW = 4
 #: Bits of the bitmap by which texts that no pair needs are left out before a join, at most; beyond a sixteenth as many needed texts
 #: more others come along.
 MOST_MARKS = 1 << 25
@@ -67,6 +75,12 @@ def fingerprint(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
 
 
+def parity_marks(own: np.ndarray) -> np.ndarray:
+    """Which of ``MARKS`` classes of hashes hold an odd number of the shingles, as bits of 64-bit integers."""
+    odd = np.bincount((own % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def beginning(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
     """As many shingles, in the order of all, as two sets of a similarity of ``least`` can't both have without sharing one."""
     if not len(own):
@@ -103,7 +117,7 @@ def common_shingles(docs: DataFrame, text: str, size: int, seed: int) -> np.ndar
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least: float = 0.8) -> DataFrame:
-    """``id``, ``class``, ``fp``, ``n`` (shingles) and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
+    """``id``, ``class``, ``fp``, ``n`` (shingles), ``marks`` and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
     common = common_shingles(docs, text, size, seed)
 
     @frugal
@@ -113,20 +127,21 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least:
             yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH)
 
     # a function of the text alone: where it isn't asked for, the rows don't go through Python
-    sketch = F.arrow_udf(run, "class binary, fp long, n int, first array<bigint>")
+    sketch = F.arrow_udf(run, "class binary, fp long, n int, marks array<bigint>, first array<bigint>")
     own = sketch(F.col(f"`{text}`").cast("string")).alias("made")
     held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _row(docs).alias("row"), own)
-    return held.select("id", "row", *(F.col(f"made.{c}").alias(c) for c in ("class", "fp", "n", "first")))
+    return held.select("id", "row", *(F.col(f"made.{c}").alias(c) for c in ("class", "fp", "n", "marks", "first")))
 
 
-_SKETCH = pa.struct([("class", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("first", pa.list_(pa.int64()))])
+_SKETCH = pa.struct([("class", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("marks", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
 
 
 def _sketched(texts: pa.Array, common: np.ndarray, size: int, seed: int, least: float) -> pa.StructArray:
     sets = [shingles(t, size, seed) for t in texts.to_pylist()]
     prints = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64), pa.int64())
     first = pa.array([beginning(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-    made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), first]
+    marks = pa.array([parity_marks(s) for s in sets], pa.list_(pa.int64()))
+    made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), marks, first]
     return pa.StructArray.from_arrays(made, fields=list(_SKETCH))
 
 
@@ -141,7 +156,7 @@ def _digest(text: Column) -> Column:
 
 def _classes(rows: DataFrame, text_at: int, *others: Column) -> DataFrame:
     """Each class once, with the ``digest`` of one of its texts."""
-    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "first")), F.min(_digest(F.col(f"row._{text_at}"))).alias("digest"), *others)
+    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "marks", "first")), F.min(_digest(F.col(f"row._{text_at}"))).alias("digest"), *others)
 
 
 def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -170,7 +185,7 @@ def shared_shingles(classes: DataFrame) -> DataFrame:
     return placed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1").drop("holders")
 
 
-def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int) -> DataFrame:
+def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int, least: float = 0.8) -> DataFrame:
     """``a``, ``b``: pairs of classes to be compared first, each once."""
     # fingerprints within the radius, each by the first class that has it; and classes that share one
     first = written(classes.groupBy("fp").agg(F.min("class").alias("first")), "fingerprints-of-classes")
@@ -181,37 +196,54 @@ def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int) -> DataF
     # what shares little with a leader is left to the second comparison
     led = shared.where("short <> leader").groupBy(F.col("short").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
     most = classes.groupBy(F.xxhash64("class").alias("a")).agg(F.min("n").alias("n"))
-    every = same.union(near).union(_named(led.join(most, "a").where("50 * c >= n").select("a", "b"), classes)).where("a <> b")
+    every = same.union(near).union(_named(led.join(most, "a").where("50 * c >= n").select("a", "b"), classes, least)).where("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """``a``, ``b``: all pairs of classes of different roots whose beginnings leave a similarity of ``least`` possible."""
-    rooted = classes.select(F.xxhash64("class").alias("short"), "class", "n").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    rooted = classes.select(F.xxhash64("class").alias("short"), "class", "n", "marks").join(roots.withColumnRenamed("node", "class"), "class", "left")
     # classes that share a name of 64 bits have no size, and a root that no other has, so that none is ruled out or taken for joined
     alone = F.count("*") == 1
     root = F.when(alone, F.xxhash64(F.min(F.coalesce("root", "class")))).otherwise(F.xxhash64("short"))
-    of = rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"))
-    held = shared.select("shingle", "short").join(of, "short")
+    of = written(rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"), F.when(alone, F.first("marks")).alias("marks")), "unlinked")
+    held = shared.select("shingle", "short").join(of.select("short", "n", "root"), "short")
     # shingles of which all holders are joined are done
-    several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).where("lowest <> highest").select("shingle")
-    held = written(held.join(several, "shingle"), "shared-by-unlinked")
-    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "root"))) for end in "ab")
+    several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("holders")).where("lowest <> highest")
+    marked = of.select(F.col("short").alias("of"), *_marks())
+    names = marked.columns[1:]
+    held = held.join(several.select("shingle", "holders"), "shingle")
+    held = held.join(marked, (F.col("short") == F.col("of")) & (F.col("holders") >= FEW), "left").drop("of", "holders")
+    held = written(held, "shared-by-unlinked")
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "root", *names))) for end in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     known = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
     fits = ~known | (small >= F.lit(least) * large - F.lit(1e-9))
-    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits)
+    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits & _near(least))
     # of two sets the beginning that ends first shares all it can in this place, and what follows it may be shared as a whole
     counted = both.groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b")).agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("n_a").alias("n_a"))
     most = F.col("c") + F.ceil(F.lit(least) * large - F.lit(1e-9)) - 1
     possible = ~known | (most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6))
-    return _named(counted.where(possible).select("a", "b"), classes).where("a <> b").distinct()
+    return _named(counted.where(possible).select("a", "b"), classes, least).where("a <> b").distinct()
+
+
+def _marks() -> list[Column]:
+    """A column for each 64 bits: expressions on these are compiled."""
+    return [F.col("marks")[i].alias(f"m{i}") for i in range(MARKS // 64)]
+
+
+def _near(least: float) -> Column:
+    """Whether the marks of ``a`` and ``b`` leave a similarity of ``least`` possible; so do marks or sizes that aren't known."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(MARKS // 64)])
+    return F.coalesce(apart <= F.lit((1 - least) / (1 + least)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6), F.lit(True))
 
 
-def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes of pairs of short names."""
-    ends = [classes.select(F.xxhash64("class").alias(c), F.col("class").alias(f"class_{c}")) for c in ("a", "b")]
-    return pairs.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+def _named(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The classes of pairs of short names, without the pairs that their marks rule out."""
+    held = classes.select(F.xxhash64("class").alias("short"), "class", "n", *_marks())
+    ends = [held.select(F.col("short").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in held.columns[1:])) for c in ("a", "b")]
+    both = pairs.join(ends[0], "a").join(ends[1], "b").where(_near(least))
+    return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
 def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float) -> DataFrame:
@@ -248,7 +280,7 @@ def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, le
 
 
 def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    shared, classes = written(shared_shingles(found), "shared-shingles"), found.select("class", "fp", "n", "digest")
+    shared, classes = written(shared_shingles(found), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
     texts = rows.select(F.col(f"row._{text_at}").cast("string").alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -258,7 +290,7 @@ def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: in
             own = likely(texts, "digest", wanted).groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
             return lasting(checked(pairs, own, size, seed, least), "links-of-classes")
 
-    first = links(written(candidate_pairs(classes, shared, radius), "candidate-pairs"))
+    first = links(written(candidate_pairs(classes, shared, radius, least), "candidate-pairs"))
     roots = simhash.components(first)
     rest = written(remaining_pairs(classes, shared, roots, least), "remaining-pairs")
     if not rest.isEmpty():
