@@ -88,3 +88,12 @@ def test_empty_tables_and_odd_names(spark):
     assert sorted((r[0] or "", r[1], r.n_a) for r in got.collect()) == [("", 2, 0), ("a", 1, 0), ("a", 1, 2)]
     keys_named = spark.createDataFrame([(1, 2, "x")], "keys int, chunk int, groups_ string")
     assert token_align.align(keys_named, ["keys", "chunk"], "groups_", *PATHS).collect()[0][:2] == (1, 2)
+
+
+def test_words_of_a_task_are_aligned_once(monkeypatch):
+    """As many distinct words as four chunks hold; those of the first come again at the end."""
+    parts = [" ".join(f"{chr(97 + k)}{i:x}" for i in range(70_000)) for k in range(4)]
+    words, met = token_align.Words(token_align.aligner(*PATHS)), []
+    monkeypatch.setattr(words.tool, "align", lambda some, align=words.tool.align: met.append(len(some)) or align(some))
+    first, *_, last = [words.rows(words.read([part]))[1] for part in [*parts, parts[0]]]
+    assert sum(met) == 280_000 and first == last

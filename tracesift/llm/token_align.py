@@ -49,7 +49,7 @@ FIRST, LAST = re.compile(r"\w"), re.compile(r"""[\w.,;:!?)"']""")
 #: Texts of words that can stand side by side in one call have about so many characters; a longer word stands alone.
 CALL = 1 << 16
 #: Words whose alignment a task remembers from chunk to chunk; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Text of a chunk.
 CHUNK_BYTES = 4 << 20
 
@@ -97,7 +97,8 @@ class Aligner:
         """Words in groups that can stand side by side."""
         held, size = [], 0
         for word in words:
-            if self.whole or len(word) > CALL or not (FIRST.match(word) and LAST.match(word[-1])):
+            # letters and numbers are word characters, so most words need no search
+            if self.whole or len(word) > CALL or not (word.isalnum() or FIRST.match(word) and LAST.match(word[-1])):
                 yield [word]
                 continue
             held.append(word)
@@ -117,7 +118,7 @@ class Aligner:
         inside = np.append(spans[1:, 0] < spans[:-1, 1], False)[: len(ids_a)]  # the next token begins in the same character
         ends_a = refined(byte_places(text)[spans[:, 1]], inside, self.sizes_a[ids_a])
         pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
-        ids_b, ends_b = np.array(pieces, np.int64).reshape(-1, 2).T
+        ids_b, ends_b = np.fromiter(chain.from_iterable(pieces), np.int64, 2 * len(pieces)).reshape(-1, 2).T.copy()
         ends_b = refined(ends_b + 1, self.fallback[ids_b], self.sizes_b[ids_b])  # B's spans leave out the added space
         listed_a, listed_b = ids_a.tolist(), ids_b.tolist()
         spelled = b"".join([self.bytes_a[i] for i in listed_a]), b"".join([self.bytes_b[i] for i in listed_b])
