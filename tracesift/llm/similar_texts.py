@@ -9,7 +9,7 @@ class.  Two classes are linked if their sets have a Jaccard similarity of 0.8 or
 
 The beginnings are compared twice.  First each class with the leaders (``ORDERS`` of them) of the classes that share its
 shingles, which joins large groups of near copies by few comparisons.  Then every pair that shares a shingle and that no
-chain of links has joined so far, unless the shared shingles and the sizes rule 0.8 out, or the parity marks do: a set's shingles
+chain of links has joined so far, unless the places of the shared shingles and the sizes rule 0.8 out, or the parity marks do: a set's shingles
 toggle one of ``MARKS`` bits each, so two sets differ in as many shingles as their marks in bits, at least.  The join that finds the
 pairs judges the marks, so that of a large group of copies that are not quite alike it hands on next to nothing.  So no pair of
 0.8 or more stays apart.
@@ -173,13 +173,16 @@ def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return found.select(*rows.columns)
 
 
-def shared_shingles(classes: DataFrame) -> DataFrame:
-    """``shingle``, ``short`` and ``leader`` of every shingle of a beginning that other beginnings hold, too.
+def shared_shingles(classes: DataFrame, least: float = 0.8) -> DataFrame:
+    """``shingle``, ``short``, ``leader`` and ``early`` of every shingle of a beginning that other beginnings hold, too.
 
-    ``short`` stands for the class; should two classes have the same, both are compared.
+    ``short`` stands for the class; should two classes have the same, both are compared.  ``early`` tells whether a set of no
+    more shingles than another of a similarity of ``least`` may share this one as the first with it.
     """
-    # two numbers and no more: this is the largest shuffle
-    placed = classes.select(F.explode("first").alias("shingle"), F.xxhash64("class").alias("short"))
+    # two numbers and a bit and no more: this is the largest shuffle
+    placed = classes.select(F.posexplode("first").alias("at", "shingle"), F.xxhash64("class").alias("short"), "n")
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-6))
+    placed = placed.select("shingle", "short", early.alias("early"))
     alike = Window.partitionBy("shingle")
     order = F.struct(F.xxhash64(F.pmod("shingle", F.lit(ORDERS)), "short").alias("order"), "short")
     return placed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1").drop("holders")
@@ -207,7 +210,7 @@ def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, lea
     alone = F.count("*") == 1
     root = F.when(alone, F.xxhash64(F.min(F.coalesce("root", "class")))).otherwise(F.xxhash64("short"))
     of = written(rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"), F.when(alone, F.first("marks")).alias("marks")), "unlinked")
-    held = shared.select("shingle", "short").join(of.select("short", "n", "root"), "short")
+    held = shared.select("shingle", "short", "early").join(of.select("short", "n", "root"), "short")
     # shingles of which all holders are joined are done
     several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("holders")).where("lowest <> highest")
     marked = of.select(F.col("short").alias("of"), *_marks())
@@ -215,16 +218,15 @@ def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, lea
     held = held.join(several.select("shingle", "holders"), "shingle")
     held = held.join(marked, (F.col("short") == F.col("of")) & (F.col("holders") >= FEW), "left").drop("of", "holders")
     held = written(held, "shared-by-unlinked")
-    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "n", "root", *names))) for end in "ab")
+    a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "early", "n", "root", *names))) for end in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     known = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
     fits = ~known | (small >= F.lit(least) * large - F.lit(1e-9))
-    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits & _near(least))
-    # of two sets the beginning that ends first shares all it can in this place, and what follows it may be shared as a whole
-    counted = both.groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b")).agg(F.count("*").alias("c"), F.first("n_b").alias("n_b"), F.first("n_a").alias("n_a"))
-    most = F.col("c") + F.ceil(F.lit(least) * large - F.lit(1e-9)) - 1
-    possible = ~known | (most >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - F.lit(1e-6))
-    return _named(counted.where(possible).select("a", "b"), classes, least).where("a <> b").distinct()
+    # the first shingle that two sets share comes early in the smaller one, or in both: one that comes late makes no pair
+    first = (F.col("early_a") | (F.col("n_a") > F.col("n_b"))) & (F.col("early_b") | (F.col("n_b") > F.col("n_a")))
+    both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits & (~known | first) & _near(least))
+    pairs = both.select(F.col("short_a").alias("a"), F.col("short_b").alias("b")).distinct()
+    return _named(pairs, classes, least).where("a <> b").distinct()
 
 
 def _marks() -> list[Column]:
@@ -280,7 +282,7 @@ def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, le
 
 
 def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    shared, classes = written(shared_shingles(found), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
+    shared, classes = written(shared_shingles(found, least), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
     texts = rows.select(F.col(f"row._{text_at}").cast("string").alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
