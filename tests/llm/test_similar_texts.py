@@ -2,9 +2,12 @@
 
 import os
 import random
+import shutil
+
+import pytest
 
 from tests.llm import odd
-from tracesift.llm import similar_texts
+from tracesift.llm import common, similar_texts
 from tracesift.llm.common import written
 
 
@@ -38,6 +41,39 @@ def test_neither_shuffle_files_nor_tables_in_between_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
 
 
+def test_tables_in_between_start_no_programs(spark):
+    """Hadoop's local file system starts programs for each file that it makes, and leaves a checksum beside it."""
+    rows = [(i, f"{' '.join(f'x{i % 40}.{k}' for k in range(60))} {i % 3}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    sketched = written(similar_texts.sketches(docs, "doc_id", "text", 5, 42), "some-sketches")
+    folder, made = spark.conf.get("spark.checkpoint.dir"), []
+
+    def kept(path):
+        made.extend((name, file) for file in os.listdir(path) for name in [os.path.basename(path).rsplit("-", 1)[0]])
+
+    before = set(os.listdir(folder))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(common, "remove", kept)
+        similar_texts.classed(sketched, docs.columns.index("text"), 5, 42, 4, 0.8).count()
+    for path in set(os.listdir(folder)) - before:
+        kept(os.path.join(folder, path))
+    assert {"classes", "shared-shingles", "candidate-pairs", "shingle-sets", "links", "pointers", "roots-of-classes"} <= {name for name, _ in made}
+    assert not [file for _, file in made if file.endswith(".crc")]
+
+
+def test_a_table_has_each_row_once_though_a_task_ran_twice(spark):
+    rows = spark.range(100, numPartitions=4).selectExpr("id", "IF(id % 9 = 0, NULL, CAST(id AS STRING)) AS t", "ARRAY(id, NULL) AS a", "CAST(CONCAT('b', id) AS BINARY) AS b", "STRUCT(id > 5 AS c, ARRAY(id) AS d) AS s")
+    table = common.tabled(rows, "some-table")
+    folder = os.path.dirname(table.inputFiles()[0].removeprefix("file:").replace("///", "/"))
+    files = sorted(os.listdir(folder))
+    shutil.copy(os.path.join(folder, files[0]), os.path.join(folder, "_" + files[0].removeprefix("part-").removesuffix(".parquet")))  # of an attempt that doesn't count
+    again = spark.read.schema(rows.schema).parquet(folder)
+    assert len(files) == 4 and table.dtypes == rows.dtypes
+    assert sorted(map(str, table.collect())) == sorted(map(str, again.collect())) == sorted(map(str, rows.collect()))
+    none = common.tabled(rows.where("id < 0"), "no-rows")
+    assert none.isEmpty() and none.dtypes == rows.dtypes
+
+
 def test_equal_rows_leave_one(spark):
     rows = [(None, "a b"), (None, "a b"), (None, None), (0, ""), (0, ""), (7, "a b c d e f"), (7, "a b c d e f"), (7, "A b c d e f")]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(4)

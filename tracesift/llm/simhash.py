@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesift.llm.common import chunks, frugal, give_back, written
+from tracesift.llm.common import chunks, frugal, give_back, tabled, written
 
 BITS = 64
 #: Groups of bits, with a tree for each.
@@ -216,24 +216,24 @@ def components(links: DataFrame) -> DataFrame:
     are redrawn between what is pointed to.  That leaves three quarters of the nodes at most on average, in
     chains as well as in stars; then the rounds' pointers are chained.
     """
-    rounds, left = [], written(links.where("a <> b"), "links")
+    rounds, left = [], tabled(links.where("a <> b"), "links")
     while not left.isEmpty():
         order = [F.xxhash64(F.col(c), F.lit(len(rounds))) for c in ("node", "other")]
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
         first = both.groupBy("node").agg(F.min_by("other", order[1]).alias("other"))
-        up = written(first.select("node", F.when(order[0] < order[1], F.col("node")).otherwise(F.col("other")).alias("root")), "pointers")
+        up = tabled(first.select("node", F.when(order[0] < order[1], F.col("node")).otherwise(F.col("other")).alias("root")), "pointers")
         rounds.append(up)
         ends = [up.select(F.col("node").alias(c), F.col("root").alias(f"to_{c}")) for c in ("a", "b")]
         moved = reduce(lambda df, end: df.join(end, end.columns[0]), ends, left)
         moved = moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        left = written(moved.where("a <> b").distinct(), "links")
+        left = tabled(moved.where("a <> b").distinct(), "links")
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = rounds[0]
     for i, up in enumerate(rounds[1:], 1):
         step = up.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        found = written(found, "roots") if i % 4 == 0 else found  # plans stay short
+        found = tabled(found, "roots") if i % 4 == 0 else found  # plans stay short
     return found
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesift.llm import simhash
-from tracesift.llm.common import chunks, frugal, passing, written
+from tracesift.llm.common import chunks, frugal, passing, tabled
 
 #: Distinct texts, about, that common shingles are counted in, and common shingles that come last in the order, at most.  They
 #: decide how many pairs are compared in vain; the pairs found are exact whatever the order.
@@ -191,7 +191,7 @@ def shared_shingles(classes: DataFrame, least: float = 0.8) -> DataFrame:
 def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int, least: float = 0.8) -> DataFrame:
     """``a``, ``b``: pairs of classes to be compared first, each once."""
     # fingerprints within the radius, each by the first class that has it; and classes that share one
-    first = written(classes.groupBy("fp").agg(F.min("class").alias("first")), "fingerprints-of-classes")
+    first = tabled(classes.groupBy("fp").agg(F.min("class").alias("first")), "fingerprints-of-classes")
     same = classes.join(first, "fp").select(F.col("class").alias("a"), F.col("first").alias("b"))
     links = simhash.near_links(first.select("fp"), radius)
     ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"class_{c}")) for c in ("a", "b")]
@@ -209,7 +209,7 @@ def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, lea
     # classes that share a name of 64 bits have no size, and a root that no other has, so that none is ruled out or taken for joined
     alone = F.count("*") == 1
     root = F.when(alone, F.xxhash64(F.min(F.coalesce("root", "class")))).otherwise(F.xxhash64("short"))
-    of = written(rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"), F.when(alone, F.first("marks")).alias("marks")), "unlinked")
+    of = tabled(rooted.groupBy("short").agg(F.when(alone, F.min("n")).alias("n"), root.alias("root"), F.when(alone, F.first("marks")).alias("marks")), "unlinked")
     held = shared.select("shingle", "short", "early").join(of.select("short", "n", "root"), "short")
     # shingles of which all holders are joined are done
     several = held.groupBy("shingle").agg(F.min("root").alias("lowest"), F.max("root").alias("highest"), F.count("*").alias("holders")).where("lowest <> highest")
@@ -217,7 +217,7 @@ def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, lea
     names = marked.columns[1:]
     held = held.join(several.select("shingle", "holders"), "shingle")
     held = held.join(marked, (F.col("short") == F.col("of")) & (F.col("holders") >= FEW), "left").drop("of", "holders")
-    held = written(held, "shared-by-unlinked")
+    held = tabled(held, "shared-by-unlinked")
     a, b = (held.select("shingle", *(F.col(c).alias(f"{c}_{end}") for c in ("short", "early", "n", "root", *names))) for end in "ab")
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     known = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
@@ -248,21 +248,19 @@ def _named(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
-def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float) -> DataFrame:
+def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float, put: Callable[..., DataFrame] = tabled) -> DataFrame:
     """The pairs whose sets have a similarity of ``least`` or more.  ``texts`` has a ``text`` of each ``class`` in them."""
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = [shingles(t, size, seed).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.list_(pa.int64()))], ["class", "own"])
 
     # written, so that Spark may split the pairs of one class over several tasks when it joins them
-    made = written(texts.select("class", "text").mapInArrow(run, "class binary, own array<bigint>"), "shingle-sets")
+    made = tabled(texts.select("class", "text"), "shingle-sets", run, "class binary, own array<bigint>")
     sets = [made.select(F.col("class").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
     both = pairs.join(sets[0], "a").join(sets[1], "b")
 
-    @frugal
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alike = []
@@ -272,29 +270,29 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: flo
                 alike.append(shared >= least * (len(x) + len(y) - shared) if shared else False)
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return both.select("a", "b", "own_a", "own_b").mapInArrow(compare, "a binary, b binary")
+    return put(both.select("a", "b", "own_a", "own_b"), "links-of-classes", compare, "a binary, b binary")
 
 
 def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float) -> DataFrame:
     """``class`` and ``root``: one root for all classes that links join."""
     with passing() as lasting:
-        return _rooted(written(_classes(rows, text_at), "classes"), rows, text_at, size, seed, radius, least, lasting)
+        return _rooted(tabled(_classes(rows, text_at), "classes"), rows, text_at, size, seed, radius, least, lasting)
 
 
-def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    shared, classes = written(shared_shingles(found, least), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
+def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[..., DataFrame]) -> DataFrame:
+    shared, classes = tabled(shared_shingles(found, least), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
     texts = rows.select(F.col(f"row._{text_at}").cast("string").alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
         with passing() as lasting:
             needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-            wanted = written(classes.select("class", "digest").join(needed, "class"), "wanted-texts")
+            wanted = tabled(classes.select("class", "digest").join(needed, "class"), "wanted-texts")
             own = likely(texts, "digest", wanted).groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
-            return lasting(checked(pairs, own, size, seed, least), "links-of-classes")
+            return checked(pairs, own, size, seed, least, lasting)
 
-    first = links(written(candidate_pairs(classes, shared, radius, least), "candidate-pairs"))
+    first = links(tabled(candidate_pairs(classes, shared, radius, least), "candidate-pairs"))
     roots = simhash.components(first)
-    rest = written(remaining_pairs(classes, shared, roots, least), "remaining-pairs")
+    rest = tabled(remaining_pairs(classes, shared, roots, least), "remaining-pairs")
     if not rest.isEmpty():
         roots = simhash.components(first.union(links(rest)))
     every = classes.select("class").join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -310,8 +308,8 @@ def one_of_each(docs: DataFrame, key: str, text: str, size: int = 5, least: floa
     names = [f"_o{i}" for i in range(len(order))]
     order = [o.alias(n) for o, n in zip(order, names, strict=True)]
     with passing() as lasting:
-        classes = written(_classes(rows, at, F.min(F.struct(*order)).alias("order")), "classes")
-        roots = _rooted(classes, rows, at, size, seed, radius, least, written)
+        classes = tabled(_classes(rows, at, F.min(F.struct(*order)).alias("order")), "classes")
+        roots = _rooted(classes, rows, at, size, seed, radius, least, tabled)
         firsts = classes.select("class", "order").join(roots, "class").groupBy("root").agg(F.min("order").alias("order"))
         chosen = lasting(firsts.select(*(F.col(f"order.{n}").alias(n) for n in names)), "chosen-rows")
     kept = rows.select("row", *order).join(chosen, names, "left_semi").dropDuplicates(names)
