@@ -4,6 +4,7 @@ import os
 import random
 import shutil
 
+import numpy as np
 import pytest
 
 from tests.llm import odd
@@ -104,3 +105,49 @@ def test_pairs_of_a_group_that_is_not_alike_are_not_handed_on(spark):
     got = {frozenset((name[bytes(r.a)], name[bytes(r.b)])) for r in pairs.collect()}
     assert {frozenset((2 * g, 2 * g + 1)) for g in range(75)} <= got
     assert len(got) < 10 * len(rows)  # of 11,175 pairs
+
+
+def found_and_shared(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    found = written(similar_texts._classes(similar_texts.sketches(docs, "doc_id", "text", 5, 42), 1), "some-classes")
+    name = {similar_texts.class_of(similar_texts.shingles(t, 5, 42)): i for i, t in rows}
+    return found, written(similar_texts.shared_shingles(found), "some-shared"), lambda pairs: {frozenset((name[bytes(r.a)], name[bytes(r.b)])) for r in pairs.collect()}
+
+
+@pytest.mark.parametrize("part", [40, 2000])
+def test_pairs_of_long_texts_that_are_not_alike_are_not_handed_on(spark, part, monkeypatch):
+    """Twelve texts of 3,000 words have a passage in common; each has one other of a similarity of 0.82."""
+    monkeypatch.setattr(similar_texts, "SAMPLE", 0)  # the passage comes as early as any
+    rng = random.Random(7)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(part)], []
+    for g in range(6):
+        own = [f"g{g}.{i}" for i in range(3000 - part)]
+        rows += [(2 * g + v, " ".join([*base, *own, *(f"v{g}.{v}.{i}" for i in range(320))])) for v in (0, 1)]
+    found, shared, named = found_and_shared(spark, rows)
+    none = spark.createDataFrame([], "node binary, root binary")
+    assert named(similar_texts.remaining_pairs(found.drop("first"), shared, none, 0.8)) == {frozenset((2 * g, 2 * g + 1)) for g in range(6)}
+
+
+def test_copies_that_are_less_alike_than_each_is_to_the_original_meet_it_first(spark):
+    """Each of 150 copies has 0.84 with the original, 0.7 with most of the others."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(0, " ".join(words))]
+    for copy in range(1, 151):
+        other = list(words)
+        for k in range(5):
+            other[60 * k + rng.randrange(5, 55)] = f"c{copy}.{k}"
+        rows.append((copy, " ".join(other)))
+    found, shared, named = found_and_shared(spark, rows)
+    classes = found.select("class", "fp", "n", "marks", "wide", "digest")
+    assert named(similar_texts.candidate_pairs(classes, shared, 4)) >= {frozenset((0, copy)) for copy in range(1, 151)}
+
+
+def test_wide_marks_count_no_more_than_the_difference():
+    rng = np.random.default_rng(9)
+    for n, m, both in [(5000, 4300, 4000), (1100, 1000, 900), (2048, 2047, 2000), (4000, 4000, 10), (513, 640, 500)]:
+        u = rng.permutation(np.unique(rng.integers(0, 2**64, n + m, dtype=np.uint64)))
+        x, y = np.sort(u[:n]), np.sort(np.concatenate([u[:both], u[n : n + m - both]]))
+        apart = similar_texts.differing(similar_texts.wide_marks(x), similar_texts.wide_marks(y))
+        assert 0.3 * (n + m - 2 * both) < apart <= n + m - 2 * both
+    assert similar_texts.wide_marks(u[:512]) is None

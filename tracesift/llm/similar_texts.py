@@ -7,12 +7,15 @@ class.  Two classes are linked if their sets have a Jaccard similarity of 0.8 or
 - since texts of 0.8 differ in about 10 of 64 bits, where such trees prune next to nothing, also from the beginnings of the
   sets.  All shingles have one order, rare ones first; of two sets of a similarity of 0.8 or more the first fifths share a shingle.
 
-The beginnings are compared twice.  First each class with the leaders (``ORDERS`` of them) of the classes that share its
-shingles, which joins large groups of near copies by few comparisons.  Then every pair that shares a shingle and that no
+The beginnings are compared twice.  First each class with the leaders of the classes that share its shingles: ``ORDERS`` of any
+classes, and the two that share the largest parts of their beginnings, as a text does that others are copies of.  That joins large
+groups of near copies by few comparisons, though most copies are less alike than each is to its original.  Then every pair that shares a shingle and that no
 chain of links has joined so far, unless the places of the shared shingles and the sizes rule 0.8 out, or the parity marks do: a set's shingles
 toggle one of ``MARKS`` bits each, so two sets differ in as many shingles as their marks in bits, at least.  The join that finds the
-pairs judges the marks, so that of a large group of copies that are not quite alike it hands on next to nothing.  So no pair of
-0.8 or more stays apart.
+pairs judges the marks, so that of a large group of copies that are not quite alike it hands on next to nothing.  Large sets fill
+these marks, so their beginnings are longer by a few shingles, and two must share that many more; and they have wide marks
+besides, two to four bits for each shingle, by which a pair is judged before its sets are made and moved.  So no pair of 0.8 or more
+stays apart.
 
 Every candidate pair is checked: the shingle sets of both are made again from a text of each class and intersected.  Only links
 that pass count, so nothing is joined that isn't alike.
@@ -41,8 +44,10 @@ from tracesift.llm.common import chunks, frugal, passing, tabled
 SAMPLE, COMMON = 10_000, 200_000
 #: Orders in which classes that share a shingle have a leader.
 ORDERS = 4
-#: Bits of a set's parity marks, by 64.  They decide how many pairs are compared in vain.
+#: Bits of a set's parity marks, a power of two from 64 on.  They decide how many pairs are compared in vain.
 MARKS = 1024
+#: Shingles of a set for each of which its beginning has one more, and a pair must share one more.
+MORE = 256
 #: Holders of a shingle from which on their marks are compared, too; fewer make few pairs.
 FEW = 4
 #: Bits of the bitmap by which texts that no pair needs are left out before a join, at most; beyond a sixteenth as many needed texts
@@ -75,14 +80,27 @@ def fingerprint(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
 
 
-def parity_marks(own: np.ndarray) -> np.ndarray:
-    """Which of ``MARKS`` classes of hashes hold an odd number of the shingles, as bits of 64-bit integers."""
-    odd = np.bincount((own % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+def parity_marks(own: np.ndarray, bits: int = MARKS) -> np.ndarray:
+    """Which of ``bits`` classes of hashes hold an odd number of the shingles, as bits of 64-bit integers."""
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_marks(own: np.ndarray) -> bytes | None:
+    """Parity marks of two to four bits for each shingle; none if ``MARKS`` are as many."""
+    return parity_marks(own, 1 << (2 * len(own) - 1).bit_length()).tobytes() if 2 * len(own) > MARKS else None
+
+
+def differing(one: bytes, other: bytes) -> int:
+    """Shingles in which two sets differ, at least, by their wide marks.  Halves of marks added are the marks of half the width."""
+    x, y = sorted((np.frombuffer(m, np.uint64) for m in (one, other)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def beginning(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """As many shingles, in the order of all, as two sets of a similarity of ``least`` can't both have without sharing one."""
+    """As many shingles, in the order of all, as two sets of a similarity of ``least`` can't both have without sharing one, and one more for each ``MORE``."""
     if not len(own):
         return own
     rank = np.zeros(len(own), np.int64)
@@ -90,7 +108,7 @@ def beginning(own: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
         values, ranks = common
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
         rank = np.where(values[at] == own, ranks[at].astype(np.int64), 0)
-    return own[np.argsort(rank, kind="stable")][: len(own) - _needed(least, len(own)) + 1]
+    return own[np.argsort(rank, kind="stable")][: len(own) - _needed(least, len(own)) + 1 + len(own) // MORE]
 
 
 def _needed(least: float, n: int) -> int:
@@ -117,7 +135,7 @@ def common_shingles(docs: DataFrame, text: str, size: int, seed: int) -> np.ndar
 
 
 def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least: float = 0.8) -> DataFrame:
-    """``id``, ``class``, ``fp``, ``n`` (shingles), ``marks`` and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
+    """``id``, ``class``, ``fp``, ``n`` (shingles), ``marks``, ``wide`` (marks) and ``first`` (those that the set begins with) of every row, beside the whole ``row``."""
     common = common_shingles(docs, text, size, seed)
 
     @frugal
@@ -127,13 +145,13 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, seed: int, least:
             yield pa.concat_arrays(parts) if parts else pa.array([], _SKETCH)
 
     # a function of the text alone: where it isn't asked for, the rows don't go through Python
-    sketch = F.arrow_udf(run, "class binary, fp long, n int, marks array<bigint>, first array<bigint>")
+    sketch = F.arrow_udf(run, "class binary, fp long, n int, marks array<bigint>, wide binary, first array<bigint>")
     own = sketch(F.col(f"`{text}`").cast("string")).alias("made")
     held = docs.select(F.col(f"`{key}`").cast("long").alias("id"), _row(docs).alias("row"), own)
-    return held.select("id", "row", *(F.col(f"made.{c}").alias(c) for c in ("class", "fp", "n", "marks", "first")))
+    return held.select("id", "row", *(F.col(f"made.{c}").alias(c) for c in _SKETCH.names))
 
 
-_SKETCH = pa.struct([("class", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("marks", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
+_SKETCH = pa.struct([("class", pa.binary()), ("fp", pa.int64()), ("n", pa.int32()), ("marks", pa.list_(pa.int64())), ("wide", pa.binary()), ("first", pa.list_(pa.int64()))])
 
 
 def _sketched(texts: pa.Array, common: np.ndarray, size: int, seed: int, least: float) -> pa.StructArray:
@@ -141,7 +159,8 @@ def _sketched(texts: pa.Array, common: np.ndarray, size: int, seed: int, least:
     prints = pa.array(np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64), pa.int64())
     first = pa.array([beginning(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
     marks = pa.array([parity_marks(s) for s in sets], pa.list_(pa.int64()))
-    made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), marks, first]
+    wide = pa.array([wide_marks(s) for s in sets], pa.binary())
+    made = [pa.array([class_of(s) for s in sets], pa.binary()), prints, pa.array([len(s) for s in sets], pa.int32()), marks, wide, first]
     return pa.StructArray.from_arrays(made, fields=list(_SKETCH))
 
 
@@ -156,7 +175,7 @@ def _digest(text: Column) -> Column:
 
 def _classes(rows: DataFrame, text_at: int, *others: Column) -> DataFrame:
     """Each class once, with the ``digest`` of one of its texts."""
-    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fp", "n", "marks", "first")), F.min(_digest(F.col(f"row._{text_at}"))).alias("digest"), *others)
+    return rows.groupBy("class").agg(*(F.first(c).alias(c) for c in _SKETCH.names[1:]), F.min(_digest(F.col(f"row._{text_at}"))).alias("digest"), *others)
 
 
 def likely(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -177,17 +196,22 @@ def shared_shingles(classes: DataFrame, least: float = 0.8) -> DataFrame:
     """``shingle``, ``short``, ``leader`` and ``early`` of every shingle of a beginning that other beginnings hold, too.
 
     ``short`` stands for the class; should two classes have the same, both are compared.  ``early`` tells whether a set of no
-    more shingles than another of a similarity of ``least`` may share this one as the first with it.
+    more shingles than another of a similarity of ``least`` may share this one as one of the first with it.
     """
     # two numbers and a bit and no more: this is the largest shuffle
     placed = classes.select(F.posexplode("first").alias("at", "shingle"), F.xxhash64("class").alias("short"), "n")
-    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-6))
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - F.lit(1e-6)) + _more(F.col("n"))
     placed = placed.select("shingle", "short", early.alias("early"))
     alike = Window.partitionBy("shingle")
     order = F.struct(F.xxhash64(F.pmod("shingle", F.lit(ORDERS)), "short").alias("order"), "short")
     return placed.select("*", F.count("*").over(alike).alias("holders"), F.min(order).over(alike)["short"].alias("leader")).where("holders > 1").drop("holders")
 
 
+def _more(n: Column) -> Column:
+    """Shingles that a pair must share beyond the first, if ``n`` are in the smaller set."""
+    return F.floor(n / F.lit(MORE))
+
+
 def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int, least: float = 0.8) -> DataFrame:
     """``a``, ``b``: pairs of classes to be compared first, each once."""
     # fingerprints within the radius, each by the first class that has it; and classes that share one
@@ -197,10 +221,14 @@ def candidate_pairs(classes: DataFrame, shared: DataFrame, radius: int, least: f
     ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"class_{c}")) for c in ("a", "b")]
     near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
     # what shares little with a leader is left to the second comparison
-    led = shared.where("short <> leader").groupBy(F.col("short").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
-    most = classes.groupBy(F.xxhash64("class").alias("a")).agg(F.min("n").alias("n"))
-    every = same.union(near).union(_named(led.join(most, "a").where("50 * c >= n").select("a", "b"), classes, least)).where("a <> b")
-    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = classes.groupBy(F.xxhash64("class").alias("short")).agg(F.min("n").alias("n"))
+    part = shared.groupBy("short").agg(F.count("*").alias("c")).join(sizes, "short").select("short", (F.col("c") / F.col("n")).alias("part"))
+    most = Window.partitionBy("shingle").orderBy(F.desc("part"), "short").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    leaders = F.array("leader", F.first("short").over(most), F.nth_value("short", 2).over(most))
+    led = shared.join(part, "short").select("short", leaders.alias("leaders")).select("short", F.explode(F.array_distinct("leaders")).alias("leader"))
+    led = led.where("short <> leader").groupBy("short", "leader").agg(F.count("*").alias("c")).join(sizes, "short").where("50 * c >= n")
+    every = same.union(near).union(_named(led.select(F.col("short").alias("a"), F.col("leader").alias("b")), classes, least)).where("a <> b")
+    return possible(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, least)
 
 
 def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
@@ -222,11 +250,12 @@ def remaining_pairs(classes: DataFrame, shared: DataFrame, roots: DataFrame, lea
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     known = F.col("n_a").isNotNull() & F.col("n_b").isNotNull()
     fits = ~known | (small >= F.lit(least) * large - F.lit(1e-9))
-    # the first shingle that two sets share comes early in the smaller one, or in both: one that comes late makes no pair
+    # the first shingles that two sets share come early in the smaller one, or in both: one that comes late doesn't count
     first = (F.col("early_a") | (F.col("n_a") > F.col("n_b"))) & (F.col("early_b") | (F.col("n_b") > F.col("n_a")))
     both = a.join(b, "shingle").where((F.col("root_a") != F.col("root_b")) & (F.col("short_a") < F.col("short_b")) & fits & (~known | first) & _near(least))
-    pairs = both.select(F.col("short_a").alias("a"), F.col("short_b").alias("b")).distinct()
-    return _named(pairs, classes, least).where("a <> b").distinct()
+    pairs = both.groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b")).agg(F.count("*").alias("often"), F.min(F.when(known, small)).alias("n"))
+    enough = pairs.where(F.col("n").isNull() | (F.col("often") > _more(F.col("n")))).select("a", "b")
+    return possible(_named(enough, classes, least).where("a <> b").distinct(), classes, least)
 
 
 def _marks() -> list[Column]:
@@ -237,7 +266,12 @@ def _marks() -> list[Column]:
 def _near(least: float) -> Column:
     """Whether the marks of ``a`` and ``b`` leave a similarity of ``least`` possible; so do marks or sizes that aren't known."""
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b"))) for i in range(MARKS // 64)])
-    return F.coalesce(apart <= F.lit((1 - least) / (1 + least)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6), F.lit(True))
+    return F.coalesce(apart <= _apart(least), F.lit(True))
+
+
+def _apart(least: float) -> Column:
+    """Shingles in which sets of ``n_a`` and ``n_b`` differ, at most, if their similarity is ``least`` or more."""
+    return F.lit((1 - least) / (1 + least)) * (F.col("n_a") + F.col("n_b")) + F.lit(1e-6)
 
 
 def _named(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -248,6 +282,21 @@ def _named(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
 
+def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs of classes without those that their sizes or wide marks rule out."""
+    ends = [classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
+    sized = pairs.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b") - F.lit(1e-9))
+
+    @frugal
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, *marks = (batch.column(c).to_pylist() for c in ("most", "wide_a", "wide_b"))
+            left = [not (x and y) or differing(x, y) <= most for most, x, y in zip(sizes, *marks, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(left, pa.bool_()))
+
+    return sized.select("a", "b", _apart(least).alias("most"), "wide_a", "wide_b").mapInArrow(judge, "a binary, b binary")
+
+
 def checked(pairs: DataFrame, texts: DataFrame, size: int, seed: int, least: float, put: Callable[..., DataFrame] = tabled) -> DataFrame:
     """The pairs whose sets have a similarity of ``least`` or more.  ``texts`` has a ``text`` of each ``class`` in them."""
 
@@ -280,7 +329,7 @@ def classed(rows: DataFrame, text_at: int, size: int, seed: int, radius: int, le
 
 
 def _rooted(found: DataFrame, rows: DataFrame, text_at: int, size: int, seed: int, radius: int, least: float, put: Callable[..., DataFrame]) -> DataFrame:
-    shared, classes = tabled(shared_shingles(found, least), "shared-shingles"), found.select("class", "fp", "n", "marks", "digest")
+    shared, classes = tabled(shared_shingles(found, least), "shared-shingles"), found.select("class", "fp", "n", "marks", "wide", "digest")
     texts = rows.select(F.col(f"row._{text_at}").cast("string").alias("text")).select(_digest(F.col("text")).alias("digest"), "text")
 
     def links(pairs: DataFrame) -> DataFrame:
