@@ -1,6 +1,8 @@
 """Aligned tokens against whole texts given to the libraries, all pairs of ends compared."""
 
 import hashlib
+import os
+import tracemalloc
 from collections import Counter
 
 import public_tokenizers
@@ -97,3 +99,32 @@ def test_words_of_a_task_are_aligned_once(monkeypatch):
     monkeypatch.setattr(words.tool, "align", lambda some, align=words.tool.align: met.append(len(some)) or align(some))
     first, *_, last = [words.rows(words.read([part]))[1] for part in [*parts, parts[0]]]
     assert sum(met) == 280_000 and first == last
+
+
+def test_counting_the_links_of_a_chunk_takes_little_memory():
+    """300 texts of 2,000 words, of which a task has met 5,000: the words' places take 5 MB, what is counted 40 bytes for each word at most."""
+    words = token_align.Words(token_align.aligner(*PATHS))
+    read = words.read([" ".join(f"w{(i * k) % 5000:x}" for k in range(1, 2001)) for i in range(1, 301)])
+    whole = [words.rows([text])[0][:4] for text in read]
+    tracemalloc.start()
+    counts, groups, pairs = words.rows(read)
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, groups))
+    tracemalloc.stop()
+    assert peak < 40 * 300 * 2000
+    assert [c.to_pylist() for c in counts[:4]] == [[w[i][0].as_py() for w in whole] for i in range(4)]
+    assert sum(counts[5].flatten().to_pylist()) == sum(pairs[2].to_pylist()) == sum(counts[3].to_pylist())
+
+
+def test_tables_in_between_start_no_programs(spark):
+    """Hadoop's local file system starts programs for each file that it makes, and leaves a checksum beside it."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(20)], "doc_id LONG, text STRING")
+    assert token_align.align(docs, ["doc_id"], "text", *PATHS).count() == 20
+    made = {name.rsplit("-", 1)[0]: os.listdir(os.path.join(folder, name)) for name in set(os.listdir(folder)) - before}
+    assert set(made) == {"aligned", "pairs"} and not [file for files in made.values() for file in files if file.endswith(".crc")]
+
+
+@pytest.mark.parametrize("lines", [[], [""], ["", ""], ["1,2|3", "", "4|5,6"]])
+def test_packed_groups_are_read_again(lines):
+    assert token_align.zstandard.decompress(token_align._packed(lines)).decode() == "\n".join(lines)

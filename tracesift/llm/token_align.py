@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracesift.llm.byte_bpe import byte_characters
-from tracesift.llm.common import chunks, frugal, written
+from tracesift.llm.common import chunks, give_back, tabled
 
 #: A single space that no merge of either tokenizer crosses.
 CUT = re.compile(r"""(?<=[\w.,;:!?)"']) (?=\w)""")
@@ -52,6 +52,8 @@ CALL = 1 << 16
 REMEMBERED = 400_000
 #: Text of a chunk.
 CHUNK_BYTES = 4 << 20
+#: Words whose links are counted at a time; a longer text is counted whole.
+COUNTED = 1 << 15
 
 DOC = "struct<n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,pairs:array<int>,counts:array<int>>"
 PAIR = "struct<a:int,b:int,n:bigint>"
@@ -177,7 +179,8 @@ class Words:
     def forget(self) -> None:
         self.places: dict[str, int] = {}
         self.groups: list[str] = []
-        self.n_a, self.n_b, self.n_links, self.starts, self.links = (array("q") for _ in range(5))
+        self.n_a, self.n_b, self.n_links, self.links = (array("i") for _ in range(4))
+        self.starts = array("q")
         self.pairs: dict[int, int] = {}
         self.spelled: dict[int, tuple[bytes, bytes]] = {}
 
@@ -209,7 +212,7 @@ class Words:
         if made.spelled:
             self.spelled[self.places[words[0]]] = made.spelled
         distinct, which = np.unique(made.links, return_inverse=True)
-        numbers = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in distinct.tolist()], np.int64)
+        numbers = np.array([self.pairs.setdefault(p, len(self.pairs)) for p in distinct.tolist()], np.int32)
         self.links.frombytes(numbers[which].tobytes())
 
     def _spells(self, text: np.ndarray) -> bool:
@@ -224,20 +227,24 @@ class Words:
 
     def rows(self, texts: list[np.ndarray]) -> tuple[list[pa.Array], list[str], list[pa.Array]]:
         """Of each text counts, distinct pairs and how often; their groups; and the pairs of all, with how often."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        flat = np.concatenate([*texts, np.empty(0, np.int64)])
-        n_a, n_b, n_links, starts, links = (np.array(x, np.int64) for x in (self.n_a, self.n_b, self.n_links, self.starts, self.links))
-        linked = links[_ranges(starts[flat], n_links[flat])]
-        often = np.bincount(linked, minlength=len(self.pairs))
+        n_a, n_b, n_links, starts, links = (np.frombuffer(x, x.typecode) for x in (self.n_a, self.n_b, self.n_links, self.starts, self.links))
+        often, found = np.zeros(len(self.pairs), np.int64), []
+        for some in _blocks(texts):
+            flat = np.concatenate(some)
+            linked = links[_ranges(starts[flat], n_links[flat])].astype(np.int64)
+            owner = np.repeat(np.repeat(np.arange(len(some)), [len(t) for t in some]), n_links[flat])
+            distinct, counts = np.unique(owner * max(1, len(often)) + linked, return_counts=True)
+            owner, linked = np.divmod(distinct, max(1, len(often)))
+            np.add.at(often, linked, counts)
+            found.append((np.bincount(owner, minlength=len(some)), linked.astype(np.int32), counts.astype(np.int32)))
+        sizes, linked, counts = (np.concatenate([*x, np.empty(0, np.int32)]) for x in (zip(*found, strict=True) if found else ((), (), ())))
         held = np.flatnonzero(often)
-        linked = (np.cumsum(often > 0) - 1)[linked]  # numbers among the pairs of these texts
-        owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), n_links[flat])
-        distinct, counts = np.unique(owner * max(1, len(held)) + linked, return_counts=True)
-        offsets = pa.array(np.searchsorted(distinct, np.arange(len(sizes) + 1) * max(1, len(held))), pa.int32())
-        of_text = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (distinct % max(1, len(held)), counts)]
+        number = (np.cumsum(often > 0) - 1).astype(np.int32)  # among the pairs of these texts
+        offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        of_text = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (number[linked], counts)]
 
         def total(values: np.ndarray) -> pa.Array:
-            return pa.array(np.diff(np.append(0, np.cumsum(values[flat]))[np.cumsum(sizes)], prepend=0))
+            return pa.array(np.array([values[t].sum() for t in texts], np.int64))
 
         groups = [";".join([self.groups[i] for i in t.tolist()]) for t in texts]
         pairs = np.fromiter(self.pairs, np.int64, len(self.pairs))[held]
@@ -245,13 +252,26 @@ class Words:
         return [total(n_a), total(n_b), total(n_links), total(n_links), *of_text], groups, ids
 
 
+def _blocks(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in a row that have about ``COUNTED`` words."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= COUNTED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges in a row."""
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b: str, chunk_bytes: int) -> DataFrame:
-    """A row for each chunk of texts: keys, counts and linked pairs of each, their groups (packed), and the distinct pairs."""
+    """A table with a row for each chunk of texts: keys, counts and linked pairs of each, their groups (packed), and the distinct pairs."""
     rows = df.select(F.struct(*(_column(df, k).alias(f"k{i}") for i, k in enumerate(keys))).alias("keys"), _column(df, text).alias("text"))
     doc = T.StructType([rows.schema["keys"], *T._parse_datatype_string(DOC).fields])
     schema = T.StructType(
@@ -263,13 +283,12 @@ def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b:
         ]
     )
 
-    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(aligner(path_a, path_b))
         for number, batch in enumerate(chunks(batches, "text", chunk_bytes)):
             columns, groups, pairs = words.rows(words.read(batch.column("text").to_pylist()))
             docs = pa.StructArray.from_arrays([batch.column("keys"), *columns], doc.names)
-            packed = zstandard.compress("\n".join(groups).encode())
+            packed = _packed(groups)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f"{TaskContext.get().partitionId()}-{number}"]),
@@ -279,8 +298,16 @@ def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b:
                 ],
                 schema.names,
             )
+            del columns, groups, pairs, docs, packed
+            give_back()
+
+    return tabled(rows, "aligned", run, schema)
+
 
-    return rows.mapInArrow(run, schema)
+def _packed(lines: list[str]) -> bytes:
+    """The lines compressed, without a second copy of them; they are ASCII."""
+    made = zstandard.ZstdCompressor().compressobj(size=sum(map(len, lines)) + max(0, len(lines) - 1))
+    return b"".join([*(made.compress(("\n" * (i > 0) + line).encode()) for i, line in enumerate(lines)), made.flush()])
 
 
 def _column(df: DataFrame, name: str):
@@ -294,7 +321,7 @@ def _one_list(values: pa.Array) -> pa.ListArray:
 def pair_counts(table: DataFrame) -> DataFrame:
     """``a, b, count`` of every linked pair, and whether it is the highest of its ``b``."""
     pairs = table.select(F.inline("pairs")).groupBy("a", "b").agg(F.sum("n").alias("count"))
-    pairs = written(pairs, "pairs")
+    pairs = tabled(pairs, "pairs")
     # a row for each id of B's vocabulary at most, which bounds what a join may broadcast
     highest = pairs.groupBy("b").agg(F.max("count").alias("highest"))
     return pairs.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
@@ -307,7 +334,7 @@ def align(df: DataFrame, keys: list[str], text: str, path_a: str, path_b: str, c
     pair has the highest corpus-wide count of its B id, ``count_sum`` sums these counts over all links.  The vocabulary
     files are at the same paths on all machines.  ``chunk_bytes`` is about the text that a task holds at a time.
     """
-    table = written(_chunk_rows(df, keys, text, path_a, path_b, chunk_bytes), "aligned")
+    table = _chunk_rows(df, keys, text, path_a, path_b, chunk_bytes)
     held = table.select(F.col("chunk").alias("of"), F.posexplode("pairs").alias("i", "pair")).select("of", "i", "pair.a", "pair.b")
     counts = held.join(pair_counts(table), ["a", "b"]).select("of", "i", "count", "best")
     kinds = [("n_a", "bigint"), ("n_b", "bigint"), ("n_groups", "bigint"), ("n_links", "bigint"), ("n_best", "bigint"), ("count_sum", "bigint"), ("groups", "string")]
