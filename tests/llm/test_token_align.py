@@ -128,3 +128,12 @@ def test_tables_in_between_start_no_programs(spark):
 @pytest.mark.parametrize("lines", [[], [""], ["", ""], ["1,2|3", "", "4|5,6"]])
 def test_packed_groups_are_read_again(lines):
     assert token_align.zstandard.decompress(token_align._packed(lines)).decode() == "\n".join(lines)
+
+
+def test_keys_of_any_type(spark):
+    """Also null structs of fields that are never null."""
+    kinds = ["STRUCT(1 AS x, ARRAY('q') AS y)", "ARRAY(STRUCT(1 AS x))", "MAP('a', STRUCT(1 AS x))", "TIMESTAMP_NTZ'1500-01-02 03:04:05'", "CAST(1.25 AS DECIMAL(20,3))", "INTERVAL '1 02:03:04' DAY TO SECOND"]
+    docs = spark.range(2).selectExpr(*(f"IF(id = 1, NULL, {k}) AS k{i}" for i, k in enumerate(kinds)), "'one two' AS t")
+    keys = docs.columns[:-1]
+    got = token_align.align(docs, keys, "t", *PATHS).select(*keys)
+    assert got.dtypes == docs.dtypes[:-1] and sorted(map(str, got.collect())) == sorted(map(str, docs.select(*keys).collect()))

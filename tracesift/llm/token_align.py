@@ -287,7 +287,8 @@ def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b:
         words = Words(aligner(path_a, path_b))
         for number, batch in enumerate(chunks(batches, "text", chunk_bytes)):
             columns, groups, pairs = words.rows(words.read(batch.column("text").to_pylist()))
-            docs = pa.StructArray.from_arrays([batch.column("keys"), *columns], doc.names)
+            held = batch.column("keys")
+            docs = pa.StructArray.from_arrays([held.cast(_nullable(held.type)), *columns], doc.names)
             packed = _packed(groups)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -298,12 +299,21 @@ def _chunk_rows(df: DataFrame, keys: list[str], text: str, path_a: str, path_b:
                 ],
                 schema.names,
             )
-            del columns, groups, pairs, docs, packed
+            del held, columns, groups, pairs, docs, packed
             give_back()
 
     return tabled(rows, "aligned", run, schema)
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null: a null struct's are, whatever Spark says of them, and Arrow doesn't write them otherwise."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, _nullable(kind.value_type)))
+    return kind
+
+
 def _packed(lines: list[str]) -> bytes:
     """The lines compressed, without a second copy of them; they are ASCII."""
     made = zstandard.ZstdCompressor().compressobj(size=sum(map(len, lines)) + max(0, len(lines) - 1))
